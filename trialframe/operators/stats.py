@@ -316,12 +316,11 @@ def prior_dprime(duration_s: float) -> Column:
     return F.coalesce(F.when((F.col("n_1") > 0) & (F.col("n_2") > 0), d), F.lit(0.0))
 
 
-def minmax(df: DataFrame, cols: list[str], keys: list[str] = []) -> DataFrame:
-    """Column-wise (x - min) / (range + 1e-8) over a short table."""
+def minmax_spread(df: DataFrame, cols: list[str], keys: list[str] = []) -> DataFrame:
+    """Column-wise (x - min) / (range + 1e-8), over the group or the whole table."""
     base = df if keys else df.withColumn("_all", F.lit(0))
     k = keys or ["_all"]
-    over = Window.partitionBy(*k)
-    out = base.withColumns(
-        {c: (F.col(c) - F.min(c).over(over)) / (F.max(c).over(over) - F.min(c).over(over) + 1e-8) for c in cols}
-    )
-    return out if keys else out.drop("_all")
+    aggs = [f(c).alias(f"_{n}_{c}") for c in cols for n, f in (("lo", F.min), ("hi", F.max))]
+    out = with_group_stats(base, k, cols, *aggs)
+    scaled = {c: (F.col(c) - F.col(f"_lo_{c}")) / (F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + 1e-8) for c in cols}
+    return out.withColumns(scaled).drop("_all", *[f"_{n}_{c}" for c in cols for n in ("lo", "hi")])

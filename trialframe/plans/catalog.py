@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import queries_raster  # noqa: F401
+from . import queries_raster, queries_stats  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
