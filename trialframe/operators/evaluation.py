@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, REGIONS
+from .lineage import cut
 from .skew import attach, hash_bucket, with_position
 from .stats import add
 
@@ -171,8 +172,8 @@ def holdout_split(trials: DataFrame, holdout: Column, adapt_frac: float = 0.2, v
 
 
 def _two_step(trials: DataFrame, test: Column, val: Column, seed: int, rest: Column) -> DataFrame:
-    labelled = trials.where(F.col("label").isNotNull()).select("session", "trial", "label")
-    first = split_out(labelled, test, seed)
+    labelled = cut(trials.where(F.col("label").isNotNull()).select("session", "trial", "label"))
+    first = cut(split_out(labelled, test, seed))
     second = split_out(first.where(~F.col("out")).drop("out"), val, seed + 1)
     return first.where("out").drop("out").withColumn("split", F.lit("test")).unionByName(
         second.withColumn("split", F.when(F.col("out"), "val").otherwise(rest)).drop("out")

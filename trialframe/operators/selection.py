@@ -11,6 +11,7 @@ from ..functions import signal as S
 from ..functions import text
 from ..schema import CLASSES, CRITERIA, REGIONS, UNIT, SelectionA, SelectionB
 from . import stats
+from .lineage import cut
 from .raster import psth, psth_arrays, unit_sizes, unit_trial_counts
 from .skew import hash_bucket, value_bucket, with_position
 from .spectral import spectral_selectivity_a, tf_selectivity_b
@@ -52,9 +53,10 @@ def unit_criteria(
 
 def with_q_values(table: DataFrame, criteria: tuple[str, ...] = CRITERIA) -> DataFrame:
     """Adds q_<criterion>: one correction per session and criterion, all regions pooled."""
+    table = cut(table)
     entries = F.array(*[F.struct(F.lit(c).alias("criterion"), F.col(f"p_{c}").alias("p")) for c in criteria])
     long = table.select(*U, F.inline(entries))
-    q = stats.bh_fdr(long, ["session", "criterion"])
+    q = stats.bh_fdr(long, ["session", "criterion"], settled=True)
     wide = q.groupBy(*U).agg(*[F.max(F.when(F.col("criterion") == c, F.col("q"))).alias(f"q_{c}") for c in criteria])
     return table.join(wide, U, "left")
 
@@ -205,7 +207,9 @@ def composite_inputs(
     coupling = stats.pearson_arrays(traces, U, F.col("ctx"), S.resample(F.col("tgt"), n_ctx))
     by_class = psth_arrays(psth(binned, units, trials, by_class=True), units, n_ctx, n_tgt, ("label",))
     tf = tf_selectivity_b(by_class, U, "ctx", tf_bin_s or bin_s)
-    return moments.join(coupling, U, "left").join(tf, U, "left").fillna(0.0, ["coupling", "tf_selectivity"])
+    table = moments.join(coupling, U, "left").join(tf, U, "left").fillna(0.0, ["coupling", "tf_selectivity"])
+    # read several times by the priors, z-scores and positions
+    return cut(table)
 
 
 def with_priors(inputs: DataFrame, keys: list[str] = ["session", "region"]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import signal as S
 from ..schema import CLASSES, UNIT
 from .raster import raster_rows
-from .stats import K, kruskal
+from .stats import K, kruskal, with_zeros
 
 
 def band_histogram(powers: DataFrame, sizes: DataFrame, keys: list[str], bands: list[str], digits: int = 6) -> DataFrame:
@@ -20,23 +20,12 @@ def band_histogram(powers: DataFrame, sizes: DataFrame, keys: list[str], bands:
     rows = powers.where(F.col("label").isNotNull()).select(
         *keys, "label", F.posexplode("power").alias("band_idx", "v")
     )
-    counts = [F.count_if(F.col("label") == c).alias(f"c_{i}") for i, c in enumerate(CLASSES)]
-    seen = rows.withColumn("v", F.round("v", digits) + 0.0).groupBy(*keys, "band_idx", "v").agg(*counts)
-    per_key = powers.groupBy(*keys).agg(
-        *[F.count_if(F.col("label") == c).alias(f"x_{i}") for i, c in enumerate(CLASSES)]
+    ones = [F.count_if(F.col("label") == c).alias(f"c_{i}") for i, c in enumerate(CLASSES)]
+    seen = rows.withColumn("v", F.round("v", digits) + 0.0).groupBy(*keys, "band_idx", "v").agg(*ones)
+    per_band = sizes.select(
+        *keys, *[f"n_{i}" for i in K], F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1))).alias("band_idx")
     )
-    silent = (
-        sizes.join(per_key, keys, "left")
-        .select(
-            *keys,
-            F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1))).alias("band_idx"),
-            F.lit(0.0).alias("v"),
-            *[(F.col(f"n_{i}") - F.coalesce(F.col(f"x_{i}"), F.lit(0))).alias(f"c_{i}") for i in K],
-        )
-        .where(F.col("c_0") + F.col("c_1") + F.col("c_2") > 0)
-    )
-    both = seen.unionByName(silent)
-    return both.groupBy(*keys, "band_idx", "v").agg(*[F.sum(f"c_{i}").alias(f"c_{i}") for i in K])
+    return with_zeros(seen, per_band, [*keys, "band_idx"], ["v"], {f"c_{i}": f"n_{i}" for i in K})
 
 
 def band_tests(hist: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf, correlation_p
 from ..schema import CLASSES, UNIT
+from .lineage import cut
 from .skew import attach, value_bucket, with_group_stats, with_prefix
 
 K = range(len(CLASSES))
@@ -103,20 +104,26 @@ def preferred_class() -> Column:
 
 
 def class_histogram(unit_trials: DataFrame, sizes: DataFrame, value: str = "ctx") -> DataFrame:
-    """Per unit and distinct value v: trials c_0..c_2 of each class, zero-count trials included."""
-    counts = [F.count_if(F.col("label") == c).alias(f"c_{i}") for i, c in enumerate(CLASSES)]
-    seen = (
-        unit_trials.where(F.col("label").isNotNull() & (F.col(value) > 0))
-        .groupBy(*UNIT, F.col(value).alias("v"))
-        .agg(*counts)
-    )
-    active = seen.groupBy(*UNIT).agg(*[F.sum(f"c_{i}").alias(f"x_{i}") for i in K])
-    zeros = sizes.join(active, list(UNIT), "left").select(
-        *UNIT,
-        F.lit(0).cast(seen.schema["v"].dataType).alias("v"),
-        *[(F.col(f"n_{i}") - F.coalesce(F.col(f"x_{i}"), F.lit(0))).alias(f"c_{i}") for i in K],
-    )
-    return seen.unionByName(zeros)
+    """Per unit and distinct value v: trials c_0..c_2 of each class, zero-count trials included.
+
+    A trial with spikes adds one to its value and takes one off the zeros; `sizes` gives all trials to
+    the zeros first. So one pass over the sparse rows is enough.
+    """
+    rows = unit_trials.where(F.col("label").isNotNull() & (F.col(value) > 0))
+    ones = [F.count_if(F.col("label") == c).alias(f"c_{i}") for i, c in enumerate(CLASSES)]
+    seen = rows.groupBy(*UNIT, F.col(value).alias("v")).agg(*ones)
+    return with_zeros(seen, sizes, list(UNIT), ["v"], {f"c_{i}": f"n_{i}" for i in K})
+
+
+def with_zeros(seen: DataFrame, sizes: DataFrame, keys: list[str], values: list[str], counts: dict[str, str]) -> DataFrame:
+    """Histogram rows plus the row of all-zero values, whose counts are the sizes less the rows seen."""
+    zero = {v: F.lit(0).cast(seen.schema[v].dataType) for v in values}
+    plus = F.struct(*[F.col(v) for v in values], *[F.col(c) for c in counts])
+    minus = F.struct(*[zero[v].alias(v) for v in values], *[(-F.col(c)).alias(c) for c in counts])
+    moved = seen.select(*keys, F.inline(F.array(plus, minus)))
+    every = sizes.select(*keys, *[zero[v].alias(v) for v in values], *[F.col(n).cast("long").alias(c) for c, n in counts.items()])
+    summed = moved.unionByName(every).groupBy(*keys, *values).agg(*[F.sum(c).alias(c) for c in counts])
+    return summed.where(add(F.col(c) for c in counts) > 0)
 
 
 def kruskal(hist: DataFrame, keys: list[str], spread: bool = False) -> DataFrame:
@@ -128,7 +135,7 @@ def kruskal(hist: DataFrame, keys: list[str], spread: bool = False) -> DataFrame
     """
     sums = [F.sum(f"c_{k}").alias(f"n_{k}") for k in K]
     if spread:
-        sized = with_group_stats(hist, keys, ["v"], *sums)
+        sized = with_group_stats(cut(hist), keys, ["v"], *sums)
     else:
         over = Window.partitionBy(*keys)
         sized = hist.withColumns({f"n_{k}": F.sum(f"c_{k}").over(over) for k in K})
@@ -213,21 +220,9 @@ def spearman_global(df: DataFrame, x: str, y: str, keys: list[str] = []) -> Data
 
 def coupling_pairs(unit_trials: DataFrame, sizes: DataFrame, x: str = "late", y: str = "tgt") -> DataFrame:
     """Per unit: distinct (x, y) counts with the number of trials, silent trials as (0, 0)."""
-    seen = (
-        unit_trials.where(F.col("label").isNotNull() & ((F.col(x) > 0) | (F.col(y) > 0)))
-        .groupBy(*UNIT, x, y)
-        .agg(F.count("*").alias("c"))
-    )
-    active = seen.groupBy(*UNIT).agg(F.sum("c").alias("a"))
-    zeros = (
-        sizes.join(active, list(UNIT), "left")
-        .select(
-            *UNIT, F.lit(0).cast("long").alias(x), F.lit(0).cast("long").alias(y),
-            (F.col("n_trials") - F.coalesce(F.col("a"), F.lit(0))).alias("c"),
-        )
-        .where(F.col("c") > 0)
-    )
-    return seen.unionByName(zeros)
+    rows = unit_trials.where(F.col("label").isNotNull() & ((F.col(x) > 0) | (F.col(y) > 0)))
+    seen = rows.groupBy(*UNIT, x, y).agg(F.count("*").alias("c"))
+    return with_zeros(seen, sizes, list(UNIT), [x, y], {"c": "n_trials"})
 
 
 def spearman_coupling(unit_trials: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -261,12 +256,18 @@ def pearson_arrays(df: DataFrame, keys: list[str], a: Column, b: Column) -> Data
 # ---------------------------------------------------------------- false discovery rate
 
 
-def bh_fdr(df: DataFrame, keys: list[str], p: str = "p", q: str = "q", spread: list[str] = ("unit",)) -> DataFrame:
+def bh_fdr(
+    df: DataFrame, keys: list[str], p: str = "p", q: str = "q", spread: list[str] = ("unit",), settled: bool = False
+) -> DataFrame:
     """Benjamini-Hochberg q per key. NULL p is not counted and stays NULL.
 
+    The tests are read several times, so they are written once first unless the caller says they are
+    `settled`.
+
     q depends on p only, so the ordering runs on distinct p values; the running minimum from the right
     is the minimum inside a p bucket and over all later buckets.
     """
+    df = df if settled else cut(df)
     distinct = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count("*").alias("_c"))
     bucket = value_bucket(F.col(p))
     ranked = with_prefix(distinct, keys, [p], F.col("_c"), bucket, total="_n")
