@@ -80,7 +80,7 @@ def lick_list(text: Column, strict: bool = False) -> Column:
     """`"1.2; 1.3,,"` -> [1.2, 1.3]; missing words give an empty list; strict raises on a bad token."""
     clean = F.trim(text)
     parts = F.split(F.translate(clean, ";", ","), ",")
-    tokens = F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    tokens = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
     numbers = F.transform(tokens, lambda x: x.cast("double") if strict else x.try_cast("double"))
     if not strict:
         numbers = F.filter(numbers, lambda x: x.isNotNull())

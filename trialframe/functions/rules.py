@@ -115,3 +115,12 @@ def trial_reason(
         steps.append(F.when(implied.isNotNull() & (implied != folder), mismatch))
         steps.append(F.when(implied.isNull(), F.lit("licked_both_sides")))
     return F.coalesce(*steps)
+
+
+def label_precedence(
+    folder: Column, has_row: Column, has_left: Column, has_right: Column, outcome: Column, rules: QcRules = QcRules()
+) -> tuple[Column, Column]:
+    """(label, label_source): the action of the log row where one exists, else the folder."""
+    action = action_class_b(has_left, has_right, outcome, rules)
+    label = F.when(has_row, action).otherwise(folder).alias("label")
+    return label, F.when(has_row, "csv+folder").otherwise("folder").alias("label_source")

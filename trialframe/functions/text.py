@@ -2,46 +2,59 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schema import CRITERIA
 
 
-def percent(x: Column) -> Column:
-    return F.format_string("%.0f%%", F.bround(x * 100))
+def number(x: Column, spec: str) -> Column:
+    """A number in a format such as `.1e` or `+.2f`, rounded on its exact binary value. The JVM formatter
+    rounds the shortest decimal instead, which differs on ties; these texts are written once per unit."""
+
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: format(v, spec), na_action="ignore").astype(object)
+
+    return F.pandas_udf(run, StringType())(x.cast("double"))
 
 
 def reasons_a() -> Column:
     """One line per unit: failed floor alone, else the satisfied criteria joined by `; `."""
     c = F.col
     floor = F.concat(
-        F.format_string("below activity floor (%.1f Hz, active ", c("rate_hz")), percent(c("active_frac")), F.lit(")")
+        F.lit("below activity floor ("), number(c("rate_hz"), ".1f"), F.lit(" Hz, active "),
+        number(c("active_frac"), ".0%"), F.lit(")"),
     )
     met = F.concat_ws(
         "; ",
         F.when(
             c("c_selectivity"),
             F.format_string(
-                "choice-selective delay rate (q=%.1e, eta2=%.2f, d(L-R)=%s)",
-                c("q_selectivity"), c("eta_sq"), F.coalesce(F.format_string("%+.2f", c("d_left_right")), F.lit("+nan")),
+                "choice-selective delay rate (q=%s, eta2=%s, d(L-R)=%s)",
+                number(c("q_selectivity"), ".1e"), number(c("eta_sq"), ".2f"),
+                F.coalesce(number(c("d_left_right"), "+.2f"), F.lit("+nan")),
             ),
         ),
         F.when(
             c("c_coupling"),
             F.format_string(
-                "late-delay rate predicts own response rate (rho=%+.2f, q=%.1e)", c("rho_coupling"), c("q_coupling")
+                "late-delay rate predicts own response rate (rho=%s, q=%s)",
+                number(c("rho_coupling"), "+.2f"), number(c("q_coupling"), ".1e"),
             ),
         ),
         F.when(
             c("c_spectral"),
-            F.format_string("class-dependent %s-band wavelet power (q=%.1e)", c("spectral_band"), c("q_spectral")),
+            F.format_string(
+                "class-dependent %s-band wavelet power (q=%s)", c("spectral_band"), number(c("q_spectral"), ".1e")
+            ),
         ),
         F.when(
             c("c_ramp"),
             F.format_string(
-                "%s-ramping delay PSTH (rho=%+.2f, q=%.1e)",
-                F.when(c("ramp_rho") > 0, "up").otherwise("down"), c("ramp_rho"), c("q_ramp"),
+                "%s-ramping delay PSTH (rho=%s, q=%s)",
+                F.when(c("ramp_rho") > 0, "up").otherwise("down"), number(c("ramp_rho"), "+.2f"), number(c("q_ramp"), ".1e"),
             ),
         ),
     )
@@ -60,21 +73,22 @@ def reason_list_b(unit_type: Column | None = None) -> Column:
         F.when(
             c("dprime") > 0.8,
             F.format_string(
-                "Choice-discriminative delay rate (d′=%.2f vs other actions; prefers %s).", c("dprime"), c("preferred_class")
+                "Choice-discriminative delay rate (d′=%s vs other actions; prefers %s).",
+                number(c("dprime"), ".2f"), c("preferred_class"),
             ),
         ),
         F.when(
             c("coupling") > 0.25,
-            F.format_string("Delay PSTH shape predicts this unit’s lick-period PSTH (r=%.2f).", c("coupling")),
+            F.format_string("Delay PSTH shape predicts this unit’s lick-period PSTH (r=%s).", number(c("coupling"), ".2f")),
         ),
         F.when(
             c("tf_selectivity") > 0.02,
-            F.format_string("Delay-period β/low-γ wavelet power is class-modulated (TF score=%.2f).", c("tf_selectivity")),
+            F.format_string("Delay-period β/low-γ wavelet power is class-modulated (TF score=%s).", number(c("tf_selectivity"), ".2f")),
         ),
         F.when(
             c("attention") > 0,
             F.format_string(
-                "Neuron attention is high (a=%.3f); the unit is used as past context.", c("attention")
+                "Neuron attention is high (a=%s); the unit is used as past context.", number(c("attention"), ".3f")
             ),
         ),
         F.when(
