@@ -94,7 +94,8 @@ def reason_list_b(unit_type: Column | None = None) -> Column:
         F.when(
             c("prediction_gain") > 0,
             F.format_string(
-                "Occluding this unit raises lick-raster prediction error (ΔMSE gain=%.3f).", c("prediction_gain")
+                "Occluding this unit raises lick-raster prediction error (ΔMSE gain=%s).",
+                number(c("prediction_gain"), ".3f"),
             ),
         ),
         F.when(

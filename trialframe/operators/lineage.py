@@ -1,18 +1,30 @@
-"""Cut the lineage of iterative jobs in reliable storage."""
+"""Settle intermediate tables in reliable storage, so a lost executor repeats little work."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder the cluster names in spark.checkpoint.dir. Only where none is set (tests,
-    one machine) a temporary folder is used."""
-    spark = SparkSession.getActiveSession() or df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names; a temporary one only where none is set (tests, one machine)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trialframe-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint a small or narrow table: its partitioning stays known to later steps."""
+    _folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write a large table as Parquet and read it back: later steps prune columns and push filters."""
+    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

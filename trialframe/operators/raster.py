@@ -137,12 +137,15 @@ def raster_rows(binned: DataFrame, win: str, n: int, keys: list[str] | None = No
     )
 
 
-def psth(binned: DataFrame, units: DataFrame, trials: DataFrame, by_class: bool = False) -> DataFrame:
-    """Mean count per unit and bin over all labelled trials (or those of each class); sparse."""
+def psth(binned: DataFrame, sizes: DataFrame, by_class: bool = False) -> DataFrame:
+    """Mean count per unit and bin over all labelled trials (or those of each class); sparse.
+
+    `sizes` is one row per unit, so the join shares the unit key of the sums.
+    """
     labelled = binned.where(F.col("label").isNotNull())
     extra = ["label"] if by_class else []
     sums = labelled.groupBy(*UNIT, "win", "bin", *extra).agg(F.sum("n").alias("total"))
-    sized = attach(sums, class_sizes(trials), ["session"], ["unit", "bin"])
+    sized = sums.join(sizes, list(UNIT))
     n = F.col("n_trials")
     if by_class:
         n = F.coalesce(*[F.when(F.col("label") == c, F.col(f"n_{i}")) for i, c in enumerate(CLASSES)])

@@ -11,7 +11,7 @@ from ..functions import signal as S
 from ..functions import text
 from ..schema import CLASSES, CRITERIA, REGIONS, UNIT, SelectionA, SelectionB
 from . import stats
-from .lineage import cut
+from .lineage import cut, written
 from .raster import psth, psth_arrays, unit_sizes, unit_trial_counts
 from .skew import hash_bucket, value_bucket, with_position
 from .spectral import spectral_selectivity_a, tf_selectivity_b
@@ -26,9 +26,13 @@ def unit_criteria(
     binned: DataFrame, units: DataFrame, trials: DataFrame, *, n_ctx: int, n_tgt: int, late_bins: int,
     bin_s: float, target_bin_s: float, p: SelectionA = SelectionA(),
 ) -> DataFrame:
-    """One row per unit with rates, effect sizes, four p-values and their session-wide q-values."""
-    sizes = unit_sizes(units, trials)
-    per_trial = unit_trial_counts(binned, n_ctx, late_bins)
+    """One row per unit with rates, effect sizes, four p-values and their session-wide q-values.
+
+    The binned counts feed five statistics, so they are written once; the spikes are read and joined once.
+    """
+    binned = written(binned)
+    sizes = cut(unit_sizes(units, trials))
+    per_trial = cut(unit_trial_counts(binned, n_ctx, late_bins))
     moments = stats.class_moments(per_trial, sizes)
     duration = n_ctx * bin_s
     base = moments.select(
@@ -44,7 +48,7 @@ def unit_criteria(
         *U, F.col("rho").alias("rho_coupling"), F.col("p").alias("p_coupling")
     )
     spectral = spectral_selectivity_a(binned, sizes, n_ctx, bin_s, p.bands_hz, p.smoothing_sigma_bins)
-    traces = psth_arrays(psth(binned, units, trials), units, n_ctx, n_tgt)
+    traces = psth_arrays(psth(binned, sizes), sizes, n_ctx, n_tgt)
     smoothed = S.gaussian_smooth(S.rate(F.col("ctx"), bin_s), p.smoothing_sigma_bins)
     ramp = stats.spearman_ramp(traces, smoothed).select(*U, F.col("rho").alias("ramp_rho"), F.col("p").alias("p_ramp"))
     table = reduce(lambda a, b: a.join(b, U, "left"), [base, selectivity, coupling, spectral, ramp])
@@ -195,7 +199,8 @@ def composite_inputs(
 ) -> DataFrame:
     """Unit rows with d', coupling, time-frequency selectivity, delay rate and preferred class."""
     duration = n_ctx * bin_s
-    sizes = unit_sizes(units, trials)
+    binned = written(binned)
+    sizes = cut(unit_sizes(units, trials))
     moments = stats.class_moments(unit_trial_counts(binned, n_ctx, n_ctx), sizes).select(
         *U,
         stats.choice_score(duration).alias("dprime"),
@@ -203,9 +208,9 @@ def composite_inputs(
         stats.mean_rate(duration).alias("delay_rate_hz"),
         stats.preferred_class().alias("preferred_class"),
     )
-    traces = psth_arrays(psth(binned, units, trials), units, n_ctx, n_tgt)
+    traces = psth_arrays(psth(binned, sizes), sizes, n_ctx, n_tgt)
     coupling = stats.pearson_arrays(traces, U, F.col("ctx"), S.resample(F.col("tgt"), n_ctx))
-    by_class = psth_arrays(psth(binned, units, trials, by_class=True), units, n_ctx, n_tgt, ("label",))
+    by_class = psth_arrays(psth(binned, sizes, by_class=True), sizes, n_ctx, n_tgt, ("label",))
     tf = tf_selectivity_b(by_class, U, "ctx", tf_bin_s or bin_s)
     table = moments.join(coupling, U, "left").join(tf, U, "left").fillna(0.0, ["coupling", "tf_selectivity"])
     # read several times by the priors, z-scores and positions

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from . import queries_catalog, queries_raster, queries_selection, queries_stats  # noqa: F401
+from . import queries_catalog, queries_raster, queries_selection, queries_signal, queries_stats  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

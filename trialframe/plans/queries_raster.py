@@ -252,7 +252,7 @@ SELECT {UK}, win, {b('bin', 'bin')}, {r('sum(n) / n_trials', 'mean_count')}
 FROM cells JOIN sizes USING (session) WHERE label IS NOT NULL GROUP BY {UK}, win, bin, n_trials""")
 def psth(spark, sf):
     binned, tr, un = counts(spark, sf)
-    return R.psth(binned, un, tr)
+    return R.psth(binned, R.unit_sizes(un, tr))
 
 
 @query("psth_by_class", BASE + f"""
@@ -261,7 +261,7 @@ SELECT {UK}, label, win, {b('bin', 'bin')},
 FROM cells JOIN sizes USING (session) WHERE label IS NOT NULL GROUP BY {UK}, label, win, bin, n_0, n_1, n_2""")
 def psth_by_class(spark, sf):
     binned, tr, un = counts(spark, sf)
-    return R.psth(binned, un, tr, by_class=True)
+    return R.psth(binned, R.unit_sizes(un, tr), by_class=True)
 
 
 CLASS_MEANS = ", ".join(

@@ -148,7 +148,7 @@ sm AS (
 
 def traces(spark, sf):
     binned, tr, un = counts(spark, sf)
-    return R.psth_arrays(R.psth(binned, un, tr), un, B.N_CTX, B.N_TGT)
+    return R.psth_arrays(R.psth(binned, R.unit_sizes(un, tr)), un, B.N_CTX, B.N_TGT)
 
 
 @query("spearman_ramp", BASE + SMOOTH + ", sr AS (SELECT session, region, unit, bin, round(v, 6) AS v FROM sm)"
