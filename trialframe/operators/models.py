@@ -118,20 +118,20 @@ def fit_linear(
         model = _raw(beta, icept)
         scored = _trial_scores(rows, trials, model)
         res = scored.select(*TRIAL, *[(F.col("w") * r).alias(f"r_{k}") for k, r in enumerate(_residuals(loss))])
-        per_session = res.groupBy("session").agg(*[F.sum(f"r_{k}").alias(f"R_{k}") for k in C])
+        per_session = res.groupBy("session").agg(*[F.sum(f"r_{k}").alias(f"sum_r_{k}") for k in C])
         grads = (
             rows.join(res, TRIAL)
             .groupBy(*U)
-            .agg(*[F.sum(F.col("x") * F.col(f"r_{k}")).alias(f"G_{k}") for k in C])
+            .agg(*[F.sum(F.col("x") * F.col(f"r_{k}")).alias(f"sum_xr_{k}") for k in C])
         )
         beta = attach(beta.join(grads, U, "left"), per_session, ["session"], ["unit"])
         g = {
-            f"g_{k}": c * (F.coalesce(F.col(f"G_{k}"), zero) - F.col("m") * F.col(f"R_{k}")) / F.col("s") + F.col(f"b_{k}")
+            f"g_{k}": c * (F.coalesce(F.col(f"sum_xr_{k}"), zero) - F.col("m") * F.col(f"sum_r_{k}")) / F.col("s") + F.col(f"b_{k}")
             for k in C
         }
-        beta = beta.withColumns(g).drop(*[f"{p}_{k}" for p in "GR" for k in C])
-        icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"R_{k}") for k in C})
-        icept = icept.drop(*[f"R_{k}" for k in C])
+        beta = beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C])
+        icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"sum_r_{k}") for k in C})
+        icept = icept.drop(*[f"sum_r_{k}" for k in C])
         alpha = _step_sizes(beta, icept, first, step)
         beta = _advance(attach(beta, alpha, ["session"], ["unit"]))
         icept = _advance(icept.join(alpha, "session"))
