@@ -94,9 +94,13 @@ def _residuals(loss: str) -> list[Column]:
 
 
 def fit_linear(
-    features: DataFrame, train: DataFrame, *, c: float = 0.5, steps: int = 15, loss: str = "logistic", cut_every: int = 5,
+    features: DataFrame, train: DataFrame, *, c: float = 0.5, steps: int = 15, loss: str = "logistic",
 ) -> LinearModel:
-    """Fit every session on its training trials (session, trial, label)."""
+    """Fit every session on its training trials (session, trial, label).
+
+    The state is settled after each step: a step reads it several times, so an open lineage would double
+    with every step.
+    """
     trials = cut(_weights(train))
     scale = cut(feature_scale(features, train))
     # in-scale units only; each copy keeps the partitioning its join needs
@@ -106,9 +110,8 @@ def fit_linear(
     curvature = 0.5 if loss == "logistic" else 2.0
     per_unit = scale.groupBy("session").agg(F.count("*").alias("_d"))
     per_trial = trials.groupBy("session").agg(F.sum("w").alias("_w"))
-    first = per_unit.join(per_trial, "session").select(
-        "session", (1.0 / (1.0 + c * curvature * F.col("_w") * (F.col("_d") + 1))).alias("a0")
-    )
+    first = per_unit.join(per_trial, "session")
+    first = cut(first.select("session", (1.0 / (1.0 + c * curvature * F.col("_w") * (F.col("_d") + 1))).alias("a0")))
     zero = F.lit(0.0)
     state = {f"{v}_{k}": zero for v in ("b", "pb", "pg") for k in C}
     beta = scale.withColumns(state)
@@ -129,15 +132,14 @@ def fit_linear(
             f"g_{k}": c * (F.coalesce(F.col(f"sum_xr_{k}"), zero) - F.col("m") * F.col(f"sum_r_{k}")) / F.col("s") + F.col(f"b_{k}")
             for k in C
         }
-        beta = beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C])
+        beta = cut(beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C]))
         icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"sum_r_{k}") for k in C})
-        icept = icept.drop(*[f"sum_r_{k}" for k in C])
-        alpha = _step_sizes(beta, icept, first, step)
+        icept = cut(icept.drop(*[f"sum_r_{k}" for k in C]))
+        alpha = cut(_step_sizes(beta, icept, first, step))
         beta = _advance(attach(beta, alpha, ["session"], ["unit"]))
         icept = _advance(icept.join(alpha, "session"))
-        if (step + 1) % cut_every == 0:
-            beta, icept = cut(beta), cut(icept)
-    return _raw(beta, icept)
+    model = _raw(beta, icept)
+    return LinearModel(cut(model.coef), cut(model.offset))
 
 
 def _step_sizes(beta: DataFrame, icept: DataFrame, first: DataFrame, step: int) -> DataFrame:

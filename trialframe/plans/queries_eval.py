@@ -162,16 +162,23 @@ def feature_scale(spark, sf):
     return M.feature_scale(features, labelled(spark, sf).where(TRAIN_RULE))
 
 
-STEPS = 10
+STEPS = 12
+_FITTED: dict = {}
 
 
 def fitted(spark, sf, loss: str = "logistic", steps: int = STEPS):
-    """(binned, features, train, test, model) of the per-session baseline on all units."""
-    binned = written(counts(spark, sf)[0])
-    features = cut(M.mean_rate_features(binned, B.N_CTX))
-    tr = cut(labelled(spark, sf))
-    train, test = tr.where(TRAIN_RULE), tr.where(f"NOT ({TRAIN_RULE})")
-    return binned, features, train, test, M.fit_linear(features, train, steps=steps, loss=loss)
+    """(binned, features, train, test, model) of the per-session baseline on all units.
+
+    One model serves every evaluation of a session and data folder; its tables are settled in storage.
+    """
+    key = (spark.sparkContext.applicationId, sf, loss, steps)
+    if key not in _FITTED:
+        binned = written(counts(spark, sf)[0])
+        features = cut(M.mean_rate_features(binned, B.N_CTX))
+        tr = cut(labelled(spark, sf))
+        train, test = tr.where(TRAIN_RULE), tr.where(f"NOT ({TRAIN_RULE})")
+        _FITTED[key] = (binned, features, train, test, M.fit_linear(features, train, steps=steps, loss=loss))
+    return _FITTED[key]
 
 
 @query("logreg_baseline")
