@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, UNIT
-from .lineage import cut
+from .lineage import written
 from .skew import attach
 from .stats import add
 
@@ -98,20 +98,21 @@ def fit_linear(
 ) -> LinearModel:
     """Fit every session on its training trials (session, trial, label).
 
-    The state is settled after each step: a step reads it several times, so an open lineage would double
+    The state is written after each step: a step reads it several times, so an open lineage (and the size
+    estimate a checkpoint carries along) would double
     with every step.
     """
-    trials = cut(_weights(train))
-    scale = cut(feature_scale(features, train))
+    trials = written(_weights(train))
+    scale = written(feature_scale(features, train))
     # in-scale units only; each copy keeps the partitioning its join needs
     rows = features.join(trials.select(*TRIAL), TRIAL, "left_semi").select(*U, "trial", "x")
-    rows = cut(rows)
+    rows = written(rows)
 
     curvature = 0.5 if loss == "logistic" else 2.0
     per_unit = scale.groupBy("session").agg(F.count("*").alias("_d"))
     per_trial = trials.groupBy("session").agg(F.sum("w").alias("_w"))
     first = per_unit.join(per_trial, "session")
-    first = cut(first.select("session", (1.0 / (1.0 + c * curvature * F.col("_w") * (F.col("_d") + 1))).alias("a0")))
+    first = written(first.select("session", (1.0 / (1.0 + c * curvature * F.col("_w") * (F.col("_d") + 1))).alias("a0")))
     zero = F.lit(0.0)
     state = {f"{v}_{k}": zero for v in ("b", "pb", "pg") for k in C}
     beta = scale.withColumns(state)
@@ -132,14 +133,14 @@ def fit_linear(
             f"g_{k}": c * (F.coalesce(F.col(f"sum_xr_{k}"), zero) - F.col("m") * F.col(f"sum_r_{k}")) / F.col("s") + F.col(f"b_{k}")
             for k in C
         }
-        beta = cut(beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C]))
+        beta = written(beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C]))
         icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"sum_r_{k}") for k in C})
-        icept = cut(icept.drop(*[f"sum_r_{k}" for k in C]))
-        alpha = cut(_step_sizes(beta, icept, first, step))
+        icept = written(icept.drop(*[f"sum_r_{k}" for k in C]))
+        alpha = written(_step_sizes(beta, icept, first, step))
         beta = _advance(attach(beta, alpha, ["session"], ["unit"]))
         icept = _advance(icept.join(alpha, "session"))
     model = _raw(beta, icept)
-    return LinearModel(cut(model.coef), cut(model.offset))
+    return LinearModel(written(model.coef), written(model.offset))
 
 
 def _step_sizes(beta: DataFrame, icept: DataFrame, first: DataFrame, step: int) -> DataFrame:
