@@ -1,4 +1,5 @@
-"""Trial, video and log catalogs from folder layouts. Only paths are read, never file contents."""
+"""Trial, video and log catalogs from folder layouts. Only paths are read, never file contents; Spark leaves
+out files of zero bytes."""
 
 from __future__ import annotations
 
