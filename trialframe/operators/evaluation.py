@@ -103,17 +103,18 @@ def class_weights(trials: DataFrame, keys: list[str] = [], label: str = "label")
     return counts.select(*keys, F.inline(rows))
 
 
-def cross_session(per_session: DataFrame, confusion: DataFrame) -> DataFrame:
-    """Mean of per-session metrics with the summed confusion counts and the fixed chance levels."""
-    means = per_session.agg(
-        F.avg("accuracy").alias("accuracy"), F.avg("balanced_accuracy").alias("balanced_accuracy"),
-        F.avg("macro_f1").alias("macro_f1"), F.sum("n").alias("n"),
-    )
-    sums = confusion.agg(*[F.sum(f"c_{i}{j}").alias(f"c_{i}{j}") for i in C for j in C])
-    # both sides are one-row aggregates
-    return means.withColumn("_k", F.lit(1)).join(sums.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumns(
-        {"chance_mean": F.lit(1.0 / 3.0), "chance_p95": F.lit(0.45)}
-    )
+def cross_session(per_session: DataFrame) -> DataFrame:
+    """Mean of per-session metrics with the summed confusion counts and the fixed chance levels.
+
+    `per_session` holds the confusion counts of every session.
+    """
+    means = [
+        F.avg(accuracy()).alias("accuracy"), F.avg(balanced_accuracy()).alias("balanced_accuracy"),
+        F.avg(macro_f1()).alias("macro_f1"), F.sum(add(_truth(i) for i in C)).alias("n"),
+    ]
+    cells = [F.sum(f"c_{i}{j}").alias(f"c_{i}{j}") for i in C for j in C]
+    # The chance levels the aggregate reports.
+    return per_session.agg(*means, *cells, F.lit(1.0 / 3.0).alias("chance_mean"), F.lit(0.45).alias("chance_p95"))
 
 
 # ---------------------------------------------------------------- splits

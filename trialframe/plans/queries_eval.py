@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
@@ -78,9 +79,7 @@ SELECT {r('avg(accuracy)', 'accuracy')}, {r('avg(balanced_accuracy)', 'balanced_
   CAST(sum(n) AS BIGINT) AS n, any_value(cm.c_00) AS c_00, {', '.join(f'any_value(cm.c_{i}{j}) AS c_{i}{j}' for i in range(3) for j in range(3) if i + j)},
   {r('1.0 / 3', 'chance_mean')}, {r('0.45', 'chance_p95')} FROM p_m CROSS JOIN cm""")
 def cross_session_agg(spark, sf):
-    p = predictions(spark, sf)
-    per = E.confusion_counts(p, ["session"])
-    return E.cross_session(E.metrics_of(per, ["session"]), per)
+    return E.cross_session(E.confusion_counts(predictions(spark, sf), ["session"]))
 
 
 @query("shuffle_chance")
@@ -217,11 +216,11 @@ def early_late(spark, sf):
 @query("region_ablation")
 def region_ablation(spark, sf):
     _, features, _, test, model = fitted(spark, sf)
-    base = E.metrics(M.predict(features, test, model)).select(
-        F.col("balanced_accuracy").alias("full"), F.lit(1).alias("k")
-    )
-    dropped = E.metrics(M.region_ablation(features, test, model, REGIONS), ["dropped"]).withColumn("k", F.lit(1))
-    return dropped.join(base, "k").drop("k").withColumn("delta", F.col("balanced_accuracy") - F.col("full")).drop("full")
+    scores = E.metrics(M.region_ablation(features, test, model, (*REGIONS, "none")), ["dropped"])
+    # five rows: every region, and none
+    whole = Window.partitionBy(F.lit(0))
+    full = F.max(F.when(F.col("dropped") == "none", F.col("balanced_accuracy"))).over(whole)
+    return scores.withColumn("delta", F.col("balanced_accuracy") - full)
 
 
 def sets_by_mode(spark, sf, k: int = 5):

@@ -37,8 +37,8 @@ def save_table(df: DataFrame, path: str, by: list[str] | None = None, form: str
 def payload(summary: DataFrame, top: DataFrame, name: str = "selected") -> DataFrame:
     """One JSON document: the fields of the one-row summary and a short list of rows."""
     # `top` is a limited report (at most a dozen rows)
-    rows = top.agg(F.collect_list(F.struct(*top.columns)).alias(name)).withColumn("_k", F.lit(1))
-    both = summary.withColumn("_k", F.lit(1)).join(rows, "_k").drop("_k")
+    rows = top.agg(F.collect_list(F.struct(*top.columns)))
+    both = summary.withColumn(name, rows.scalar())
     return both.select(F.to_json(F.struct(*both.columns)).alias("value"))
 
 
