@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set (tests, one machine)."""
+    """The checkpoint folder the cluster names; a temporary one only on one machine where none is set."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trialframe-"))
     return sc.getCheckpointDir()
 
