@@ -1,32 +1,29 @@
-"""Settle intermediate tables in reliable storage, so a lost executor repeats little work."""
+"""Settle intermediate tables in storage that all executors share, so a lost executor repeats little work."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def _folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only on one machine where none is set."""
+def folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where none is set, one in the session's warehouse."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        if named is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="trialframe-"))
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_settled")
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint a small or narrow table: its partitioning stays known to later steps."""
-    _folder(df.sparkSession)
+    folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a large table as Parquet and read it back: later steps prune columns and push filters."""
-    path = f"{_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Write a table as Parquet and read it back: later steps prune columns and push filters."""
+    path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
