@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, line_dedup, quality_rules, simhash, source_mixing
+from . import bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, quality_rules, simhash, source_mixing
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -195,3 +195,37 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus mixed to tempered source weights: every copy of every document, in shuffled order."""
     df = source_mixing.mixed(table(spark, sf_dir, "documents"))
     return df.select("doc.doc_id", "doc.source", "copy", "doc.text", "place")
+
+
+def _crc(column: str = "doc_id"):
+    return F.crc32(F.col(column).cast("string"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(_crc() % 3 == 1, F.lit(False))
+    net = language_id.train(language_id.sample(docs.filter(~held)))
+    done = language_id.predicted(docs.withColumn("held_out", held), net, keep=("doc_id", "held_out"))
+    return done.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op1_html_text")
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query("op8_hnsw")
+def op8_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows of every twentieth vector."""
+    rows = table(spark, sf_dir, "embeddings")
+    return hnsw.nearest(rows, rows.filter(F.col("vec_id") % 20 == 0))
+
+
+@query("op2_bit_mixing")
+def op2_bit_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from six sevenths of them."""
+    held = _crc() % 7 == 2
+    return bit_mixing.scores(table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
