@@ -36,7 +36,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.lineage import written
@@ -48,13 +48,18 @@ TOPICS = 8
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 CONTEXTS = 6
-LIST = 250_000
+#: Distinct pairs in a block's list.
+LIST = 1_000_000
+#: Pairs whose decisions are looked at together.
+CHUNK = 2048
 #: Tasks that fill slots or fit weights; each emits one copy of the model.
 TASKS = 256
 PART = 1 << 13
 MINI = 1 << 14
 STEPS = 33
 PRIOR = 0.4
+#: Weights that every gate starts from, by context.
+START = (0.3, 0.4, 0.5, 0.3, 0.2, 0.25)
 SCALE = 14
 SEED = 3
 
@@ -130,9 +135,9 @@ def _listed(batches: Iterator[pa.RecordBatch], topics: np.ndarray) -> Iterator[p
         if not docs:
             return
         block = docs[0][0]
-        names = ["kind", "block", "row", "id", "held", "bytes", "numbers", "counts", "topic", "token", "n"]
-        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.list_(pa.int32()),
-                 pa.list_(pa.int32()), pa.int32(), pa.binary(), pa.int64()]
+        names = ["kind", "block", "row", "id", "held", "bytes", "size", "packed", "topic", "token", "n"]
+        types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(),
+                 pa.binary(), pa.int32(), pa.binary(), pa.int64()]
         n = len(docs)
         columns = [[0] * n, [block] * n, *[[d[k] for d in docs] for k in range(6)], [None] * n, [None] * n, [None] * n]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
@@ -169,13 +174,15 @@ def _listed(batches: Iterator[pa.RecordBatch], topics: np.ndarray) -> Iterator[p
             if not held:
                 for k, c in zip(own.tolist(), count.tolist(), strict=True):
                     trained[k] += c
-            docs.append((row, doc_id, held, sum(map(len, found)) + len(found) + 1, own, count.astype(np.int32)))
+            both = np.concatenate([np.diff(own, prepend=0), count]).astype(np.int32)
+            packed = pa.compress(both.tobytes(), codec="zstd", asbytes=True)
+            docs.append((row, doc_id, held, sum(map(len, found)) + len(found) + 1, len(own), packed))
             if len(numbers) >= LIST:
                 yield from flush()
     yield from flush()
 
 
-_LISTED = ("kind int, block bigint, row bigint, id bigint, held boolean, bytes bigint, numbers array<int>, counts array<int>, "
+_LISTED = ("kind int, block bigint, row bigint, id bigint, held boolean, bytes bigint, size bigint, packed binary, "
            "topic int, token binary, n bigint")
 
 
@@ -296,10 +303,10 @@ def _state(zero: np.ndarray, one: np.ndarray) -> np.ndarray:
     return _LEVEL[np.minimum(zero, 16384).astype(np.int64)] * LEVELS + _LEVEL[np.minimum(one, 16384).astype(np.int64)]
 
 
-def _odds(zero: np.ndarray, one: np.ndarray, learned: np.ndarray) -> np.ndarray:
+def _odds(zero: np.ndarray, one: np.ndarray, learned: np.ndarray, state: np.ndarray) -> np.ndarray:
     """Log odds of counts: by what such states came to where one outcome is rare."""
-    plain = np.log((one + PRIOR) / (zero + PRIOR))
-    return np.clip(np.where(np.minimum(zero, one) <= RARE, learned[_state(zero, one)], plain), -9, 9)
+    plain = np.log((one + np.float32(PRIOR)) / (zero + np.float32(PRIOR)))
+    return np.clip(np.where(np.minimum(zero, one) <= RARE, learned[state], plain), -9, 9)
 
 
 def _learned(hits: np.ndarray, total: np.ndarray) -> np.ndarray:
@@ -365,6 +372,13 @@ def _mapped(adapted: np.ndarray, gate: np.ndarray, mixed: np.ndarray) -> np.ndar
     return flat[gate * STEPS + low] * (1 - part) + flat[gate * STEPS + low + 1] * part
 
 
+def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches small enough that the arrays of their decisions stay in the processor's cache."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, CHUNK):
+            yield batch.slice(a, CHUNK)
+
+
 def _histogram(pairs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
@@ -385,7 +399,7 @@ def _slot_counts(pairs: DataFrame, tree: Code) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((CONTEXTS, SLOTS * 2))
-        for batch in batches:
+        for batch in _chunked(batches):
             d = Decisions(batch.column(0), batch.column(1).to_numpy(), tree)
             n = batch.column(2).to_numpy().astype(np.float64)[d.token]
             for k in range(CONTEXTS):
@@ -415,22 +429,28 @@ def _fitted(pairs: DataFrame, tree: Code, counts: np.ndarray) -> tuple[np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, counts = shared.value
-        weights = np.full((GATES, CONTEXTS), 0.25)
+        counts = counts.view(np.complex64)[:, :, 0]  # one look-up for both counts of a slot
+        odds_of = np.zeros((CONTEXTS, LEVELS**2))
+        fresh = 0
+        weights = np.tile(np.array(START), (GATES, 1))
         mean, square = np.zeros_like(weights), np.zeros_like(weights)
         seen = np.zeros(GATES)
         hits, total = np.zeros(GATES * STEPS), np.zeros(GATES * STEPS)
         state_hits, state_total = np.zeros((CONTEXTS, LEVELS**2)), np.zeros((CONTEXTS, LEVELS**2))
         step = 0
-        for batch in batches:
+        for batch in _chunked(batches):
             d = Decisions(batch.column(0), batch.column(1).to_numpy(), tree)
             y = d.bit.astype(np.float32)
             importance = np.sqrt(batch.column(2).to_numpy()).astype(np.float32)[d.token]
-            x, parts = np.zeros((CONTEXTS, len(y))), {}
+            x, parts = np.zeros((CONTEXTS, len(y)), np.float32), {}
+            if fresh < 8 or fresh % 8 == 0:
+                odds_of = np.stack([_learned(state_hits[k], state_total[k]) for k in range(CONTEXTS)]).astype(np.float32)
+            fresh += 1
             for k in range(CONTEXTS):
-                at = d.slots(k)
-                zero, one = counts[k, :, 0][at] - (1 - y), counts[k, :, 1][at] - y
-                x[k] = _odds(zero, one, _learned(state_hits[k], state_total[k]))
+                both = counts[k][d.slots(k)]
+                zero, one = both.real - (1 - y), both.imag - y
                 state = _state(zero, one)
+                x[k] = _odds(zero, one, odds_of[k], state)
                 state_hits[k] += np.bincount(state, weights=importance * y, minlength=LEVELS**2)
                 state_total[k] += np.bincount(state, weights=importance, minlength=LEVELS**2)
                 if k in (4, 5):
@@ -441,9 +461,9 @@ def _fitted(pairs: DataFrame, tree: Code, counts: np.ndarray) -> tuple[np.ndarra
             for a in range(0, len(y), MINI):
                 b = slice(a, a + MINI)
                 g, w = gate[b], importance[b]
-                mixed = np.zeros(len(g))
+                mixed = np.zeros(len(g), np.float32)
                 for k in range(CONTEXTS):
-                    mixed += weights[:, k][g] * x[k, b]
+                    mixed += weights[:, k].astype(np.float32)[g] * x[k, b]
                 mixed = np.clip(mixed, -12, 12)
                 error = w * (y[b] - 1 / (1 + np.exp(-mixed)))
                 amount = np.bincount(g, weights=w, minlength=GATES)
@@ -485,7 +505,7 @@ def fit(pairs: DataFrame) -> Model:
     else:
         weights, adapted, learned = np.zeros((GATES, CONTEXTS)), np.zeros((GATES, STEPS)), np.zeros((CONTEXTS, LEVELS**2))
     zero, one = counts[:, :, 0], counts[:, :, 1]
-    odds = np.stack([_odds(zero[k], one[k], learned[k]) for k in range(CONTEXTS)])
+    odds = np.stack([_odds(zero[k], one[k], learned[k], _state(zero[k], one[k])) for k in range(CONTEXTS)])
     filled = np.stack([_filled(zero[2] + one[2], (4, 64)), _sureness(zero[4], one[4]), _sureness(zero[5], one[5])])
     return Model(tree, np.rint(odds * SCALE).astype(np.int8), filled.astype(np.int8), weights.astype(np.float32), adapted.astype(np.float32))
 
@@ -495,8 +515,9 @@ def _scored(pairs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = shared.value.scores(batch.column(0), batch.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(s)], names=["token", "topic", "c", "s"])
+            s = [shared.value.scores(x.column(0), x.column(1).to_numpy()) for x in _chunked(iter([batch]))]
+            s = pa.array(np.concatenate(s) if s else np.zeros(0))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), s], names=["token", "topic", "c", "s"])
 
     return pairs.select("token", "topic", "c").mapInArrow(run, "token binary, topic int, c bigint, s double")
 
@@ -509,12 +530,12 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     topics = _clusters(_following(rows, "text"))
     listed = written(rows.mapInArrow(lambda it: _listed(it, topics), _LISTED))
     entries = listed.filter("kind = 1").select("block", F.col("row").cast("int").alias("number"), "topic", "token", "n")
-    by_pair = entries.groupBy("token", "topic").agg(F.sum("n").alias("n"))
-    by_token = by_pair.groupBy("token").agg(F.sum("n").alias("c"), F.collect_list(F.struct("topic", "n")).alias("each"))
-    pairs = written(by_token.select("token", "c", F.inline("each")))
+    # An entry is a sum already; a token has at most one for each block and topic.
+    dealt = entries.select("token", "topic", "n").repartition("token")
+    each = dealt.groupBy("token", "topic").agg(F.sum("n").alias("n"))
+    pairs = written(each.withColumn("c", F.sum("n").over(Window.partitionBy("token"))))
     known = by_token_totals(pairs)
     done = written(_scored(pairs, fit(pairs)))
-    # A pair is at most one row of a block's list, however often it stands in the corpus.
     found = entries.select("block", "number", "topic", "token").join(done, ["token", "topic"]).select(F.col("block").alias("of"), "number", "c", "s")
     return _summed(listed.filter("kind = 0"), found, *known)
 
@@ -534,9 +555,10 @@ def _summed(docs: DataFrame, found: DataFrame, n: int, v: int) -> DataFrame:
         c, s = right["c"].to_numpy()[order], right["s"].to_numpy()[order]
         base = np.log10((c + 1) / (n + v + 1))
         out = []
-        for row in left.select(["id", "held", "bytes", "numbers", "counts"]).to_batches():
-            for doc_id, held, size, at, k in zip(*[row.column(i) for i in range(5)], strict=True):
-                at, k = at.values.to_numpy(), k.values.to_numpy()
+        for row in left.select(["id", "held", "bytes", "size", "packed"]).to_batches():
+            for doc_id, held, size, m, packed in zip(*[row.column(i) for i in range(5)], strict=True):
+                both = np.frombuffer(pa.decompress(packed.as_py(), m.as_py() * 8, codec="zstd"), np.int32)
+                at, k = np.cumsum(both[: m.as_py()]), both[m.as_py() :]
                 score = float((s[at] * k).sum())
                 out.append((doc_id.as_py(), held.as_py(), int(k.sum()), int(k[c[at] > 0].sum()), n,
                             float((base[at] * k).sum()), score, -score / np.log10(2) / size.as_py()))
@@ -544,5 +566,5 @@ def _summed(docs: DataFrame, found: DataFrame, n: int, v: int) -> DataFrame:
         return pa.table([pa.array([o[i] for o in out], t) for i, t in enumerate(types)], names=names)
 
     schema = "id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, bits_per_byte double"
-    left = docs.select("block", "id", "held", "bytes", "numbers", "counts")
+    left = docs.select("block", "id", "held", "bytes", "size", "packed")
     return left.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(run, schema)
