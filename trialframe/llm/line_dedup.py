@@ -90,7 +90,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     runs = copied_runs(docs, doc_id, text, min_words)
     run = F.struct(F.col("from").alias("a"), F.col("to").alias("b"))
     gone = written(runs.groupBy("key").agg(F.array_sort(F.collect_list(run)).alias("gone")))
-    df = packed(docs, key=_key(F.col(doc_id), F.col(text)), body=F.col(text)).join(gone, "key", "left")
+    # The runs grow with the corpus: the same join at every size, not a broadcast while they are few.
+    df = packed(docs, key=_key(F.col(doc_id), F.col(text)), body=F.col(text)).join(gone.hint("merge"), "key", "left")
     df = df.withColumn("lines", F.split("body", "\n"))
     edges = F.concat(
         F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.col("gone"),
