@@ -8,7 +8,7 @@ text are escaped, so splitting the output at the markers gives the turns back ex
 `segments`: pieces of the formatted text in order, each with the flag whether it is trained on (the texts of
 the assistant, without markers).
 
-Defined cases: a null role or text is empty; a null turn number comes last; rows of equal turn number are
+Defined cases: a null role or text is empty; a null turn number comes first; rows of equal turn number are
 ordered by role, then text, and all of them stay; rows without conversation id form one conversation. A
 conversation is one output row and must fit one, as a document must.
 """

@@ -166,8 +166,6 @@ def _hidden(node: Node, parent: Node) -> bool:
     a = node.attributes
     if node.tag in UNSEEN or "hidden" in a or ("style" in a and _HIDING.search(a["style"])):
         return True
-    if parent.tag == "details" and "open" not in parent.attributes and node.tag != "summary":
-        return True
     if node.tag == "dialog" and "open" not in a:
         return True
     if node.tag == "option" and "selected" not in a:
@@ -306,7 +304,9 @@ def render(root: Node) -> str:
                 canvases.append(canvas)
                 canvas = Canvas()
             todo.append(("close", node, parent))
-            todo += [x if isinstance(x, str) else ("open", x, node) for x in reversed(node.children)]
+            closed = tag == "details" and "open" not in node.attributes
+            shown = [x for x in node.children if not closed or (isinstance(x, Node) and x.tag == "summary")]
+            todo += [x if isinstance(x, str) else ("open", x, node) for x in reversed(shown)]
             continue
         if tag in ("td", "th") and tables:
             span = node.attributes.get("colspan", "1")

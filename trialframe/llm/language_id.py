@@ -29,6 +29,7 @@ WIDTHS = (2, 3, 4)
 FILTERS = 16
 ROWS = 600
 PER_TEXT = 4
+PARTS = 16
 EPOCHS = 6
 BATCH = 64
 RATE = 0.01
@@ -150,8 +151,12 @@ def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: st
     place = F.xxhash64(F.lit(SEED), F.col(doc_id), F.col(text))
     keyed = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(doc_id).alias("id"), F.col(lang).alias("lang"), place.alias("place"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "id"))
-    chosen = keyed.withColumn("rank", rank).filter(F.col("rank") <= rows).select("lang", "place").distinct()
+    # A language that most rows have is ranked in parts first, so the last ranking sees a bounded number of rows.
+    keyed = keyed.withColumn("part", F.pmod("place", F.lit(PARTS)))
+    for by in (["lang", "part"], ["lang"]):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("place", "id"))
+        keyed = keyed.withColumn("rank", rank).filter(F.col("rank") <= rows).drop("rank")
+    chosen = keyed.select("lang", "place").distinct()
     # At most `rows` places a language: the table is broadcast for the size it is proven to have.
     texts = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), place.alias("place"))
     found = texts.join(F.broadcast(chosen), ["lang", "place"]).dropDuplicates(["lang", "place"])

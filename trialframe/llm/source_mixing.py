@@ -42,17 +42,17 @@ def uniform(*parts: Column) -> Column:
 def rates(docs: DataFrame, weights: dict[str, float] | None = None, source: str = "source", alpha: float = ALPHA, epochs: float = EPOCHS) -> DataFrame:
     """One row per source: `source`, `n`, `rate` (mean copies of a document)."""
     counts = written(docs.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")))
-    total = counts.agg(F.sum("n").alias("total"))
     if weights is None:
         weighed = counts.withColumn("weight", F.pow("n", F.lit(alpha)))
     else:
         given = docs.sparkSession.createDataFrame(list(weights.items()), "source string, weight double")
         weighed = counts.join(given, counts["source"].eqNullSafe(given["source"]), "left").select(
             counts["source"], "n", F.coalesce("weight", F.lit(0.0)).alias("weight"))
-    whole = weighed.agg(F.sum("weight").alias("whole"))
-    rate = F.when(F.col("whole") > 0, F.col("weight") / F.col("whole") * epochs * F.col("total") / F.col("n")).otherwise(0.0)
-    # Both sides of this join have one row each.
-    return weighed.crossJoin(F.broadcast(total.crossJoin(whole))).select("source", "n", rate.alias("rate"))
+    sums = weighed.agg(F.sum("n").alias("n"), F.sum("weight").alias("weight")).first()
+    if not sums["weight"]:
+        return weighed.select("source", "n", F.lit(0.0).alias("rate"))
+    rate = F.col("weight") / F.lit(float(sums["weight"])) * F.lit(float(epochs)) * F.lit(int(sums["n"])) / F.col("n")
+    return weighed.select("source", "n", rate.alias("rate"))
 
 
 def distribution(mean: Column) -> Column:
