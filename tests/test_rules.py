@@ -1,10 +1,12 @@
 """One hand table per rule that is easy to get wrong."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from trialframe.functions import epochs, parsing, rules
-from trialframe.operators import evaluation, raster, selection, stats
+from trialframe.functions import epochs, parsing, pvalues, rules
+from trialframe.operators import evaluation, raster, selection, stats, summary
 from trialframe.schema import QcRules, Windows
 
 
@@ -165,3 +167,26 @@ def test_incomplete_beta_matches_closed_form():
     x = np.linspace(0.01, 0.99, 25)
     assert np.allclose(incomplete_beta(2.0, 3.0, x), 6 * x**2 - 8 * x**3 + 3 * x**4)
     assert np.allclose(incomplete_beta(0.5, 0.5, x), 2 / np.pi * np.arcsin(np.sqrt(x)))
+
+
+def test_population_trace_of_selected_units(spark):
+    binned = spark.createDataFrame(
+        [("s", "ALM_L", 1, 7, "Left", "ctx", 0, 4), ("s", "ALM_L", 2, 7, "Left", "ctx", 0, 10)],
+        "session string, region string, unit long, trial long, label string, win string, bin int, n long",
+    )
+    chosen = spark.createDataFrame([("s", "ALM_L", 1)], "session string, region string, unit long")
+    assert [r["mean_count"] for r in raster.population_trace(binned, chosen).collect()] == [4.0]
+
+
+def test_audit_counts_reasons_by_their_code(spark):
+    rows = [("s", None), ("s", "csv_excluded:noise"), ("s", "csv_excluded:late start"), ("s", "label_mismatch(Left,Right)"), ("s", "csv_outcome_miss")]
+    got = summary.audit_summary(spark.createDataFrame(rows, "session string, reason string"), ["csv_excluded", "csv_outcome_miss"]).first()
+    assert (got["n_start"], got["n_kept"], got["n_excluded"]) == (5, 1, 4)
+    assert (got["excl_csv_excluded"], got["excl_csv_outcome_miss"], got["excl_other"]) == (2, 1, 1)
+
+
+def test_tail_of_one_degree(spark):
+    h = [0.0, 1e-9, 0.5, 3.84, 12.0, 12.6, 40.0, 300.0]
+    df = spark.createDataFrame([(float(x),) for x in h] + [(None,)], "h double")
+    got = [r["p"] for r in df.select(pvalues.chi2_sf(F.col("h"), F.lit(1)).alias("p")).collect()]
+    assert got[:-1] == [pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-9, abs=1e-300) for x in h] and got[-1] is None

@@ -13,20 +13,27 @@ from pyspark.sql.types import DoubleType
 
 @F.pandas_udf(DoubleType())
 def _erfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda v: math.erfc(v), na_action="ignore").astype(float)
+    """Complementary error function of x >= 0: a series of positive terms, beyond 2.5 a continued fraction."""
+    v = x.to_numpy(float)
+    near = np.clip(v, 0, 2.5)
+    term = total = 2 / math.sqrt(math.pi) * np.exp(-near * near) * near
+    for n in range(1, 60):
+        term = term * 2 * near * near / (2 * n + 1)
+        total = total + term
+    far = np.maximum(v, 2.5)
+    tail = far
+    for k in range(80, 0, -1):
+        tail = far + k / 2 / tail
+    return pd.Series(np.where(v > 2.5, np.exp(-far * far) / math.sqrt(math.pi) / tail, np.where(np.isnan(v), np.nan, 1 - total)))
 
 
 def chi2_sf(h: Column, df: Column) -> Column:
     """Chi-square upper tail for one or two degrees of freedom."""
     two = F.exp(-h / 2)
-    one = _erfc(F.when(df == 1, F.sqrt(F.greatest(h, F.lit(0.0)) / 2)))
+    one = _erfc(F.when((df == 1) & h.isNotNull(), F.sqrt(F.greatest(h, F.lit(0.0)) / 2)))
     return F.when(df == 2, two).when(df == 1, one)
 
 
-def chi2_sf_df2(h: Column) -> Column:
-    return F.exp(-h / 2)
-
-
 def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray, steps: int = 300) -> np.ndarray:
     """Regularised incomplete beta by its continued fraction, element-wise."""
     a, b, x = np.broadcast_arrays(*(np.asarray(v, float) for v in (a, b, x)))

@@ -308,6 +308,35 @@ def forecast_deviance(
     )
 
 
+def persistence_scores(
+    binned: DataFrame, sizes: DataFrame, *, n_ctx: int, late_bins: int, n_tgt: int, ctx_bin_s: float, tgt_bin_s: float, floor: float = 1e-3,
+) -> DataFrame:
+    """Poisson scores of the persistence forecast per region, over every unit, trial and target bin.
+
+    Cells without spikes have no row: their share is added in closed form (the forecast itself, or its floor).
+    `deviance_explained` compares with the mean count of the unit.
+    """
+    n, late, tgt = F.col("n"), (F.col("win") == "ctx") & (F.col("bin") >= n_ctx - late_bins), F.col("win") == "tgt"
+    total = lambda cond, x: F.coalesce(F.sum(F.when(cond, x)), F.lit(0))
+    rows = binned.where(F.col("label").isNotNull()).groupBy("session", "region", "unit", "trial").agg(
+        total(late, n).alias("late"), total(tgt, n).cast("double").alias("y"), total(tgt, n * F.ln(n + EPS)).cast("double").alias("ylogy"))
+    mu = F.greatest(F.col("late") / late_bins * (tgt_bin_s / ctx_bin_s), F.lit(floor))
+    units = rows.withColumn("mu", mu).groupBy("session", "region", "unit").agg(
+        F.count("*").alias("k"), F.sum("y").alias("y"), F.sum("ylogy").alias("ylogy"), F.sum("mu").alias("mu"),
+        F.sum(F.col("y") * F.ln("mu")).alias("ylog"), F.sum(F.col("y") * F.ln(F.col("mu") + EPS)).alias("yloge"))
+    every = sizes.select("session", "region", "unit", "n_trials").join(units, ["session", "region", "unit"], "left")
+    every = every.fillna(0, ["k", "y", "ylogy", "mu", "ylog", "yloge"])
+    cells = F.col("n_trials") * n_tgt
+    expected = (F.col("mu") + (F.col("n_trials") - F.col("k")) * floor) * n_tgt
+    out = every.groupBy("region").agg(
+        F.sum(cells).alias("cells"), (2 * F.sum(F.col("ylogy") - F.col("yloge") - F.col("y") + expected)).alias("deviance"),
+        (2 * F.sum(F.col("ylogy") - F.col("y") * F.ln(F.col("y") / cells + EPS))).alias("null"),
+        F.sum(expected - F.col("ylog")).alias("a"), F.sum(expected - F.col("yloge")).alias("b"))
+    return out.select(
+        "region", "deviance", (F.col("a") / F.col("cells")).alias("nll_log"), (F.col("b") / F.col("cells")).alias("nll"),
+        (1 - F.col("deviance") / F.greatest(F.col("null"), F.lit(1e-8))).alias("deviance_explained"))
+
+
 def mean_null_deviance(cells: DataFrame, keys: list[str], group: list[str], y: str, mu: str) -> DataFrame:
     """1 - D / max(D0, 1e-8) with the group mean of y as the null."""
     base = cells.groupBy(*keys, *group).agg(F.avg(F.col(y).cast("double")).alias("_mu0"))

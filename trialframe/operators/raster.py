@@ -174,6 +174,7 @@ def population_trace(binned: DataFrame, units: DataFrame, win: str = "ctx") -> D
     n_units = units.groupBy("session", "region").agg(F.count("*").alias("n_units"))
     sums = (
         binned.where(F.col("win") == win)
+        .join(units.select(*UNIT), list(UNIT), "left_semi")
         .groupBy("session", "region", "trial", "bin")
         .agg(F.sum("n").alias("total"))
     )

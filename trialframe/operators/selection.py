@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import signal as S
 from ..functions import text
-from ..schema import CLASSES, CRITERIA, REGIONS, UNIT, SelectionA, SelectionB
+from ..schema import CLASSES, CRITERIA, REGION_LABELS, REGIONS, UNIT, SelectionA, SelectionB
 from . import stats
 from .lineage import cut, written
 from .raster import psth, psth_arrays, unit_sizes, unit_trial_counts
@@ -165,7 +165,8 @@ def selection_bullets(table: DataFrame, p: SelectionA, late_ms: float, per_regio
         "session",
         (F.lit(6) + order * per_region + F.col("rank") - 1).cast("int").alias("line"),
         F.concat(
-            F.col("region"), F.format_string(" #%d (unit %s): ", F.col("rank"), F.col("unit").cast("string")), F.col("reasons")
+            F.coalesce(*[F.when(F.col("region") == r, F.lit(x)) for r, x in zip(REGIONS, REGION_LABELS, strict=True)], F.col("region")),
+            F.format_string(" #%d (unit %s): ", F.col("rank"), F.col("unit").cast("string")), F.col("reasons")
         ).alias("bullet"),
     )
     return head.unionByName(units)

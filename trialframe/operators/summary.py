@@ -47,12 +47,17 @@ def cache_summary(trials: DataFrame, units: DataFrame, n_ctx: int, n_tgt: int) -
 
 
 def audit_summary(trials: DataFrame, reasons: list[str], reason: str = "reason", keys: list[str] = ["session"]) -> DataFrame:
-    """Trials started, kept and excluded, with one column per reason."""
+    """Trials started, kept and excluded, with one column per reason code and one for all other codes.
+
+    The code is what stands before a colon or a bracket: `csv_excluded:noise` counts as `csv_excluded`.
+    """
+    code = F.regexp_extract(F.col(reason), "^[^:(]*", 0)
     return trials.groupBy(*keys).agg(
         F.count("*").alias("n_start"),
         F.count_if(F.col(reason).isNull()).alias("n_kept"),
         F.count_if(F.col(reason).isNotNull()).alias("n_excluded"),
-        *[F.count_if(F.col(reason) == r).alias(f"excl_{r}") for r in reasons],
+        *[F.count_if(code == r).alias(f"excl_{r}") for r in reasons],
+        F.count_if(~code.isin(reasons)).alias("excl_other"),
     )
 
 

@@ -206,16 +206,17 @@ def qc_trial_chain(spark, sf):
     return trial_chain(spark, sf)
 
 
-REASONS = ["csv_excluded:", "csv_photostim", "csv_auto_or_free_water", "csv_outcome_miss", "npz_early_lick", "licked_both_sides"]
-AUDIT = ", ".join(f"""count(*) FILTER (reason = '{x}') AS "excl_{x.rstrip(':')}" """ for x in REASONS)
+REASONS = ["csv_excluded", "csv_photostim", "csv_auto_or_free_water", "csv_outcome_miss", "npz_early_lick", "licked_both_sides"]
+CODE = "regexp_extract(reason, '^[^:(]*')"
+AUDIT = ", ".join(f"""count(*) FILTER ({CODE} = '{x}') AS "excl_{x}" """ for x in REASONS)
+AUDIT += f", count(*) FILTER ({CODE} NOT IN ({', '.join(repr(x) for x in REASONS)})) AS excl_other"
 
 
 @query("audit_summary", CHAIN + f"""
 SELECT session, count(*) AS n_start, count(*) FILTER (reason IS NULL) AS n_kept, count(*) FILTER (reason IS NOT NULL) AS n_excluded,
        {AUDIT} FROM ch GROUP BY session""")
 def audit_summary(spark, sf):
-    df = SM.audit_summary(trial_chain(spark, sf), REASONS)
-    return df.withColumnRenamed("excl_csv_excluded:", "excl_csv_excluded")
+    return SM.audit_summary(trial_chain(spark, sf), REASONS)
 
 
 @query("label_licks_a", BASE + "SELECT session, trial, label FROM labelled")

@@ -275,10 +275,12 @@ def null_psth(spark, sf):
 PERSIST = "greatest(late / 8.0 * 2, 1e-3)"
 
 
-@query("persistence", BASE + f"SELECT {UK}, trial, {r(PERSIST, 'mu')}, {r(f'ln(late / 8.0 * 2 + 0.05)', 'log_mu')} FROM ut WHERE late > 0")
+@query("persistence", BASE + f"SELECT {UK}, trial, {r(PERSIST, 'mu')}, {r(f'ln(late / 8.0 * 2 + 0.05)', 'log_mu')} FROM ut")
 def persistence(spark, sf):
-    ut, _ = unit_trials(spark, sf)
-    rows = ut.where("label IS NOT NULL AND late > 0")
+    """Every unit and trial, silent ones at the floor: the grid is the result."""
+    binned, tr, un = counts(spark, sf)
+    ut = R.unit_trial_counts(binned, B.N_CTX, B.LATE)
+    rows = R.dense_counts(ut, un, tr.where("label IS NOT NULL"), "late")
     out = E.persistence_forecast(rows, B.LATE, B.CTX_BIN, B.TGT_BIN)
     return out.select(*U, "trial", "mu", E.log_persistence(F.col("late") / B.LATE, 2.0).alias("log_mu"))
 
@@ -313,33 +315,29 @@ def deviance_explained(spark, sf):
     )
 
 
-TOTALS = BASE + f", tt AS (SELECT {UK}, trial, tgt AS y, {PERSIST} * 12 AS mu FROM ut WHERE late > 0 OR tgt > 0)"
-
-
-def totals(spark, sf):
-    """Whole-window target counts beside the persistence forecast."""
-    ut, _ = unit_trials(spark, sf)
-    rows = ut.where("label IS NOT NULL AND (late > 0 OR tgt > 0)")
-    out = E.persistence_forecast(rows, B.LATE, B.CTX_BIN, B.TGT_BIN)
-    return out.select(*U, "trial", F.col("tgt").alias("y"), (F.col("mu") * B.N_TGT).alias("mu"))
+def persistence_scores(spark, sf):
+    binned, tr, un = counts(spark, sf)
+    return E.persistence_scores(
+        binned, R.unit_sizes(un, tr), n_ctx=B.N_CTX, late_bins=B.LATE, n_tgt=B.N_TGT, ctx_bin_s=B.CTX_BIN, tgt_bin_s=B.TGT_BIN
+    )
 
 
-@query("poisson_deviance", TOTALS + f"SELECT region, {r(dev('mu'), 'deviance')} FROM tt GROUP BY region")
+@query("poisson_deviance", DENSE + f"SELECT region, {r(dev('mu'), 'deviance')} FROM dn GROUP BY region")
 def poisson_deviance(spark, sf):
-    return E.poisson_deviance(totals(spark, sf), ["region"], "y", "mu")
+    return persistence_scores(spark, sf).select("region", "deviance")
 
 
-@query("poisson_nll", TOTALS + f"SELECT region, {r('avg(mu - y * ln(mu))', 'nll_log')}, {r('avg(mu - y * ln(mu + 1e-8))', 'nll')} FROM tt GROUP BY region")
+@query("poisson_nll", DENSE + f"SELECT region, {r('avg(mu - y * ln(mu))', 'nll_log')}, {r('avg(mu - y * ln(mu + 1e-8))', 'nll')} FROM dn GROUP BY region")
 def poisson_nll(spark, sf):
-    return E.poisson_nll(totals(spark, sf), ["region"], "y", "mu")
+    return persistence_scores(spark, sf).select("region", "nll_log", "nll")
 
 
-@query("deviance_mean_null", TOTALS + f"""
-, m AS (SELECT session, unit, avg(y) AS mu0 FROM tt GROUP BY session, unit)
-SELECT region, {r(f"1 - ({dev('mu')}) / greatest({dev('mu0')}, 1e-8)", 'deviance_explained')}
-FROM tt JOIN m ON m.session = tt.session AND m.unit = tt.unit GROUP BY region""")
+@query("deviance_mean_null", DENSE + f"""
+, m AS (SELECT session, unit, avg(y) AS mum FROM dn GROUP BY session, unit)
+SELECT region, {r(f"1 - ({dev('mu')}) / greatest({dev('mum')}, 1e-8)", 'deviance_explained')}
+FROM dn JOIN m ON m.session = dn.session AND m.unit = dn.unit GROUP BY region""")
 def deviance_mean_null(spark, sf):
-    return E.mean_null_deviance(totals(spark, sf), ["region"], ["session", "unit"], "y", "mu")
+    return persistence_scores(spark, sf).select("region", "deviance_explained")
 
 
 @query("join_null_forecast", BASE + f"""
@@ -395,7 +393,7 @@ def weight_entropy(spark, sf):
 
 
 @query("importance_score", BASE + f"""
-, g AS (SELECT session, region, unit, sum(tgt) / 100.0 AS gate FROM ut GROUP BY {UK} HAVING sum(tgt) % 4 <> 0),
+, g AS (SELECT session, region, unit, sum(tgt) / 100.0 AS gate FROM ut GROUP BY {UK}),
 s AS (SELECT session, region, unit, avg(ctx) AS score FROM ut GROUP BY {UK})
 SELECT {UK}, {r('gate', 'gate')}, {r('score', 'score')} FROM g JOIN s USING ({UK})""")
 def importance_score(spark, sf):
@@ -405,13 +403,13 @@ def importance_score(spark, sf):
 def gates(spark, sf):
     ut, sizes = unit_trials(spark, sf)
     m = stats.class_moments(ut, sizes, "tgt").select(*U, (F.col("s_0") + F.col("s_1") + F.col("s_2")).alias("t"))
-    gate = m.where(F.col("t") % 4 != 0).select(*U, (F.col("t") / 100.0).alias("gate"))
+    gate = m.select(*U, (F.col("t") / 100.0).alias("gate"))
     score = stats.class_moments(ut, sizes).select(*U, stats.mean_rate(1.0).alias("score"))
     return J.importance_with_score(gate, score, U)
 
 
 @query("importance_rank_correlation", BASE + f"""
-, g AS (SELECT {UK}, sum(tgt) / 100.0 AS gate, round(avg(ctx), 9) AS score FROM ut GROUP BY {UK} HAVING sum(tgt) % 4 <> 0),
+, g AS (SELECT {UK}, sum(tgt) / 100.0 AS gate, round(avg(ctx), 9) AS score FROM ut GROUP BY {UK}),
 k AS (
   SELECT rank() OVER (ORDER BY gate) + (count(*) OVER (PARTITION BY gate) - 1) / 2.0 AS rx,
          rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS ry FROM g)

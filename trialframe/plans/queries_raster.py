@@ -224,10 +224,11 @@ def empty_trial(spark, sf):
 SEC = "43200.0"
 
 
-@query("unit_rate", BASE + f"SELECT {UK}, trial, {r(f'ctx / {SEC}', 'rate_hz')}, {b('ctx', 'n')} FROM ut WHERE ctx > 0")
+@query("unit_rate", BASE + f"SELECT {UK}, trial, {r(f'ctx / {SEC}', 'rate_hz')}, {b('ctx', 'n')} FROM ut")
 def unit_rate(spark, sf):
-    ut, _ = unit_trials(spark, sf)
-    rows = ut.where("label IS NOT NULL AND ctx > 0")
+    """Every unit and labelled trial, silent ones as zero: the grid is the result."""
+    binned, tr, un = counts(spark, sf)
+    rows = R.dense_counts(R.unit_trial_counts(binned, B.N_CTX, B.LATE), un, tr.where("label IS NOT NULL"), "ctx")
     return rows.select(*U, "trial", (F.col("ctx") / 43200.0).alias("rate_hz"), F.col("ctx").alias("n"))
 
 

@@ -66,7 +66,7 @@ st AS (SELECT el.*, CASE WHEN tk.rank <= 6 THEN tk.rank END AS rank, coalesce(tk
 
 def simple_table(spark, sf):
     ut, sizes = unit_trials(spark, sf)
-    tests = unit_kruskal(spark, sf).select(*U, F.when(F.col("df") == 2, F.col("p")).alias("p"))
+    tests = unit_kruskal(spark, sf).select(*U, "p")
     q = stats.bh_fdr(tests, ["session"])
     m = stats.class_moments(ut, sizes).select(*U, stats.mean_rate(DUR).alias("rate_hz"), stats.active_fraction().alias("active_frac"))
     none = F.lit(None).cast("double")

@@ -16,8 +16,10 @@ CTX_S = 43200.0
 
 ROWS_V = BASE + ", rows_v AS (SELECT session, region, unit, label, ctx AS v FROM ut)"
 KW = ROWS_V + kruskal_sql("rows_v", UK)
-# p is closed form for two degrees of freedom; one degree uses the complementary error function
-P_SQL = "CASE WHEN df = 2 THEN exp(-h / 2) END"
+# The tail is closed for two degrees of freedom; for one it is one minus the error function, as a series of positive terms.
+P_SQL = """CASE WHEN df = 2 THEN exp(-h / 2) WHEN df = 1 AND h <= 0 THEN 1
+  WHEN df = 1 THEN 1 - 2 / sqrt(pi()) * exp(-h / 2) * list_sum(list_transform(range(0, 150), lambda n:
+    exp((2 * n + 1) * ln(sqrt(h / 2)) + n * ln(4) + lgamma(n + 1) - lgamma(2 * n + 2)))) END"""
 
 
 def unit_kruskal(spark, sf):
@@ -30,9 +32,9 @@ def kruskal(spark, sf):
     return unit_kruskal(spark, sf).drop("p")
 
 
-@query("kruskal_p", KW + f"SELECT {UK}, {r(P_SQL, 'p')} FROM kw WHERE df IS NULL OR df = 2")
+@query("kruskal_p", KW + f"SELECT {UK}, {r(P_SQL, 'p')} FROM kw")
 def kruskal_p(spark, sf):
-    return unit_kruskal(spark, sf).where("df IS NULL OR df = 2").select(*U, "p")
+    return unit_kruskal(spark, sf).select(*U, "p")
 
 
 def of(label: str, fn: str, v: str = "ctx") -> str:
@@ -201,12 +203,12 @@ qq AS (
   SELECT session, unit, least(1, min(p * m / rn) OVER (PARTITION BY session ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q
   FROM ro),
 qs AS (SELECT pp.*, qq.q FROM pp LEFT JOIN qq USING (session, unit))
-""".format(p="CASE WHEN df = 2 THEN exp(-h / 2) END")
+""".format(p=P_SQL)
 
 
 @query("bh_fdr", KW + BH + f"SELECT {UK}, {r('p', 'p')}, {r('q', 'q')} FROM qs")
 def bh_fdr(spark, sf):
-    tests = unit_kruskal(spark, sf).select(*U, F.when(F.col("df") == 2, F.col("p")).alias("p"))
+    tests = unit_kruskal(spark, sf).select(*U, "p")
     return stats.bh_fdr(tests, ["session"])
 
 
