@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trialframe.schema import Windows
@@ -95,3 +96,23 @@ def test_ingest_reads_each_file_once(spark, tmp_path):
     first = spark.read.parquet(out).count()
     ingest_new_trials(spark, str(root), out, check)
     assert first == 33 and spark.read.parquet(out).count() == first
+
+
+def test_first_root_with_files(spark, tmp_path):
+    (tmp_path / "bare").mkdir()
+    root = make_tree(tmp_path / "full")
+    files = catalog.first_nonempty(spark, [str(tmp_path / "none"), str(tmp_path / "bare"), str(root)])
+    assert files.count() == 3
+    assert catalog.first_nonempty(spark, [str(tmp_path / "none")]).collect() == []
+
+
+def test_units_are_numbered_without_a_shuffle(spark, tmp_path):
+    units = trial_files.trial_units(trial_files.read_trials(spark, str(make_tree(tmp_path / "t"))))
+    assert "Exchange" not in units._jdf.queryExecution().executedPlan().toString()
+    got = units.where(F.col("path").contains("trial2") & (F.col("region") == "ALM_R")).select("unit", "spike_times").collect()
+    assert [(r["unit"], r["spike_times"][1]) for r in got] == [(k, 1.0 + k) for k in range(8)]
+
+
+def test_report_limit_is_enforced(spark):
+    with pytest.raises(Exception, match="3 rows at most"):
+        sinks.payload(spark.createDataFrame([(5,)], "n long"), spark.range(4), most=3).collect()

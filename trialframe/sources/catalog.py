@@ -3,6 +3,7 @@ out files of zero bytes."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,14 +84,14 @@ def catalog_subjects(files: DataFrame) -> DataFrame:
 
 def first_nonempty(spark: SparkSession, roots: list[str]) -> DataFrame:
     """Files of the first root that holds any; a missing root counts as empty."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for root in roots:
-        path = jvm.org.apache.hadoop.fs.Path(root)
-        if path.getFileSystem(conf).exists(path):
+        try:
             files = list_files(spark, root)
             if not files.isEmpty():
                 return files
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return spark.createDataFrame([], "path string")
 
 

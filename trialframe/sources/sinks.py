@@ -34,10 +34,12 @@ def save_table(df: DataFrame, path: str, by: list[str] | None = None, form: str
         writer.format(form).save(path)
 
 
-def payload(summary: DataFrame, top: DataFrame, name: str = "selected") -> DataFrame:
-    """One JSON document: the fields of the one-row summary and a short list of rows."""
-    # `top` is a limited report (at most a dozen rows)
-    rows = top.agg(F.collect_list(F.struct(*top.columns)))
+def payload(summary: DataFrame, top: DataFrame, name: str = "selected", most: int = 100) -> DataFrame:
+    """One JSON document: the fields of the one-row summary and a short list of rows; a longer list is an error."""
+    found = F.collect_list(F.struct(*top.columns))
+    message = F.lit(f"a report holds {most} rows at most")
+    # no more than one row too many is ever gathered
+    rows = top.limit(most + 1).agg(F.when(F.size(found) > most, F.raise_error(message)).otherwise(found))
     both = summary.withColumn(name, rows.scalar())
     return both.select(F.to_json(F.struct(*both.columns)).alias("value"))
 

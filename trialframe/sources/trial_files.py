@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parsing import region_canon_a
-from ..schema import EPOCH_ALIASES, SPLIT_KEYS
+from ..schema import EPOCH_ALIASES, REGIONS, SPLIT_KEYS
 
 EPOCH_FIELDS = [name for pair in EPOCH_ALIASES.items() for name in pair]
 LICKS = ["left_lick_times", "right_lick_times"]
@@ -109,15 +109,21 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, SCHEMA)
 
 
-def trial_units(decoded: DataFrame, canon=region_canon_a) -> DataFrame:
-    """Unit rows of known regions; unit_index is the position inside the region, per trial file."""
-    rows = decoded.where("load_error IS NULL").select("path", F.inline("units"))
-    named = rows.withColumn("region", canon(F.col("region_raw")))
-    # one file holds one trial, so its unit list is short
-    pos = F.expr("row_number() over (partition by path, region order by unit_index) - 1")
-    return named.where("region IS NOT NULL").withColumn("unit", pos.cast("long")).select(
-        "path", "region", "unit", "unit_id", "spike_times"
-    )
+def trial_units(decoded: DataFrame, canon=region_canon_a, regions: tuple[str, ...] = REGIONS) -> DataFrame:
+    """Unit rows of the given regions; unit is the position inside the region, per trial file.
+
+    Units are numbered inside the array of their file, so no spike times are shuffled.
+    """
+    unit = lambda u: F.struct(
+        u["unit_index"].alias("at"), canon(u["region_raw"]).alias("region"), u["unit_id"].alias("unit_id"), u["spike_times"].alias("spike_times"))
+    ordered = decoded.where("load_error IS NULL").select("path", F.array_sort(F.transform("units", unit)).alias("ordered"))
+
+    def of(region: str):
+        own = F.filter("ordered", lambda u: u["region"] == region)
+        return F.transform(own, lambda u, i: F.struct(
+            F.lit(region).alias("region"), i.cast("long").alias("unit"), u["unit_id"].alias("unit_id"), u["spike_times"].alias("spike_times")))
+
+    return ordered.select("path", F.inline(F.flatten(F.array(*[of(r) for r in regions]))))
 
 
 def unknown_region_counts(decoded: DataFrame, canon=region_canon_a) -> DataFrame:
