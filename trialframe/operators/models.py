@@ -6,7 +6,10 @@ with coefficients summed per trial, and a join of features with residuals summed
 is folded into the sums (x' = (x - m) / s), so zero counts never become rows.
 
 Objective per session: C * sum_i w_i loss_i + |beta|^2 / 2, balanced weights, intercept not penalised.
-Steps follow the Barzilai-Borwein rule per session; the penalty bounds the step by 1.
+Steps follow the Barzilai-Borwein rule per session; the penalty bounds the step by 1. A session is done, and
+stands still, when no component of its gradient exceeds `TOLERANCE` times C times its summed weights; the fit ends
+when all are done, and raises an error if some never get there. Joins on a trial read both sides from storage or a
+shuffle, so AQE splits a trial that holds a large share of the rows.
 """
 
 from __future__ import annotations
@@ -24,6 +27,10 @@ from .stats import add
 U = list(UNIT)
 TRIAL = ["session", "trial"]
 C = range(len(CLASSES))
+#: Largest gradient component of a finished fit, as a share of C times the summed weights.
+TOLERANCE = 1e-4
+#: A fit that takes more steps than this has failed.
+MAX_STEPS = 2000
 
 
 @dataclass
@@ -93,10 +100,25 @@ def _residuals(loss: str) -> list[Column]:
     raise ValueError(loss)
 
 
+def _gradients(rows: DataFrame, trials: DataFrame, model: LinearModel, loss: str) -> tuple[DataFrame, DataFrame]:
+    """Weighted residuals summed with x per unit (`sum_xr_k`) and alone per session (`sum_r_k`)."""
+    scored = _trial_scores(rows, trials, model)
+    res = scored.select(*TRIAL, *[(F.col("w") * r).alias(f"r_{k}") for k, r in enumerate(_residuals(loss))])
+    per_session = res.groupBy("session").agg(*[F.sum(f"r_{k}").alias(f"sum_r_{k}") for k in C])
+    per_unit = rows.join(res, TRIAL).groupBy(*U).agg(*[F.sum(F.col("x") * F.col(f"r_{k}")).alias(f"sum_xr_{k}") for k in C])
+    return per_unit, per_session
+
+
+def _unit_gradient(k: int, c: float, b: Column) -> Column:
+    """Derivative in the coefficient b of a standardised unit, the sums of `_gradients` and its scale beside it."""
+    sums = F.coalesce(F.col(f"sum_xr_{k}"), F.lit(0.0)) - F.col("m") * F.col(f"sum_r_{k}")
+    return c * sums / F.col("s") + b
+
+
 def fit_linear(
-    features: DataFrame, train: DataFrame, *, c: float = 0.5, steps: int = 15, loss: str = "logistic",
+    features: DataFrame, train: DataFrame, *, c: float = 0.5, tolerance: float = TOLERANCE, loss: str = "logistic",
 ) -> LinearModel:
-    """Fit every session on its training trials (session, trial, label).
+    """Fit every session on its training trials (session, trial, label); one without units has intercepts alone.
 
     The state is written after each step: a step reads it several times, so an open lineage (and the size
     estimate a checkpoint carries along) would double
@@ -111,53 +133,66 @@ def fit_linear(
     curvature = 0.5 if loss == "logistic" else 2.0
     per_unit = scale.groupBy("session").agg(F.count("*").alias("_d"))
     per_trial = trials.groupBy("session").agg(F.sum("w").alias("_w"))
-    first = per_unit.join(per_trial, "session")
-    first = written(first.select("session", (1.0 / (1.0 + c * curvature * F.col("_w") * (F.col("_d") + 1))).alias("a0")))
-    zero = F.lit(0.0)
-    state = {f"{v}_{k}": zero for v in ("b", "pb", "pg") for k in C}
+    first = per_trial.join(per_unit, "session", "left").fillna(0, ["_d"])
+    start = 1.0 / (1.0 + c * curvature * F.col("_w") * (F.col("_d") + 1))
+    first = written(first.select("session", start.alias("a0"), (tolerance * c * F.col("_w")).alias("bound")))
+    state = {f"{v}_{k}": F.lit(0.0) for v in ("b", "pb", "pg") for k in C}
     beta = scale.withColumns(state)
     # intercepts are one more row per session with x = 1, m = 0, s = 1 and no penalty
-    icept = per_unit.select("session").withColumns(state)
-    for step in range(steps):
-        model = _raw(beta, icept)
-        scored = _trial_scores(rows, trials, model)
-        res = scored.select(*TRIAL, *[(F.col("w") * r).alias(f"r_{k}") for k, r in enumerate(_residuals(loss))])
-        per_session = res.groupBy("session").agg(*[F.sum(f"r_{k}").alias(f"sum_r_{k}") for k in C])
-        grads = (
-            rows.join(res, TRIAL)
-            .groupBy(*U)
-            .agg(*[F.sum(F.col("x") * F.col(f"r_{k}")).alias(f"sum_xr_{k}") for k in C])
-        )
+    icept = first.select("session").withColumns(state)
+    for _ in range(MAX_STEPS):
+        grads, per_session = _gradients(rows, trials, _raw(beta, icept), loss)
         beta = attach(beta.join(grads, U, "left"), per_session, ["session"], ["unit"])
-        g = {
-            f"g_{k}": c * (F.coalesce(F.col(f"sum_xr_{k}"), zero) - F.col("m") * F.col(f"sum_r_{k}")) / F.col("s") + F.col(f"b_{k}")
-            for k in C
-        }
+        g = {f"g_{k}": _unit_gradient(k, c, F.col(f"b_{k}")) for k in C}
         beta = written(beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C]))
         icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"sum_r_{k}") for k in C})
         icept = written(icept.drop(*[f"sum_r_{k}" for k in C]))
-        alpha = written(_step_sizes(beta, icept, first, step))
+        alpha = written(_step_sizes(beta, icept, first))
+        if alpha.where("alpha > 0").isEmpty():
+            break
         beta = _advance(attach(beta, alpha, ["session"], ["unit"]))
         icept = _advance(icept.join(alpha, "session"))
+    else:
+        raise RuntimeError(f"no fit within {MAX_STEPS} steps for {alpha.where('alpha > 0').count()} sessions")
     model = _raw(beta, icept)
     return LinearModel(written(model.coef), written(model.offset))
 
 
-def _step_sizes(beta: DataFrame, icept: DataFrame, first: DataFrame, step: int) -> DataFrame:
-    if step == 0:
-        return first.withColumnRenamed("a0", "alpha")
+def _step_sizes(beta: DataFrame, icept: DataFrame, first: DataFrame) -> DataFrame:
+    """The next step of every session; zero for one that is done."""
 
     def products(df: DataFrame) -> DataFrame:
         ds = [F.col(f"b_{k}") - F.col(f"pb_{k}") for k in C]
         dg = [F.col(f"g_{k}") - F.col(f"pg_{k}") for k in C]
         return df.groupBy("session").agg(
-            F.sum(add(s * s for s in ds)).alias("ss"), F.sum(add(s * y for s, y in zip(ds, dg))).alias("sy")
+            F.sum(add(s * s for s in ds)).alias("ss"), F.sum(add(s * y for s, y in zip(ds, dg))).alias("sy"),
+            F.max(F.greatest(*[F.abs(F.col(f"g_{k}")) for k in C])).alias("top"),
         )
 
-    both = products(beta).unionByName(products(icept)).groupBy("session").agg(F.sum("ss").alias("ss"), F.sum("sy").alias("sy"))
+    both = products(beta).unionByName(products(icept)).groupBy("session").agg(
+        F.sum("ss").alias("ss"), F.sum("sy").alias("sy"), F.max("top").alias("top")
+    )
     ratio = F.when(F.col("sy") > 0, F.col("ss") / F.col("sy"))
-    return both.join(first, "session").select(
-        "session", F.least(F.greatest(F.coalesce(ratio, F.col("a0")), F.col("a0")), F.lit(1.0)).alias("alpha")
+    size = F.least(F.greatest(F.coalesce(ratio, F.col("a0")), F.col("a0")), F.lit(1.0))
+    return both.join(first, "session").select("session", F.when(F.col("top") <= F.col("bound"), 0.0).otherwise(size).alias("alpha"))
+
+
+def optimality(
+    features: DataFrame, train: DataFrame, model: LinearModel, *, c: float = 0.5, loss: str = "logistic",
+) -> DataFrame:
+    """Per session the largest gradient component of a fitted model as a share of C times the summed weights (`gap`)."""
+    trials = _weights(train)
+    rows = features.join(trials.select(*TRIAL), TRIAL, "left_semi").select(*U, "trial", "x")
+    per_unit, per_session = _gradients(rows, trials, model, loss)
+    beta = feature_scale(features, train).join(model.coef, U).join(per_unit, U, "left")
+    beta = attach(beta, per_session, ["session"], ["unit"])
+    top = F.greatest(*[F.abs(_unit_gradient(k, c, F.col(f"w_{k}") * F.col("s"))) for k in C])
+    tops = beta.select("session", top.alias("top")).unionByName(
+        per_session.select("session", F.greatest(*[F.abs(c * F.col(f"sum_r_{k}")) for k in C]).alias("top"))
+    )
+    sizes = trials.groupBy("session").agg(F.sum("w").alias("_w"))
+    return tops.groupBy("session").agg(F.max("top").alias("top")).join(sizes, "session").select(
+        "session", (F.col("top") / (c * F.col("_w"))).alias("gap")
     )
 
 
@@ -175,7 +210,9 @@ def _raw(beta: DataFrame, icept: DataFrame) -> LinearModel:
     """Coefficients on unscaled features, the means moved into the offset."""
     coef = beta.select(*U, "m", *[(F.col(f"b_{k}") / F.col("s")).alias(f"w_{k}") for k in C])
     shift = coef.groupBy("session").agg(*[F.sum(F.col(f"w_{k}") * F.col("m")).alias(f"h_{k}") for k in C])
-    offset = icept.join(shift, "session").select("session", *[(F.col(f"b_{k}") - F.col(f"h_{k}")).alias(f"o_{k}") for k in C])
+    offset = icept.join(shift, "session", "left").select(
+        "session", *[(F.col(f"b_{k}") - F.coalesce(F.col(f"h_{k}"), F.lit(0.0))).alias(f"o_{k}") for k in C]
+    )
     return LinearModel(coef.drop("m"), offset)
 
 
@@ -235,10 +272,20 @@ def region_ablation(features: DataFrame, test: DataFrame, model: LinearModel, re
     return predict(kept, variants(test, "dropped", list(regions)), model, ["dropped"])
 
 
-def unit_sets(features: DataFrame, sets: DataFrame, test: DataFrame, model: LinearModel, names: list[str]) -> DataFrame:
-    """Predictions with only the units of each set visible; `sets` is (set, session, region, unit)."""
-    kept = features.join(sets.select("set", *U), U)
-    return predict(kept, variants(test, "set", names), model, ["set"])
+def refitted_sets(
+    features: DataFrame, sets: DataFrame, train: DataFrame, test: DataFrame, names: list[str], **options
+) -> DataFrame:
+    """Predictions of models fitted on the units of one set each; `sets` is (set, session, region, unit).
+
+    All sets and sessions are one fit: a set and a session together take the place of the session.
+    """
+    def keyed(df: DataFrame) -> DataFrame:
+        return df.withColumn("session", F.struct("set", "session")).drop("set")
+
+    kept = written(keyed(features.join(sets.select("set", *U), U)))
+    model = fit_linear(kept, keyed(variants(train, "set", names)), **options)
+    done = predict(kept, keyed(variants(test, "set", names)), model)
+    return done.select("session.set", "session.session", *[c for c in done.columns if c != "session"])
 
 
 def occlusion_gain(features: DataFrame, test: DataFrame, model: LinearModel) -> DataFrame:

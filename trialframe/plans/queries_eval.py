@@ -161,25 +161,43 @@ def feature_scale(spark, sf):
     return M.feature_scale(features, labelled(spark, sf).where(TRAIN_RULE))
 
 
-STEPS = 12
 _FITTED: dict = {}
 
 
-def fitted(spark, sf, loss: str = "logistic", steps: int = STEPS):
+def fitted(spark, sf, loss: str = "logistic"):
     """(binned, features, train, test, model) of the per-session baseline on all units.
 
-    One model serves every evaluation of a session and data folder; its tables are settled in storage.
+    One model serves every evaluation of a session and a state of the event files (names, times and lengths).
     """
-    key = (spark.sparkContext.applicationId, sf, loss, steps)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/events.parquet")
+    state = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "modificationTime", "length"))), "\n"), 256))
+    key = (spark.sparkContext.applicationId, state.first()[0], loss)
     if key not in _FITTED:
         binned = written(counts(spark, sf)[0])
         features = cut(M.mean_rate_features(binned, B.N_CTX))
         tr = cut(labelled(spark, sf))
         train, test = tr.where(TRAIN_RULE), tr.where(f"NOT ({TRAIN_RULE})")
-        _FITTED[key] = (binned, features, train, test, M.fit_linear(features, train, steps=steps, loss=loss))
+        _FITTED[key] = (binned, features, train, test, M.fit_linear(features, train, loss=loss))
     return _FITTED[key]
 
 
+FITTED_SESSIONS = BASE + f"SELECT session, TRUE AS optimal FROM lab WHERE {TRAIN_RULE} GROUP BY session"
+
+
+@query("logreg_optimality", FITTED_SESSIONS)
+def logreg_optimality(spark, sf):
+    """Whether the gradient of a session's fitted model, computed anew, is within the tolerance."""
+    _, features, train, _, model = fitted(spark, sf)
+    return M.optimality(features, train, model).select("session", (F.col("gap") <= M.TOLERANCE * 1.001).alias("optimal"))
+
+
+@query("margin_optimality", FITTED_SESSIONS)
+def margin_optimality(spark, sf):
+    _, features, train, _, model = fitted(spark, sf, "squared_hinge")
+    gap = M.optimality(features, train, model, loss="squared_hinge")
+    return gap.select("session", (F.col("gap") <= M.TOLERANCE * 1.001).alias("optimal"))
+
+
 @query("logreg_baseline")
 def logreg_baseline(spark, sf):
     """Predictions of the multinomial baseline on the held-back trials, one model per session."""
@@ -235,10 +253,12 @@ def sets_by_mode(spark, sf, k: int = 5):
 
 @query("neuron_set_ablation")
 def neuron_set_ablation(spark, sf):
-    """The same model with only the units of each input set visible."""
-    _, features, _, test, model = fitted(spark, sf)
-    sets = cut(sets_by_mode(spark, sf))
-    return E.metrics(M.unit_sets(features, sets, test, model, ["criteria", "rate", "random"]), ["set"])
+    """The baseline fitted anew on the units of each input set, and on all units."""
+    _, features, train, test, _ = fitted(spark, sf)
+    every = features.select(*U).distinct().withColumn("set", F.lit("all"))
+    sets = cut(sets_by_mode(spark, sf).select("set", *U).unionByName(every))
+    names = ["criteria", "rate", "random", "all"]
+    return E.metrics(M.refitted_sets(features, sets, train, test, names), ["set"])
 
 
 @query("occlusion_gain")
@@ -249,14 +269,14 @@ def occlusion_gain(spark, sf):
 
 @query("selected_vs_random")
 def selected_vs_random(spark, sf):
-    """Selected units against as many random ones per region."""
+    """Baselines fitted on the selected units and on as many random ones per region."""
     from ..operators import analyses as A
 
-    _, features, _, test, model = fitted(spark, sf)
+    _, features, train, test, _ = fitted(spark, sf)
     chosen = cut(sets_by_mode(spark, sf).where("set = 'criteria'").select(*U))
     matched = A.size_matched_random(B.units(B.spikes(spark, sf)), chosen, seed=9)
     sets = chosen.withColumn("set", F.lit("selected")).unionByName(matched.withColumn("set", F.lit("random")))
-    return E.metrics(M.unit_sets(features, cut(sets), test, model, ["selected", "random"]), ["set"])
+    return E.metrics(M.refitted_sets(features, cut(sets), train, test, ["selected", "random"]), ["set"])
 
 
 # ---------------------------------------------------------------- forecasts
