@@ -190,3 +190,23 @@ def test_tail_of_one_degree(spark):
     df = spark.createDataFrame([(float(x),) for x in h] + [(None,)], "h double")
     got = [r["p"] for r in df.select(pvalues.chi2_sf(F.col("h"), F.lit(1)).alias("p")).collect()]
     assert got[:-1] == [pytest.approx(math.erfc(math.sqrt(x / 2)), rel=1e-9, abs=1e-300) for x in h] and got[-1] is None
+
+
+def test_significant_digits_do_not_depend_on_the_unit(spark):
+    from trialframe.functions.signal import significant
+
+    rows = [(v * u, v, u) for u in (1.0, 1e-9, 1e6) for v in (1.23456789012, 1.23456789013, 1.2345679, -3.0)]
+    df = spark.createDataFrame(rows, "x double, v double, u double").withColumn("s", significant(F.col("x")))
+    per_unit = [r[0] for r in df.groupBy("u").agg(F.countDistinct("s")).select("count(DISTINCT s)").collect()]
+    assert per_unit == [3, 3, 3]
+    assert [r["s"] for r in spark.sql("SELECT 0.0D AS x UNION ALL SELECT 1e-25").select(significant(F.col("x")).alias("s")).collect()] == [0.0, 0.0]
+
+
+def test_id_buckets_keep_the_order_and_stay_small(spark):
+    from trialframe.operators.skew import id_bucket, with_position
+
+    df = spark.range(1_000_000_000, 1_000_200_000).select(F.lit("s").alias("session"), F.col("id").alias("trial"))
+    buckets = df.groupBy(id_bucket(F.col("trial")).alias("b")).count()
+    assert buckets.agg(F.max("count")).first()[0] <= 1 << 16 and buckets.count() >= 4
+    wrong = with_position(df, ["session"], ["trial"], id_bucket(F.col("trial"))).where("pos != trial - 1000000000 + 1")
+    assert wrong.count() == 0

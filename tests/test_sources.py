@@ -75,6 +75,14 @@ def test_logs(spark, tmp_path):
     assert last[1]["outcome"] == "miss" and last[2]["early_lick"] is None and set(last) == {1, 2}
 
 
+def test_log_folder_order_follows_names_not_sizes(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("session_dir,trial,outcome\ns1,1,early\n")
+    (tmp_path / "b.csv").write_text("session_dir,trial,outcome\n" + "".join(f"s1,{k},row{k}\n" for k in range(2000)) + "s1,1,last\n")
+    log = catalog.read_log(spark, [str(tmp_path)])
+    last = {r["trial"]: r["outcome"] for r in catalog.last_log_rows(log, ["session_dir", "trial"]).collect()}
+    assert last[1] == "last" and last[7] == "row7"
+
+
 def test_cache_and_results(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 2), (1, 1, 5)], "session long, bin int, n long")
     path = sinks.save_cache(df, str(tmp_path / "cache"), Windows())

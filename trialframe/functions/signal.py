@@ -211,3 +211,9 @@ def band_energy(tf_map: Column, n_freq: int, lo: float, hi: float) -> Column:
     rows = band_rows(n_freq, lo, hi)
     cells = F.flatten(F.slice(tf_map, rows[0] + 1, len(rows)))
     return F.aggregate(cells, F.lit(0.0), lambda s, x: s + x) / F.size(cells)
+
+
+def significant(value: Column, digits: int = 9) -> Column:
+    """A value rounded to significant digits, so that ties don't depend on its unit; below 1e-20 it is rounding noise, 0."""
+    power = F.pow(F.lit(10.0), F.floor(F.log10(F.abs(value))))
+    return F.when(F.abs(value) < 1e-20, 0.0).otherwise(F.round(value / power, digits - 1) * power)

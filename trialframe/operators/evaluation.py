@@ -274,7 +274,7 @@ def forecast_deviance(
     late = unit_trials.where(F.col("label").isNotNull() & (F.col("late") > 0)).select(
         *unit, "trial", F.greatest(F.col("late") / late_bins * (tgt_bin_s / ctx_bin_s), F.lit(floor)).alias("mu_p")
     )
-    scored = attach(cells, null, [*unit, "bin"], ["trial"]).join(late, [*unit, "trial"], "left")
+    scored = cells.join(null, [*unit, "bin"], "left").join(late, [*unit, "trial"], "left")
     y = F.col("n").cast("double")
     mu0, mup = F.coalesce(F.col("mu"), F.lit(0.0)), F.coalesce(F.col("mu_p"), F.lit(floor))
 
@@ -283,7 +283,7 @@ def forecast_deviance(
 
     seen = scored.groupBy("region").agg(spiking(mu0).alias("a0"), spiking(mup).alias("ap"))
     null_total = (
-        attach(null.groupBy(*unit).agg(F.sum("mu").alias("m")), sizes.select(*unit, "n_trials"), unit, ["unit"])
+        null.groupBy(*unit).agg(F.sum("mu").alias("m")).join(sizes.select(*unit, "n_trials"), unit, "left")
         .groupBy("region")
         .agg(F.sum(F.col("m") * F.col("n_trials")).alias("b0"))
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .skew import attach
 
 
 def last_row(df: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -64,7 +63,7 @@ def importance_with_score(weights: DataFrame, scores: DataFrame, keys: list[str]
 
 def with_null_forecast(cells: DataFrame, null: DataFrame) -> DataFrame:
     """Null mean of the unit and bin beside every cell."""
-    return attach(cells, null, ["session", "region", "unit", "bin"], ["trial"])
+    return cells.join(null, ["session", "region", "unit", "bin"], "left")
 
 
 def union_datasets(parts: list[DataFrame]) -> DataFrame:

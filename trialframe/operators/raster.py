@@ -195,9 +195,9 @@ def region_totals(binned: DataFrame, units: DataFrame, win: str = "ctx") -> Data
 
 def unit_positions(units: DataFrame) -> DataFrame:
     """0-based position of every unit in its region, by unit id."""
-    from .skew import value_bucket, with_position
+    from .skew import id_bucket, with_position
 
-    ranked = with_position(units.select(*UNIT), ["session", "region"], ["unit"], value_bucket(F.col("unit").cast("double")))
+    ranked = with_position(units.select(*UNIT), ["session", "region"], ["unit"], id_bucket(F.col("unit")))
     return ranked.withColumn("pos", F.col("pos") - 1)
 
 

@@ -21,6 +21,11 @@ def value_bucket(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).when(value > 0, size).otherwise(-size)
 
 
+def id_bucket(value: Column, bits: int = 16) -> Column:
+    """Monotone bucket of an integer that is distinct within its key: at most 2^bits neighbouring values each."""
+    return F.shiftright(value.cast("long"), bits)
+
+
 def hash_bucket(hashed: Column, bits: int = 10) -> Column:
     """Monotone bucket of a 64-bit hash: its leading bits."""
     return F.shiftright(hashed, 64 - bits).cast("int")
@@ -29,7 +34,8 @@ def hash_bucket(hashed: Column, bits: int = 10) -> Column:
 def attach(df: DataFrame, small: DataFrame, on: list[str], spread: list, salts: int = SALTS, how: str = "left") -> DataFrame:
     """Join one-row-per-key `small` to `df`, splitting every key of `df` into `salts` parts.
 
-    AQE turns this into a broadcast when the measured size of `small` allows it.
+    `small` is copied `salts` times, so it is for keys far fewer than rows (sessions, regions, trials); `spread` must
+    vary inside a key. Where `small` grows with `df`, a plain join lets AQE copy only what a hot key needs. AQE turns this into a broadcast when the measured size of `small` allows it.
     """
     left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

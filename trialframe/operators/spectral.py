@@ -11,17 +11,18 @@ from .raster import raster_rows
 from .stats import K, kruskal, with_zeros
 
 
-def band_histogram(powers: DataFrame, sizes: DataFrame, keys: list[str], bands: list[str], digits: int = 6) -> DataFrame:
+def band_histogram(powers: DataFrame, sizes: DataFrame, keys: list[str], bands: list[str], digits: int = 9) -> DataFrame:
     """Class counts per key, band and distinct power.
 
     `powers` has array column `power` (one value per band) for trials with spikes; the others have power
-    zero and come from `sizes`. Powers are rounded so that equal rasters tie whatever batch they ran in.
+    zero and come from `sizes`. Powers are rounded to significant digits, so that equal rasters tie whatever batch
+    they ran in, and the ranks are the same in any unit of the signal.
     """
     rows = powers.where(F.col("label").isNotNull()).select(
         *keys, "label", F.posexplode("power").alias("band_idx", "v")
     )
     ones = [F.count_if(F.col("label") == c).alias(f"c_{i}") for i, c in enumerate(CLASSES)]
-    seen = rows.withColumn("v", F.round("v", digits) + 0.0).groupBy(*keys, "band_idx", "v").agg(*ones)
+    seen = rows.withColumn("v", S.significant(F.col("v"), digits)).groupBy(*keys, "band_idx", "v").agg(*ones)
     per_band = sizes.select(
         *keys, *[f"n_{i}" for i in K], F.explode(F.sequence(F.lit(0), F.lit(len(bands) - 1))).alias("band_idx")
     )

@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.pvalues import chi2_sf, correlation_p
+from ..functions.signal import significant
 from ..schema import CLASSES, UNIT
 from .lineage import cut
-from .skew import attach, value_bucket, with_group_stats, with_prefix
+from .skew import value_bucket, with_group_stats, with_prefix
 
 K = range(len(CLASSES))
 
@@ -200,12 +201,14 @@ def _weighted_correlation(rows: DataFrame, keys: list[str], x: str, y: str, w: s
 
 
 def average_ranks(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
-    """Average rank of every row in its key, for continuous values and keys of any size."""
+    """Average rank of every row in its key, for continuous values and keys of any size.
+
+    Equal values are merged before they are ordered; AQE splits the join back where a value holds very many rows.
+    """
     distinct = df.groupBy(*keys, value).agg(F.count("*").alias("_c"))
     ranked = with_prefix(distinct, keys, [value], F.col("_c"), value_bucket(F.col(value)))
     ranks = ranked.select(*keys, value, (F.col("before") + (F.col("_c") + 1) / 2).alias(out))
-    others = [c for c in df.columns if c not in keys and c != value]
-    return attach(df, ranks, [*keys, value], others or [value])
+    return df.join(ranks, [*keys, value], "left")
 
 
 def spearman_global(df: DataFrame, x: str, y: str, keys: list[str] = []) -> DataFrame:
@@ -234,7 +237,7 @@ def spearman_coupling(unit_trials: DataFrame, sizes: DataFrame) -> DataFrame:
 def spearman_ramp(psths: DataFrame, smoothed: Column, digits: int = 9) -> DataFrame:
     """Bin number against the smoothed mean trace. Values are rounded so that bins that are equal
     but for the order of summation tie."""
-    rows = psths.select(*UNIT, F.posexplode(smoothed).alias("bin", "v")).withColumn("v", F.round("v", digits))
+    rows = psths.select(*UNIT, F.posexplode(smoothed).alias("bin", "v")).withColumn("v", significant(F.col("v"), digits))
     out = spearman(rows, list(UNIT), "bin", "v")
     return out.withColumn("p", correlation_p(F.col("rho"), F.col("n_pairs")))
 
@@ -280,7 +283,7 @@ def bh_fdr(
     qs = scaled.join(floors, [*keys, "_b"]).select(
         *keys, p, F.least(F.min("_s").over(inside), F.col("_later"), F.lit(1.0)).alias(q)
     )
-    return attach(df, qs, [*keys, p], list(spread))
+    return df.join(qs, [*keys, p], "left")
 
 
 # ---------------------------------------------------------------- scaling within a group

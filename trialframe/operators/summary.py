@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, REGIONS, QcRules
-from .skew import value_bucket, with_position
+from .skew import id_bucket, with_position
 
 
 def class_count_columns(label: str = "label") -> list[Column]:
@@ -84,7 +84,7 @@ def weight_entropy(weights: DataFrame, keys: list[str], group: list[str], weight
 def session_batches(trials: DataFrame, size: int, seed: int | None = None) -> DataFrame:
     """Batch number of every trial; a batch never mixes sessions. With a seed the order is hashed."""
     if seed is None:
-        order, bucket = ["trial"], value_bucket(F.col("trial").cast("double"))
+        order, bucket = ["trial"], id_bucket(F.col("trial"))
         rows = trials
     else:
         rows = trials.withColumn("_h", F.xxhash64(F.lit(seed), "session", "trial"))

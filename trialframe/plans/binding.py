@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import label_from_licks_a
-from ..operators.skew import attach
 from ..schema import REGIONS
 
 GO = 43200.0
@@ -88,4 +87,4 @@ def binned(sp: DataFrame, tr: DataFrame) -> DataFrame:
 
 def trial_rules(sp: DataFrame) -> DataFrame:
     """Trials with their behaviour row."""
-    return attach(trials(sp), behavior(sp), ["session", "trial"], ["trial"])
+    return trials(sp).join(behavior(sp), ["session", "trial"], "left")

@@ -9,7 +9,6 @@ from ..functions import parsing as P
 from ..functions import rules as Q
 from ..operators import joins as J
 from ..operators import summary as SM
-from ..operators.skew import attach
 from ..schema import CLASSES, QcRules
 from . import binding as B
 from .queries_raster import base, counts
@@ -244,7 +243,7 @@ def label_precedence(spark, sf):
     """The folder label stands unless a log row exists; log rows of hits are the ones present here."""
     sp = B.spikes(spark, sf)
     log = B.behavior(sp).where(F.col("outcome") == "hit").select("session", "trial", "outcome")
-    df = attach(B.trials(sp), log.withColumn("has_row", F.lit(True)), ["session", "trial"], ["trial"])
+    df = B.trials(sp).join(log.withColumn("has_row", F.lit(True)), ["session", "trial"], "left")
     return df.select(
         "session", "trial",
         *Q.label_precedence(F.lit("Ignore"), F.col("has_row").isNotNull(), F.col("n_left") > 0, F.col("n_right") > 0, F.col("outcome")),

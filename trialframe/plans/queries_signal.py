@@ -10,7 +10,7 @@ from ..functions import signal as S
 from ..operators import spectral as SP
 from ..schema import CLASSES
 from . import binding as B
-from .registry import kruskal_sql, query, r
+from .registry import kruskal_sql, query, r, sig
 
 N, DT = 64, 0.01
 BANDS = {"slow": (1.0, 4.0), "theta": (4.0, 12.0), "beta": (12.0, 30.0)}
@@ -146,7 +146,7 @@ def cwt_band(spark, sf):
     return band_powers(spark, sf).select("vec_id", F.posexplode("power").alias("band_idx", "power"))
 
 
-SEL_A = CWT_BAND + ", rows_v AS (SELECT unit, band_idx, label, round(power, 6) AS v FROM bp)" + kruskal_sql("rows_v", "unit, band_idx")
+SEL_A = CWT_BAND + f", rows_v AS (SELECT unit, band_idx, label, {sig('power')} AS v FROM bp)" + kruskal_sql("rows_v", "unit, band_idx")
 
 
 @query("spectral_selectivity_a", SEL_A + f"""

@@ -10,7 +10,7 @@ from ..operators import selection as sel
 from ..operators import stats
 from . import binding as B
 from .queries_raster import U, UK, counts, unit_trials
-from .registry import BASE, b, kruskal_sql, query, r
+from .registry import BASE, b, kruskal_sql, query, r, sig
 
 CTX_S = 43200.0
 
@@ -153,11 +153,11 @@ def traces(spark, sf):
     return R.psth_arrays(R.psth(binned, R.unit_sizes(un, tr)), un, B.N_CTX, B.N_TGT)
 
 
-@query("spearman_ramp", BASE + SMOOTH + ", sr AS (SELECT session, region, unit, bin, round(v, 6) AS v FROM sm)"
+@query("spearman_ramp", BASE + SMOOTH + f", sr AS (SELECT session, region, unit, bin, {sig('v')} AS v FROM sm)"
        + RANK2.format(key=UK, x="bin", y="v", rows="sr") + f"SELECT {UK}, {r('rho', 'rho')}, n_pairs FROM rho")
 def spearman_ramp(spark, sf):
     smooth = S.gaussian_smooth(S.rate(F.col("ctx"), B.CTX_BIN / 1000), 2.0)
-    return stats.spearman_ramp(traces(spark, sf), smooth, digits=6).drop("p")
+    return stats.spearman_ramp(traces(spark, sf), smooth).drop("p")
 
 
 @query("smooth_psth", BASE + SMOOTH + f"SELECT {UK}, {b('bin', 'bin')}, {r('v', 'rate')} FROM sm")

@@ -45,6 +45,12 @@ def r(expr: str, name: str) -> str:
     return f"round(CAST({expr} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
+def sig(expr: str, digits: int = 9) -> str:
+    """Rounded to significant digits, as `functions.signal.significant`."""
+    power = f"power(10, floor(log10(abs({expr}))))"
+    return f"CASE WHEN abs({expr}) < 1e-20 THEN 0 ELSE round({expr} / {power}, {digits - 1}) * {power} END"
+
+
 def b(expr: str, name: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
 

@@ -116,14 +116,19 @@ def with_videos(trials: DataFrame, videos: DataFrame, session_dir: str) -> DataF
 def read_log(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Behaviour logs stacked by column name, every cell text, missing cells NULL, with source and position.
 
-    Later paths come later in `file_pos`, as do later lines of a file.
+    Later paths come later in `file_pos`, then later files of a path by name, then later lines of a file: Spark packs
+    files and their blocks into tasks by size, so a row number alone would not follow either.
     """
     parts = []
     for i, path in enumerate(paths):
         raw = spark.read.option("header", True).csv(path)
         cells = [F.when(~F.col(f"`{c}`").isin(*NA_CELLS), F.col(f"`{c}`")).alias(c) for c in raw.columns]
-        pos = F.struct(F.lit(i).alias("file"), F.monotonically_increasing_id().alias("line"))
-        parts.append(raw.select(*cells, F.col("_metadata.file_path").alias("source_csv"), pos.alias("file_pos")))
+        meta = F.col("_metadata")
+        pos = F.struct(
+            F.lit(i).alias("path"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block"),
+            F.monotonically_increasing_id().alias("line"),
+        )
+        parts.append(raw.select(*cells, meta["file_path"].alias("source_csv"), pos.alias("file_pos")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part, allowMissingColumns=True)
