@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import CLASSES
 from . import evaluation as E
 from . import stats
-from .skew import attach, hash_bucket, with_position
+from .skew import attach, draw, hash_bucket, with_position
 
 
 def laterality_by_weight(weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,13 +78,13 @@ def session_bootstrap(preds: DataFrame, n: int = 200, seed: int = 0) -> DataFram
 
     Sessions are reduced to confusion counts; a replicate is a sum of drawn sessions' counts.
     """
-    per_session = E.confusion_counts(preds, ["session"]).withColumn("_h", F.xxhash64("session"))
+    per_session = E.confusion_counts(preds, ["session"]).withColumn("_h", draw(seed, "session"))
     numbered = with_position(per_session, [], ["_h", "session"], hash_bucket(F.col("_h"), 12), "_pos", "_n").drop("_h")
     reps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # as many draws per replicate as there are sessions: every session slot draws one position
     draws = (
         numbered.select("_pos", "_n", reps.alias("rep"))
-        .withColumn("_draw", F.pmod(F.xxhash64(F.lit(seed), "rep", "_pos"), F.col("_n")) + 1)
+        .withColumn("_draw", F.pmod(draw(seed, "rep", "_pos"), F.col("_n")) + 1)
         .groupBy("rep", "_draw")
         .agg(F.count("*").alias("_times"))
     )
@@ -143,7 +143,7 @@ def time_shuffle(cells: DataFrame, n_bins: int, seed: int) -> DataFrame:
 
 def outer_split(trials: DataFrame, unit: str, frac: float, seed: int) -> DataFrame:
     """Whole sessions (or subjects) held out by a seeded hash order of the distinct values."""
-    groups = trials.select(unit).distinct().withColumn("_h", F.xxhash64(F.lit(seed), unit))
+    groups = trials.select(unit).distinct().withColumn("_h", draw(seed, unit))
     ranked = with_position(groups, [], ["_h", unit], hash_bucket(F.col("_h"), 12), "_p", "_n")
     held = ranked.select(unit, (F.col("_p") <= F.greatest(F.lit(1), F.bround(F.col("_n") * frac))).alias("held_out"))
     return attach(trials, held, [unit], ["trial"])
@@ -163,6 +163,6 @@ def size_matched_random(units: DataFrame, selected: DataFrame, seed: int) -> Dat
     """As many random units per session and region as were selected."""
     keys = ["session", "region"]
     k = selected.groupBy(*keys).agg(F.count("*").alias("_k"))
-    hashed = units.select(*keys, "unit").withColumn("_h", F.xxhash64(F.lit(seed), *keys, "unit"))
+    hashed = units.select(*keys, "unit").withColumn("_h", draw(seed, *keys, "unit"))
     ranked = with_position(hashed, keys, ["_h", "unit"], hash_bucket(F.col("_h")), "_p")
     return attach(ranked, k, keys, ["unit"], how="inner").where(F.col("_p") <= F.col("_k")).select(*keys, "unit")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..schema import CLASSES, REGIONS
 from .lineage import cut
-from .skew import attach, hash_bucket, with_position
+from .skew import attach, draw, hash_bucket, with_position
 from .stats import add
 
 C = range(len(CLASSES))
@@ -121,7 +121,7 @@ def cross_session(per_session: DataFrame) -> DataFrame:
 
 
 def _hashed(trials: DataFrame, seed: int) -> DataFrame:
-    return trials.withColumn("_h", F.xxhash64(F.lit(seed), "session", "trial"))
+    return trials.withColumn("_h", draw(seed, "session", "trial"))
 
 
 def split_out(trials: DataFrame, frac: Column, seed: int, keys: list[str] = ["session"]) -> DataFrame:
@@ -195,10 +195,10 @@ def shuffle_labels(preds: DataFrame, ids: list[str], n: int, seed: int, keys: li
     """n label permutations (inside each key): every replicate pairs predictions in id order with
     labels in a hashed order of the replicate."""
     reps = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    rows = preds.select(*keys, *[c for c in ids if c not in keys], "label", "pred").withColumn("_base", F.xxhash64(*ids))
+    rows = preds.select(*keys, *[c for c in ids if c not in keys], "label", "pred").withColumn("_base", draw(seed, *ids))
     fixed = with_position(rows, keys, ["_base", *ids], hash_bucket(F.col("_base"), 12), "_pos")
     targets = fixed.select(*keys, "_pos", "pred", reps.alias("rep"))
-    drawn = rows.withColumn("rep", reps).withColumn("_h", F.xxhash64(F.lit(seed), "rep", *ids))
+    drawn = rows.withColumn("rep", reps).withColumn("_h", draw(seed, "rep", *ids))
     labels = with_position(drawn, [*keys, "rep"], ["_h", *ids], hash_bucket(F.col("_h"), 12), "_pos")
     return targets.join(labels.select(*keys, "rep", "_pos", "label"), [*keys, "rep", "_pos"]).drop("_pos")
 

@@ -13,7 +13,7 @@ from ..schema import CLASSES, CRITERIA, REGION_LABELS, REGIONS, UNIT, SelectionA
 from . import stats
 from .lineage import cut, written
 from .raster import psth, psth_arrays, unit_sizes, unit_trial_counts
-from .skew import hash_bucket, value_bucket, with_position
+from .skew import draw, hash_bucket, value_bucket, with_position
 from .spectral import spectral_selectivity_a, tf_selectivity_b
 
 U = list(UNIT)
@@ -185,7 +185,7 @@ def neuron_set(table: DataFrame, totals: DataFrame, mode: str, k: int, seed: int
         chosen = top_k(ranked, k, keys, [F.col("total").desc(), F.col("unit")]).select(*U, "rank")
     elif mode == "random":
         chosen = top_k(
-            table.select(*U).withColumn("_h", F.xxhash64(F.lit(seed), *U)), k, keys, [F.col("_h"), F.col("unit")]
+            table.select(*U).withColumn("_h", draw(seed, *U)), k, keys, [F.col("_h"), F.col("unit")]
         ).select(*U, "rank")
     else:
         raise ValueError(mode)
@@ -276,5 +276,5 @@ def region_composition(selected: DataFrame, keys: list[str] = ["region"]) -> Dat
 
 def random_position(units: DataFrame, keys: list[str], seed: int, out: str = "pos") -> DataFrame:
     """Seeded random order within the group, cut by the leading bits of the hash."""
-    hashed = units.withColumn("_h", F.xxhash64(F.lit(seed), *U))
+    hashed = units.withColumn("_h", draw(seed, *U))
     return with_position(hashed, keys, ["_h", "unit"], hash_bucket(F.col("_h")), out).drop("_h")

@@ -27,8 +27,14 @@ def id_bucket(value: Column, bits: int = 16) -> Column:
 
 
 def hash_bucket(hashed: Column, bits: int = 10) -> Column:
-    """Monotone bucket of a 64-bit hash: its leading bits."""
-    return F.shiftright(hashed, 64 - bits).cast("int")
+    """Monotone bucket of a `draw`: its leading bits."""
+    return F.shiftright(hashed, 60 - bits).cast("int")
+
+
+def draw(seed: int, *cols) -> Column:
+    """A seeded number of 60 bits for a row, from an MD5 over its columns, so that any engine can repeat the draw."""
+    parts = [F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in cols]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), *parts)), 1, 15), 16, 10).cast("long")
 
 
 def attach(df: DataFrame, small: DataFrame, on: list[str], spread: list, salts: int = SALTS, how: str = "left") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, REGIONS, QcRules
-from .skew import id_bucket, with_position
+from .skew import draw, hash_bucket, id_bucket, with_position
 
 
 def class_count_columns(label: str = "label") -> list[Column]:
@@ -87,8 +87,8 @@ def session_batches(trials: DataFrame, size: int, seed: int | None = None) -> Da
         order, bucket = ["trial"], id_bucket(F.col("trial"))
         rows = trials
     else:
-        rows = trials.withColumn("_h", F.xxhash64(F.lit(seed), "session", "trial"))
-        order, bucket = ["_h", "trial"], F.shiftright("_h", 54).cast("int")
+        rows = trials.withColumn("_h", draw(seed, "session", "trial"))
+        order, bucket = ["_h", "trial"], hash_bucket(F.col("_h"))
     ranked = with_position(rows, ["session"], order, bucket)
     return ranked.withColumn("batch", F.floor((F.col("pos") - 1) / size).cast("long")).drop("pos", "_h")
 

@@ -14,7 +14,7 @@ from .queries_eval import WEIGHTS, labelled, predictions, weights
 from .queries_raster import U, UK, base, counts, unit_trials
 from .queries_selection import COMPOSITE, composite
 from .queries_signal import X, traces
-from .registry import BASE, query, r
+from .registry import BASE, draw_sql, query, r
 
 
 @query("laterality_by_weight", BASE + f"""
@@ -109,7 +109,10 @@ def time_shuffle_totals(spark, sf):
     return moved.groupBy(*U, "trial").agg(F.sum("n").alias("n"), F.countDistinct("bin").alias("bins"))
 
 
-@query("outer_split")
+@query("outer_split", BASE + f"""
+, s AS (SELECT DISTINCT session FROM lab),
+k AS (SELECT session, row_number() OVER (ORDER BY {draw_sql(6, 'session')}, session) <= greatest(1, round_even(count(*) OVER () * 0.3, 0)) AS held_out FROM s)
+SELECT lab.session, lab.trial, lab.label, k.held_out FROM lab JOIN k ON k.session = lab.session""")
 def outer_split(spark, sf):
     return A.outer_split(labelled(spark, sf), "session", 0.3, seed=6)
 
@@ -144,7 +147,10 @@ def level_rank_correlation(spark, sf):
     return A.rank_correlation(pairs, "a", "m").drop("p")
 
 
-@query("size_matched_random")
+@query("size_matched_random", BASE + f"""
+, n AS (SELECT session, region, count(*) AS k FROM units WHERE unit % 4 = session % 4 GROUP BY session, region),
+p AS (SELECT *, row_number() OVER (PARTITION BY session, region ORDER BY {draw_sql(9, 'session', 'region', 'unit')}, unit) AS p FROM units)
+SELECT p.session, p.region, p.unit FROM p JOIN n ON n.session = p.session AND n.region = p.region WHERE p.p <= n.k""")
 def size_matched_random(spark, sf):
     un = base(spark, sf)[2]
     chosen = un.where(F.col("unit") % 4 == F.col("session") % 4)

@@ -12,7 +12,7 @@ from ..operators import summary as SM
 from ..schema import CLASSES, QcRules
 from . import binding as B
 from .queries_raster import base, counts
-from .registry import BASE, b, query, r
+from .registry import BASE, b, draw_sql, query, r
 
 # ---------------------------------------------------------------- parsing
 
@@ -425,7 +425,9 @@ def batches(spark, sf):
     return SM.session_batches(tr, 8)
 
 
-@query("batches_shuffled")
+@query("batches_shuffled", BASE + f"""
+, k AS (SELECT session, trial, row_number() OVER (PARTITION BY session ORDER BY {draw_sql(3, 'session', 'trial')}, trial) AS p FROM lab)
+SELECT session, trial, (p - 1) // 8 AS batch FROM k""")
 def batches_shuffled(spark, sf):
     tr = B.trials(B.spikes(spark, sf)).where("label IS NOT NULL").select("session", "trial")
     return SM.session_batches(tr, 8, seed=3)

@@ -16,7 +16,7 @@ from ..operators.lineage import cut, written
 from ..schema import CLASSES, REGIONS
 from . import binding as B
 from .queries_raster import U, UK, counts, unit_trials
-from .registry import BASE, b, query, r
+from .registry import BASE, b, draw_sql, query, r
 
 # ---------------------------------------------------------------- class metrics on the label table
 
@@ -103,17 +103,53 @@ def labelled(spark, sf):
     return B.trials(B.spikes(spark, sf)).where("label IS NOT NULL").select("session", "trial", "label")
 
 
-@query("split_stratified")
+def split_sql(src: str, out: str, frac: str, seed: int) -> str:
+    """Tables that add boolean `o` to the labelled trials of `src`: drawn by class where that is possible."""
+    order = f"ORDER BY {draw_sql(seed, 'session', 'trial')}, trial"
+    return f"""
+, {out}_k AS (SELECT session, label, count(*) AS k FROM {src} GROUP BY ALL),
+{out}_s AS (
+  SELECT session, sum(k) AS n, round_even(({frac})::DOUBLE * sum(k), 0) AS places, min(k) AS least, count(*) AS present
+  FROM {out}_k GROUP BY session),
+{out}_e AS (
+  SELECT session, label, places, least >= 2 AND places >= present AND places < n AS by_class, places * k / n AS e
+  FROM {out}_k JOIN {out}_s USING (session)),
+{out}_q AS (
+  SELECT *, floor(e) + CASE WHEN row_number() OVER (PARTITION BY session ORDER BY e - floor(e) DESC, label)
+         <= places - sum(floor(e)) OVER (PARTITION BY session) THEN 1 ELSE 0 END AS quota FROM {out}_e),
+{out}_p AS (
+  SELECT *, row_number() OVER (PARTITION BY session {order}) AS p,
+         row_number() OVER (PARTITION BY session, label {order}) AS pc FROM {src}),
+{out} AS (
+  SELECT p.session, p.trial, p.label, CASE WHEN by_class THEN pc <= quota ELSE p <= places END AS o
+  FROM {out}_p p JOIN {out}_q q ON q.session = p.session AND q.label = p.label)
+"""
+
+
+def two_step_sql(test: str, val: str, rest: str, seed: int = 0) -> str:
+    return (
+        BASE + split_sql("lab", "one", test, seed) + ", left_ AS (SELECT session, trial, label FROM one WHERE NOT o)"
+        + split_sql("left_", "two", val, seed + 1) + f"""
+SELECT session, trial, label, 'test' AS split FROM one WHERE o
+UNION ALL SELECT session, trial, label, CASE WHEN o THEN 'val' ELSE {rest} END FROM two"""
+    )
+
+
+@query("split_stratified", two_step_sql("0.15", repr(0.15 / 0.85), "'train'"))
 def split_stratified(spark, sf):
     return E.stratified_split(labelled(spark, sf), seed=0)
 
 
-@query("split_holdout")
+@query("split_holdout", two_step_sql(
+    "CASE WHEN session = 0 THEN 0.8 ELSE 0 END", "CASE WHEN session = 0 THEN 0 ELSE 0.15 END",
+    "CASE WHEN session = 0 THEN 'adapt' ELSE 'train' END"))
 def split_holdout(spark, sf):
     return E.holdout_split(labelled(spark, sf), F.col("session") == 0, seed=0)
 
 
-@query("split_random")
+@query("split_random", BASE + f"""
+, k AS (SELECT *, row_number() OVER (ORDER BY {draw_sql(7, 'session', 'trial')}, session, trial) AS p, count(*) OVER () AS n FROM lab)
+SELECT session, trial, label, CASE WHEN p <= greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'train' END AS split FROM k""")
 def split_random(spark, sf):
     return E.random_split(labelled(spark, sf), seed=7)
 

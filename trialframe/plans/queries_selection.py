@@ -15,7 +15,7 @@ from ..schema import SelectionA, SelectionB
 from . import binding as B
 from .queries_raster import U, UK, base, counts, unit_trials
 from .queries_stats import BH, DP, DUR, KW, PEARSON, PREF, PRIOR, unit_kruskal
-from .registry import BASE, b, query, r
+from .registry import BASE, b, draw_sql, query, r
 
 # The event data carry no effect, so thresholds are loose; one bin stands for 10 ms in the band settings.
 LOOSE = SelectionA(min_rate_hz=0.0, min_active_frac=0.5, fdr_q=0.99, min_criteria=1, top_k=8)
@@ -127,7 +127,9 @@ def neuron_set_rate(spark, sf):
     return sel.neuron_set(sizes, totals, "rate", 5)
 
 
-@query("neuron_set_random")
+@query("neuron_set_random", BASE + f"""
+, p AS (SELECT session, region, unit, row_number() OVER (PARTITION BY session, region ORDER BY {draw_sql(11, 'session', 'region', 'unit')}, unit) AS rank FROM units)
+SELECT session, region, unit, rank, 'random' AS mode FROM p WHERE rank <= 5""")
 def neuron_set_random(spark, sf):
     un = base(spark, sf)[2]
     return sel.neuron_set(un, un, "random", 5, seed=11)

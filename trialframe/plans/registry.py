@@ -51,6 +51,11 @@ def sig(expr: str, digits: int = 9) -> str:
     return f"CASE WHEN abs({expr}) < 1e-20 THEN 0 ELSE round({expr} / {power}, {digits - 1}) * {power} END"
 
 
+def draw_sql(seed: int, *cols: str) -> str:
+    """The seeded number of a row, as `operators.skew.draw`."""
+    return f"('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(cols)})), 1, 15))::BIGINT"
+
+
 def b(expr: str, name: str) -> str:
     return f"CAST({expr} AS BIGINT) AS {name}"
 
