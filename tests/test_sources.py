@@ -86,7 +86,9 @@ def test_log_folder_order_follows_names_not_sizes(spark, tmp_path):
 def test_cache_and_results(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 2), (1, 1, 5)], "session long, bin int, n long")
     path = sinks.save_cache(df, str(tmp_path / "cache"), Windows())
-    assert path.endswith("bin10_tbin50_ctx0_0_resp1500")
+    assert path.endswith(Windows().key()) and Windows().key() != Windows(late_s=0.5).key()
+    assert spark.read.text(f"{path}/_settings").first()[0] == Windows().settings()
+    sinks.save_cache(df.where("session = 1"), str(tmp_path / "cache"), Windows())
     cached = sinks.load_cache(spark, str(tmp_path / "cache"), Windows())
     assert cached.count() == 2
     trials = spark.createDataFrame([(0,), (2,)], "session long")

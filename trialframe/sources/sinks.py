@@ -9,9 +9,13 @@ from ..schema import Windows
 
 
 def save_cache(binned: DataFrame, root: str, windows: Windows) -> str:
-    """Binned counts by session under a folder named after the settings; only the sessions present are replaced."""
+    """Binned counts by session under a folder named after the settings; only the sessions present are replaced.
+
+    The settings themselves are kept beside the counts in `_settings`, which readers of the counts leave out.
+    """
     path = f"{root}/{windows.key()}"
     binned.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session").parquet(path)
+    binned.sparkSession.createDataFrame([(windows.settings(),)], "value string").write.mode("overwrite").text(f"{path}/_settings")
     return path
 
 
