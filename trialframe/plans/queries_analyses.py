@@ -10,7 +10,7 @@ from ..operators import evaluation as E
 from ..operators import raster as R
 from ..operators.lineage import cut
 from . import binding as B
-from .queries_eval import WEIGHTS, labelled, predictions, weights
+from .queries_eval import PRED, WEIGHTS, labelled, metrics_sql, permuted_sql, predictions, weights
 from .queries_raster import U, UK, base, counts, unit_trials
 from .queries_selection import COMPOSITE, composite
 from .queries_signal import X, traces
@@ -60,7 +60,12 @@ def type_overlap(spark, sf):
     return A.type_overlap(typed(spark, sf), "dataset", "kind", "A", "B")
 
 
-@query("type_overlap_null")
+@query("type_overlap_null", COMPOSITE + f"""
+, t AS (SELECT session, unit, {TYPE} AS kind, CASE WHEN session % 2 = 0 THEN 'A' ELSE 'B' END AS dataset FROM cb WHERE selected)
+""" + permuted_sql("t", "x", "session, unit", "kind", "dataset", 20, 1) + f"""
+, k AS (SELECT rep, kind, bool_or(dataset = 'A') AS a, bool_or(dataset = 'B') AS b FROM x GROUP BY rep, kind)
+SELECT rep, count(*) FILTER (a AND b) AS n_both, count(*) FILTER (a OR b) AS n_any,
+       {r('count(*) FILTER (a AND b) / count(*) FILTER (a OR b)', 'jaccard')} FROM k GROUP BY rep""")
 def type_overlap_null(spark, sf):
     return A.type_overlap_null(cut(typed(spark, sf)), "dataset", "kind", "A", "B", ["session", "unit"], 20, seed=1)
 
@@ -71,7 +76,17 @@ def centre_of_mass(spark, sf):
     return A.centre_of_mass(weights(spark, sf), ["region", "label"], 0.2, 0.8)
 
 
-@query("session_bootstrap")
+BOOTSTRAP = ", ".join(
+    f"{r(f'avg({m})', f'{m}_mean')}, {r(f'quantile_cont({m}, 0.025)', f'{m}_low')}, {r(f'quantile_cont({m}, 0.975)', f'{m}_high')}"
+    for m in ("accuracy", "balanced_accuracy", "macro_f1")
+)
+
+
+@query("session_bootstrap", PRED + f"""
+, s AS (SELECT session, row_number() OVER (ORDER BY {draw_sql(0, 'session')}, session) AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT session FROM p)),
+d AS (SELECT rep, {draw_sql(0, 'rep', 'pos')} % n + 1 AS drawn FROM s CROSS JOIN (SELECT unnest(range(200)) AS rep)),
+y AS (SELECT d.rep, p.label, p.pred FROM d JOIN s ON s.pos = d.drawn JOIN p ON p.session = s.session)
+""" + metrics_sql("y", "rep") + f"SELECT {BOOTSTRAP}, count(*) AS n_replicates FROM y_m")
 def session_bootstrap(spark, sf):
     return A.session_bootstrap(predictions(spark, sf), 200, seed=0)
 

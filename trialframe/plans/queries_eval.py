@@ -82,7 +82,20 @@ def cross_session_agg(spark, sf):
     return E.cross_session(E.confusion_counts(predictions(spark, sf), ["session"]))
 
 
-@query("shuffle_chance")
+def permuted_sql(src: str, out: str, ids: str, label: str, pred: str, n: int, seed: int) -> str:
+    """Tables that pair predictions in drawn order with labels in the drawn order of each replicate."""
+    cols = ids.split(", ")
+    return f"""
+, {out}_a AS (SELECT {pred}, row_number() OVER (ORDER BY {draw_sql(seed, *cols)}, {ids}) AS pos FROM {src}),
+{out}_b AS (
+  SELECT rep, {label}, row_number() OVER (PARTITION BY rep ORDER BY {draw_sql(seed, 'rep', *cols)}, {ids}) AS pos
+  FROM {src} CROSS JOIN (SELECT unnest(range({n})) AS rep)),
+{out} AS (SELECT rep, {label}, {pred} FROM {out}_b JOIN {out}_a USING (pos))
+"""
+
+
+@query("shuffle_chance", PRED + permuted_sql("p", "x", "session, trial", "label", "pred", 20, 0) + metrics_sql("x", "rep") + f"""
+SELECT {r('avg(balanced_accuracy)', 'mean')}, {r('quantile_cont(balanced_accuracy, 0.95)', 'p95')}, count(*) AS n_shuffles FROM x_m""")
 def shuffle_chance(spark, sf):
     return E.shuffle_chance(predictions(spark, sf), ["session", "trial"], 20, seed=0)
 
