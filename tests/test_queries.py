@@ -120,3 +120,16 @@ def test_a_set_without_units_is_fitted_by_its_intercepts(spark):
     assert len(got) == 6 and {k: got["one", k]["pred"] for k in range(3)} == {0: 1, 1: 1, 2: 2}
     # balanced weights: without units both classes are even
     assert all(abs(got["none", k]["p_Left"] - got["none", k]["p_Right"]) < 1e-6 for k in range(3))
+
+
+def test_a_fit_is_not_kept_for_changed_files(spark, tmp_path, monkeypatch):
+    from trialframe.plans import queries_eval
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    fits = []
+    monkeypatch.setattr(queries_eval.M, "fit_linear", lambda *a, **k: fits.append(1) or len(fits))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    first = queries_eval.fitted(spark, str(tmp_path))
+    assert queries_eval.fitted(spark, str(tmp_path)) is first and len(fits) == 1
+    events.where("user_id > 3").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
+    assert queries_eval.fitted(spark, str(tmp_path))[-1] == 2

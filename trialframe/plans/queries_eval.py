@@ -219,8 +219,8 @@ def fitted(spark, sf, loss: str = "logistic"):
     One model serves every evaluation of a session and a state of the event files (names, times and lengths).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/events.parquet")
-    state = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "path", "modificationTime", "length"))), "\n"), 256))
-    key = (spark.sparkContext.applicationId, state.first()[0], loss)
+    state = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length")))
+    key = (spark.sparkContext.applicationId, *state.first(), loss)
     if key not in _FITTED:
         binned = written(counts(spark, sf)[0])
         features = cut(M.mean_rate_features(binned, B.N_CTX))
