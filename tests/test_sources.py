@@ -83,6 +83,28 @@ def test_log_folder_order_follows_names_not_sizes(spark, tmp_path):
     assert last[1] == "last" and last[7] == "row7"
 
 
+def test_trials_find_their_log_rows(spark, tmp_path):
+    (tmp_path / "tree").mkdir()
+    trials = catalog.catalog_subjects(catalog.list_files(spark, str(make_tree(tmp_path / "tree"))))
+    log = tmp_path / "log.csv"
+    log.write_text(
+        "session_dir,subject_id,trial,outcome\nsub-7_ses-1_behavior+x,,2,miss\nsub-7_ses-1_behavior+x,,2,hit\n"
+        "other,7,2,ignore\nother,7,3,ignore\nother,8,2,miss\n"
+    )
+    got = {r["trial"]: r for r in catalog.with_log(trials, catalog.read_log(spark, [str(log)])).collect()}
+    # the folder key beats subject and trial; of its rows the last one counts
+    assert got[2]["outcome"] == "hit" and got[3]["outcome"] == "ignore" and got[3]["has_row"] and len(got) == 2
+    log.write_text("session_dir,trial,outcome\nsomewhere,2,hit\n")
+    none = catalog.with_log(trials, catalog.read_log(spark, [str(log)])).collect()
+    assert [(r["outcome"], r["has_row"]) for r in none] == [(None, False)] * 2
+
+
+def test_best_log_of_a_session(spark):
+    rows = [("s", 1, "raw"), ("s", 0, "audited"), ("t", 2, "combined")]
+    logs = spark.createDataFrame(rows, "session_dir string, priority int, outcome string")
+    assert {r["outcome"] for r in catalog.session_logs(logs).collect()} == {"audited", "combined"}
+
+
 def test_cache_and_results(spark, tmp_path):
     df = spark.createDataFrame([(0, 1, 2), (1, 1, 5)], "session long, bin int, n long")
     path = sinks.save_cache(df, str(tmp_path / "cache"), Windows())

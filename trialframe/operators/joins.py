@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-
 def last_row(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """The row with the largest position per key, kept whole; partial aggregation, no sort."""
     row = F.max_by(F.struct(*[c for c in df.columns if c not in keys]), F.col(position))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import parsing as P
-from ..operators.joins import join_videos, last_row
+from ..operators.joins import join_videos, last_row, priority_lookup
 from ..schema import BEHAVIOR_COLUMNS, VIDEO_SUFFIXES
 
 # Cells a log reader takes as missing.
@@ -144,3 +144,14 @@ def session_logs(logs: DataFrame, session: str = "session_dir") -> DataFrame:
 
 def last_log_rows(logs: DataFrame, keys: list[str]) -> DataFrame:
     return last_row(logs.where(F.col("trial").isNotNull()), keys, "file_pos")
+
+
+def with_log(trials: DataFrame, logs: DataFrame) -> DataFrame:
+    """Catalog trials that carry lookup `keys`, with the log row they answer to (`read_log`) and `has_row`.
+
+    The first key with a row of the trial wins, and of its rows the last; a trial without any keeps NULL cells.
+    """
+    keys = P.behavior_keys(F.col("session_dir"), F.col("session_path"), F.col("subject_id"), F.col("trial"))
+    cells = [c for c in logs.columns if c not in ("trial", "file_pos")]
+    found = priority_lookup(trials, "keys", logs.withColumn("log_keys", keys), "log_keys", "trial", "file_pos", cells, ["path"])
+    return found.withColumn("has_row", F.col("key_rank").isNotNull()).drop("key_rank")
