@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from trialframe.llm import (
-    bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, quality_rules, queries, simhash, source_mixing,
+    bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, near_copies, quality_rules, queries, simhash,
+    source_mixing,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, doc string, kept int, `key` int, ids int, `n_tokens` string, component int"
@@ -182,6 +183,34 @@ def test_simhash_odd(odd, empty):
     assert simhash.classes(empty).collect() == [] and simhash.deduplicated(empty).collect() == []
 
 
+def test_near_copies_are_exact(spark, odd, empty):
+    rng = random.Random(12)
+    texts = []
+    for _ in range(25):
+        w = [f"w{rng.randint(0, 999)}" for _ in range(rng.randint(20, 120))]
+        for _ in range(rng.randint(1, 6)):
+            texts.append(" ".join(w))
+            w = list(w)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "edited"
+    texts = dict(enumerate(rng.sample(texts, len(texts))))
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in texts.items()}
+    root = {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if r == b else r for k, r in root.items()}
+    df = spark.createDataFrame(rows_of(list(texts.items())), DOCS)
+    assert {r.id: r.component for r in near_copies.classes(df).collect()} == root
+    stage = dict(corpus_pipeline.STAGES)["near duplicates"]
+    assert {r.doc_id for r in stage(spark, df, "").collect()} == set(root.values())
+    assert {r.doc_id for r in simhash.deduplicated(df).collect()} != set(root.values())
+    got = near_copies.deduplicated(odd)
+    assert got.columns == odd.columns and {r.doc_id for r in got.collect()} == {None, 0, 1, 5, 6, 7, 9, 10}
+    assert near_copies.deduplicated(empty).collect() == []
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 

@@ -236,7 +236,12 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Of each class the row with the smallest id (of its repeated rows one), and rows without an id; columns as given."""
-    found = written(classes(docs, doc_id, text))
+    return kept(docs, classes(docs, doc_id, text), doc_id, text)
+
+
+def kept(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same for classes already `found` (id, h, component)."""
+    found = written(found)
     gone = found.filter("component != id").select("id", "h").distinct()
     first = written(found.filter("component = id").groupBy("id").agg(F.count("*").alias("n"), F.min("h").alias("h")).filter("n > 1"))
     keyed = packed(docs, id=F.col(doc_id).cast("long"), h=F.xxhash64(F.col(text)))
