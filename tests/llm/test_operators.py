@@ -337,6 +337,15 @@ def test_html(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize("quote", ['"', "'"])
+def test_html_long_values(quote):
+    long = "x" * 5000
+    assert html_text.visible_text(f"a<div data-props={quote}{long}<b>leak</b>{quote} hidden>secret</div>b") == "ab"
+    assert html_text.visible_text(f"<p title = {quote}{long}>{quote}>shown</p>") == "shown"
+    assert html_text.visible_text(f"<p title={quote}open>shown</p>{long}") == "shown\n\n" + long
+    assert html_text.visible_text("<p it's>a<p>it's b") == "a\n\nit's b"
+
+
 def test_html_pages(spark):
     rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, None), (3, "u", "<div>" * 20000 + "x", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

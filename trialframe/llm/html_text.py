@@ -61,9 +61,10 @@ BUTTON = FENCE | {"button"}
 _TABLE = frozenset(("table",))
 TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 
-_QUOTED = r""""[^"]{0,4096}"|'[^']{0,4096}'"""
+#: A quoted value, whatever its length; one whose closing quote is missing ends with its tag.
+_VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')"""
 _TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>"']|{_QUOTED})*+)>|<([a-zA-Z][^\s/>]*)([^>]*)>""",
+    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE}|=)*+)>""",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
@@ -133,10 +134,10 @@ def tree(html: str) -> Node:
             elif k := find({tag}, _TABLE if tag in TABLE_PARTS else FENCE):
                 close(k)
             continue
-        tag = (m[2] or m[4] or "").lower()
+        tag = (m[2] or "").lower()
         if not tag or tag == "html":
             continue
-        attributes = _attributes(source) if (source := m[3] or m[5] or "").strip() else {}
+        attributes = _attributes(source) if (source := m[3] or "").strip() else {}
         if tag not in HEAD and places["head"]:
             close(places["head"][0])
         if tag in ENDS_PARAGRAPH and (k := find({"p"}, BUTTON)):
