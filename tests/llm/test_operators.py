@@ -346,6 +346,20 @@ def test_html_long_values(quote):
     assert html_text.visible_text("<p it's>a<p>it's b") == "a\n\nit's b"
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("a <math><mi>x</mi><mo>=</mo><mn>2</mn></math> b", "a x=2 b"),
+    ("<math><semantics><mi>x</mi><annotation encoding='t'>\\x</annotation><annotation-xml>y</annotation-xml></semantics></math>", "x"),
+    ("<svg><g><text>Sales</text><path d='M0'/><text>2024</text></g></svg>", "Sales 2024"),
+    ("<svg><title>t</title><text>a</text></svg>b", "a b"), ("<svg><desc>d</desc><text>a</text></svg>", "a"),
+    ("<svg><defs><text>d</text></defs><text>a</text></svg>", "a"), ("<svg><metadata>m</metadata><text>a</text></svg>", "a"),
+    ("<svg><defs/><text>a</text></svg>", "a"), ("<svg viewBox='0 0 1 1'/>after", "after"), ("<svg>loose<path></svg>after", "after"),
+    ("<svg><text>a</text><p>b</p>", "a\n\nb"), ("<svg><foreignObject><p>in</p></foreignObject></svg>", "in"),
+    ("<desc>d</desc><text>t</text>", "dt"), ("<svg hidden><text>a</text></svg>b", "b"),
+])
+def test_html_formulas_and_drawings(html, text):
+    assert html_text.visible_text(html) == text
+
+
 def test_html_pages(spark):
     rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, None), (3, "u", "<div>" * 20000 + "x", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -6,7 +6,8 @@ table cell, void elements hold nothing). Scripts, styles and other raw elements
 
 Visibility: the head, scripts, styles, templates, `hidden`, `display:none`, `visibility:hidden`, `<noscript>`,
 media fallbacks, closed `<details>` (but their summary), closed dialogs and the unchosen options of a menu
-do not show.
+do not show. Formulas (`<math>`) show without their annotations; of drawings (`<svg>`) the texts show, without
+title, desc, metadata and what is only defined (defs, symbol, mask and the like).
 
 Layout: white space collapses but in `<pre>`; blocks start lines, paragraphs, headings, lists and tables are
 set off by a blank line; list items carry a bullet or their number and are indented by depth; the cells of a
@@ -32,8 +33,14 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 UNSEEN = frozenset(
-    "audio canvas datalist embed head iframe math noembed noframes noscript object script style svg template title video".split()
+    "audio canvas datalist embed head iframe noembed noframes noscript object script style template title video".split()
 )
+#: What formulas and drawings do not show; of a drawing only its texts show.
+UNDRAWN = frozenset(
+    "annotation annotation-xml clippath defs desc filter lineargradient marker mask metadata pattern radialgradient symbol".split()
+)
+FOREIGN = frozenset(("math", "svg"))
+DRAWN_TEXT = frozenset(("foreignobject", "text"))
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr menu".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center dd details dialog dir div dt figcaption footer form header hgroup html legend li main"
@@ -55,6 +62,9 @@ IMPLIED = {
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "body": ({"head"}, set()),
 }
+#: Elements that end an open formula or drawing, and where HTML goes on inside one.
+BREAKOUT = (BLOCK - {"form", "option", "optgroup", "select", "html"}) | frozenset("b br code em i img span strong".split())
+INTEGRATION = frozenset("annotation-xml desc foreignobject mi mn mo ms mtext table td th caption".split())
 HEAD = frozenset("html head base link meta noscript script style template title".split())
 FENCE = frozenset(("table", "td", "th", "caption"))
 BUTTON = FENCE | {"button"}
@@ -140,13 +150,15 @@ def tree(html: str) -> Node:
         attributes = _attributes(source) if (source := m[3] or "").strip() else {}
         if tag not in HEAD and places["head"]:
             close(places["head"][0])
+        if tag in BREAKOUT and (k := find(FOREIGN, INTEGRATION)):
+            close(k)
         if tag in ENDS_PARAGRAPH and (k := find({"p"}, BUTTON)):
             close(k)
         if tag in IMPLIED and (k := outermost(*IMPLIED[tag])):
             close(k)
         node = Node(tag, attributes)
         open_[-1].children.append(node)
-        if tag in VOID:
+        if tag in VOID or (source.endswith("/") and (tag in FOREIGN or find(FOREIGN, INTEGRATION))):
             continue
         if tag in RAW:
             lowered = html.lower() if lowered is None else lowered
@@ -271,20 +283,25 @@ def render(root: Node) -> str:
     tables: list[Table] = []
     lists: list[list] = []  # [ordered, next number]
     kept = 0
+    foreign: list[bool] = []  # of the open formulas, drawings and their texts: whether strings show
     todo: list[tuple] = [("open", root, root)]
     while todo:
         step = todo.pop()
         if isinstance(step, str):
-            canvas.write(step, kept > 0)
+            if not foreign or foreign[-1]:
+                canvas.write(step, kept > 0)
             continue
         kind, node, parent = step
         tag = node.tag
         if kind == "open":
-            if _hidden(node, parent):
+            if _hidden(node, parent) or (foreign and tag in UNDRAWN):
                 continue
             if tag == "br":
                 canvas.end_line()
                 continue
+            if tag in FOREIGN or (foreign and tag in DRAWN_TEXT):
+                foreign.append(tag != "svg")
+                canvas.blank = canvas.blank or tag in DRAWN_TEXT  # labels stand apart
             if tag in BLOCK:
                 canvas.block(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 1)
             if tag in ("ul", "ol", "menu"):
@@ -316,6 +333,9 @@ def render(root: Node) -> str:
                 tables[-1].rows.append([])
             tables[-1].rows[-1].append((canvas.text(), span))
             canvas = canvases.pop()
+        elif tag in FOREIGN or (foreign and tag in DRAWN_TEXT):
+            foreign.pop()
+            canvas.blank = canvas.blank or tag in DRAWN_TEXT
         elif tag == "table":
             canvas.block(2)
             for line in tables.pop().lines():
