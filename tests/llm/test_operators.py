@@ -90,6 +90,20 @@ def test_quality_verdict(spark, odd, empty):
     assert quality_rules.cleaned(empty).collect() == []
 
 
+def test_quality_wrapped_prose(spark):
+    import textwrap
+    rng = random.Random(13)
+    names = "Anna Berlin saw the old house near a small river and Peter told him about Marie while they went home".split()
+    says = lambda n: " ".join(rng.choice(names) + rng.choice(["", "s", "t", "n", "ly"]) for _ in range(n)) + "."
+    plain = "\n\n".join(" ".join(says(17) for _ in range(6)) for _ in range(3))
+    wrapped = "\n\n".join(textwrap.fill(x, 80) for x in plain.split("\n\n"))
+    marks = ["\n".join(says(15)[:-1] + m for _ in range(5)) for m in "।؟۔"]
+    heaps = "\n".join(says(15)[:-1].capitalize() + " x" * rng.randint(0, 90) for _ in range(8))
+    df = spark.createDataFrame(rows_of(list(enumerate([wrapped, *marks, heaps]))), DOCS)
+    assert {r.doc_id: r.text for r in quality_rules.cleaned(df).collect()} == dict(enumerate([wrapped, *marks]))
+    assert not any(r.kept for r in quality_rules.judged(df).collect())
+
+
 # --- 4 -----------------------------------------------------------------------------------------------------------
 
 

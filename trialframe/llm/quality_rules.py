@@ -28,6 +28,10 @@ OPEN_LINE = 12
 SYMBOLS = r"[#*$%&|<>]"
 SEPARATORS = r"[|»›•·]"
 ENDING = r"[.!?…:;。！？][\"'”’»)\]]*[\x20\x09-\x0D]*$"
+#: The same with the danda and the Arabic and Urdu marks.
+ANY_ENDING = ENDING.replace("[.!?", "[.!?।॥؟۔", 1)
+#: Texts whose longest line has at most so many characters may be hard-wrapped.
+WRAP = 120
 # Fixed phrases of page furniture, lower case.
 BOILERPLATE = (
     "all rights reserved", "accept cookies", "back to top", "click here", "cookie policy", "enable javascript",
@@ -45,12 +49,21 @@ def _line(line: Column) -> Column:
     )
 
 
-def _fails(x: Column) -> Column:
+def _continued(x: Column, after: Column, longest: Column) -> Column:
+    """Whether the line `after` a line struct goes on with its sentence: it starts small, or its first word had no room."""
+    head = F.regexp_extract(after["text"], WORD, 0)
+    full = (longest <= WRAP) & (F.length(x["text"]) + 1 + F.length(head) > longest)
+    return F.coalesce((after["words"] > 0) & (head.rlike(r"^[\"'“‘(]*[\p{Ll}\p{Lo}]") | full), F.lit(False))
+
+
+def _fails(x: Column, goes_on: Column | None = None) -> Column:
     """Punctuation, navigation and boilerplate rules for a line struct; a line without a word passes."""
     text, n = x["text"], x["words"]
     symbols = F.regexp_count(text, F.lit(SYMBOLS)) * 2 > n
     shouting = F.regexp_count(text, F.lit("!")) > n
-    open_end = (n >= OPEN_LINE) & ~text.rlike(ENDING)
+    open_end = (n >= OPEN_LINE) & ~text.rlike(ENDING if goes_on is None else ANY_ENDING)
+    if goes_on is not None:
+        open_end = open_end & ~goes_on
     separators = F.regexp_count(text, F.lit(SEPARATORS))
     navigation = (separators >= 2) & (separators * 4 >= n)
     boilerplate = (n <= SHORT_LINE) & F.lower(text).rlike("|".join(BOILERPLATE))
@@ -75,16 +88,25 @@ def _repeated_words(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x))
 
 
-def judged(docs: DataFrame, text: str = "text") -> DataFrame:
+def judged(docs: DataFrame, text: str = "text", wrapped: bool = False) -> DataFrame:
     """Each row packed as `doc`, beside its figures, `base_failed`, `kept` and the text without failing lines.
 
     `clean_text` is null for a null text; where no line fails it is the text itself.
+    With `wrapped`, an open end counts only where the next line does not continue the sentence, and ANY_ENDING closes one.
     """
     df = packed(docs, body=F.coalesce(F.col(text), F.lit("")), absent=F.col(text).isNull())
     df = df.withColumn("found", words(F.col("body")))
     df = _repeated_words(df)
-    df = df.withColumn("lines", F.transform(F.split("body", "\n"), _line))
-    df = df.withColumn("fails", F.transform("lines", _fails))
+    lines = F.transform(F.split("body", "\n"), _line)
+    if wrapped:
+        df = computed(df, "doc", "body", "absent", "found", "n_repeat_words", lines=lines)
+        longest = F.array_max(F.transform("lines", lambda x: F.length(x["text"])))
+        df = computed(df, "doc", "body", "absent", "found", "n_repeat_words", "lines", longest=longest)
+        fails = F.transform("lines", lambda x, i: _fails(x, _continued(x, F.get(F.col("lines"), i + 1), F.col("longest"))))
+    else:
+        df = df.withColumn("lines", lines)
+        fails = F.transform("lines", lambda x: _fails(x))
+    df = df.withColumn("fails", fails)
     worded = F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["text"])
     df = df.withColumn("worded", worded)
     count = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -104,9 +126,9 @@ def judged(docs: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("base_failed", failed).withColumn("kept", ~failed & ~much)
 
 
-def cleaned(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+def cleaned(docs: DataFrame, text: str = "text", length: str = "n_chars", wrapped: bool = True) -> DataFrame:
     """The kept documents with their failing lines removed and their length counted anew; columns as given."""
-    df = judged(docs, text).filter("kept")
+    df = judged(docs, text, wrapped).filter("kept")
     changed = {text: F.col("clean_text")}
     if length in docs.columns:
         changed[length] = F.length("clean_text").cast(docs.schema[length].dataType)
