@@ -452,6 +452,16 @@ def test_scores(spark, odd, empty):
     assert bit_mixing.scores(empty, held).collect() == []
 
 
+def test_topics_are_learned_from_training_texts(spark, monkeypatch):
+    seen = []
+    follow = bit_mixing._following
+    monkeypatch.setattr(bit_mixing, "_following", lambda docs, text: seen.extend(docs.collect()) or follow(docs, text))
+    df = spark.createDataFrame(rows_of([(i, "a b c") for i in range(30)]), DOCS)
+    held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    assert len(bit_mixing.scores(df, held).collect()) == 30
+    assert {r.id for r in seen} == {i for i in range(30) if zlib.crc32(str(i).encode()) % 7 != 2}
+
+
 def test_scores_are_probabilities(spark):
     """Over all bytes that can follow, the probabilities of a decision path add up to one."""
     pairs = spark.createDataFrame([(bytearray(w.encode()), 1, 3, 3) for w in WORDS], "token binary, topic int, n long, c long")

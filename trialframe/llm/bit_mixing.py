@@ -8,7 +8,7 @@ contexts are); an adaptive map then corrects the mixed odds by what they came to
 all decisions is the probability of the text; the bits over the bytes are its bits per byte.
 
 The topic of a word is told by the short words before it: buckets of short words are clustered by how often
-they follow each other in the whole corpus (languages, mostly), and a topic changes when two of the last three
+they follow each other in the training texts (languages, mostly), and a topic changes when two of the last three
 short words agree. So a token's score depends on the token and its topic alone, and every distinct pair is
 scored once:
 
@@ -72,7 +72,7 @@ def bucket(word: bytes) -> int:
 
 
 def _following(docs: DataFrame, text: str) -> np.ndarray:
-    """How often a short word of one bucket is the next short word after one of another, in all documents."""
+    """How often a short word of one bucket is the next short word after one of another, in the documents given."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS * BUCKETS, np.int64)
@@ -527,7 +527,7 @@ def scores(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("id"),
         F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).alias("text"))
-    topics = _clusters(_following(rows, "text"))
+    topics = _clusters(_following(rows.filter("NOT held"), "text"))
     listed = written(rows.mapInArrow(lambda it: _listed(it, topics), _LISTED))
     entries = listed.filter("kind = 1").select("block", F.col("row").cast("int").alias("number"), "topic", "token", "n")
     # An entry is a sum already; a token has at most one for each block and topic.
