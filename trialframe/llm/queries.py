@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, quality_rules, simhash, source_mixing
+from . import bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, phrases, quality_rules, simhash, source_mixing, spelling
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -229,3 +229,91 @@ def op2_bit_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from six sevenths of them."""
     held = _crc() % 7 == 2
     return bit_mixing.scores(table(spark, sf_dir, "documents"), held).withColumnRenamed("id", "doc_id")
+
+
+SPELLING = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY b) AS t FROM (
+    SELECT b, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, b) AS v FROM range(256) r(b))),
+runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id,
+         unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w
+  FROM documents),
+counted AS (SELECT id, w, count(*) AS n FROM runs GROUP BY id, w),
+hexed AS (SELECT id, w, n, hex(encode(id || ':' || w)) AS x FROM counted),
+hashed AS (
+  SELECT w, n, xor(list_reduce(list_transform(range(1, len(x), 2), lambda k: ('0x' || substr(x, k, 2))::BIGINT),
+           lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) AS h
+  FROM hexed, crc),
+slipped AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, (h % length(w))::BIGINT) || substr(w, (h % length(w))::BIGINT + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM slipped WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cuts AS (
+  SELECT word, n, k, substr(word, 1, k - 1) || substr(word, k + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS k FROM words)),
+links AS (
+  SELECT a.word, b.word AS other, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.k = b.k AND a.word <> b.word
+  UNION SELECT c.word, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS other, max(n) AS most FROM links GROUP BY word),
+formed AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 5 * w.n THEN other END AS form,
+         CASE WHEN most >= 5 * w.n THEN most END AS form_n FROM words w LEFT JOIN best USING (word)),
+led(word, root) AS (
+  SELECT word, coalesce(form, word) FROM formed
+  UNION SELECT l.word, f.form FROM led l JOIN formed f ON l.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, l.root, f.n, f.n_near, f.form_n
+FROM formed f JOIN led l ON f.word = l.word JOIN formed e ON l.root = e.word AND e.form IS NULL"""
+
+
+@query("op11_spelling_variants", SPELLING)
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every frequent word with its more frequent spelling, if there is one, and the root of its spellings."""
+    return spelling.grouped(table(spark, sf_dir, "documents"))
+
+
+PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+         regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS p FROM documents),
+piece AS (SELECT lang, doc, generate_subscripts(p, 1) AS j, unnest(p) AS p FROM pieces),
+tokens AS (
+  SELECT lang, doc, j, generate_subscripts(w, 1) AS i, unnest(w) AS w FROM (
+    SELECT lang, doc, j, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM piece)),
+ahead AS (
+  SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+  FROM tokens WINDOW o AS (PARTITION BY doc, j ORDER BY i)),
+grams AS (
+  SELECT lang, 1 AS m, w1 AS phrase FROM ahead
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ahead WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ahead WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead WHERE w4 IS NOT NULL
+  UNION ALL SELECT lang, 5, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 || ' ' || w5 FROM ahead WHERE w5 IS NOT NULL),
+f AS (SELECT lang, m, phrase, count(*) AS n FROM grams GROUP BY lang, m, phrase HAVING count(*) >= 100),
+totals AS (SELECT lang, count(*) AS n FROM ahead GROUP BY lang),
+candidates AS (SELECT lang, m, phrase, string_split(phrase, ' ') AS w, n AS a FROM f WHERE m > 1),
+spans AS (
+  SELECT lang, m, w, a, unnest(range(2, m)) AS size FROM candidates WHERE m > 2),
+held AS (
+  SELECT lang, array_to_string(w[b : b + size - 1], ' ') AS phrase, max(a) AS most
+  FROM (SELECT *, unnest(range(1, m - size + 2)) AS b FROM spans) GROUP BY ALL),
+kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN held h ON c.lang = h.lang AND c.phrase = h.phrase WHERE coalesce(100 * most < 100 * a, true)),
+cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS x, array_to_string(w[k + 1 : m], ' ') AS y
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, u.n AS l, v.n AS r, t.n,
+         ((1000 * c.a::HUGEINT * t.n::HUGEINT) // (u.n::HUGEINT * v.n::HUGEINT))::BIGINT AS score
+  FROM cuts c JOIN f u ON u.lang = c.lang AND u.phrase = c.x JOIN f v ON v.lang = c.lang AND v.phrase = c.y
+  JOIN totals t ON t.lang = c.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest)
+SELECT lang, rank, phrase, a, l, r, n, score FROM placed WHERE rank <= 2000"""
+
+
+@query("op13_phrase_collocations", PHRASES)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 phrases of each language by the score of their weakest cut."""
+    return phrases.collocations(table(spark, sf_dir, "documents"))
