@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, phrases, quality_rules, simhash, source_mixing, spelling
+from . import bit_mixing, byte_bpe, chat_format, hnsw, html_text, language_id, line_dedup, phrases, quality_rules, simhash, source_mixing, spelling, token_files
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+TOKENIZER = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -317,3 +318,12 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM placed WHERE rank <= 2000"""
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 2,000 phrases of each language by the score of their weakest cut."""
     return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op12_token_files")
+def op12_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place and ids, read back by its key from the binary files that all documents were written to."""
+    docs = table(spark, sf_dir, "documents")
+    folder = token_files.target(spark)
+    token_files.write(docs, folder, public_tokenizers.path(TOKENIZER))
+    return token_files.digests(docs, folder).withColumnRenamed("key", "doc_id")
