@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES
 from . import evaluation as E
+from . import models as M
 from . import stats
+from .lineage import written
 from .skew import attach, draw, hash_bucket, with_position
 
 
@@ -106,23 +108,105 @@ def permute_labels_in_session(trials: DataFrame, n: int, seed: int) -> DataFrame
     return out.select("rep", "session", F.col("pred").alias("trial"), "label")
 
 
-def selection_null(unit_trials: DataFrame, units: DataFrame, trials: DataFrame, n: int, seed: int, alpha: float) -> DataFrame:
-    """Units with rank-test p below alpha per replicate of within-session label permutation."""
-    fake = permute_labels_in_session(trials, n, seed)
-    relabelled = unit_trials.drop("label").join(fake, ["session", "trial"])
-    k = [F.count_if(F.col("label") == c).alias(f"c_{i}") for i, c in enumerate(CLASSES)]
-    key = ["rep", "session", "region", "unit"]
-    seen = relabelled.where(F.col("ctx") > 0).groupBy(*key, F.col("ctx").alias("v")).agg(*k)
-    sizes = fake.groupBy("rep", "session").agg(*[F.count_if(F.col("label") == c).alias(f"n_{i}") for i, c in enumerate(CLASSES)])
-    base = attach(units.select("session", "region", "unit"), sizes.groupBy("session").agg(F.collect_list(F.struct("rep", "n_0", "n_1", "n_2")).alias("_r")), ["session"], ["unit"], how="inner")
-    base = base.select("session", "region", "unit", F.inline("_r"))
-    active = seen.groupBy(*key).agg(*[F.sum(f"c_{i}").alias(f"x_{i}") for i in stats.K])
-    zeros = base.join(active, key, "left").select(
+def selection_null(
+    unit_trials: DataFrame, units: DataFrame, trials: DataFrame, n: int, seed: int, *,
+    duration: float, min_rate: float, min_active: float, fdr_q: float, top_k: int,
+) -> DataFrame:
+    """The units that a selection by choice selectivity keeps when the labels are permuted inside sessions.
+
+    The replicate is a key of the whole chain: rank test, q-values per replicate and session, activity floor, and the
+    first `top_k` units by q (ties to the lower unit) of each replicate, session and region. Rates and active trials
+    do not depend on the labels, so the floor is taken before the trials are copied; a trial joins its copies by a
+    key that is dealt by unit as well. Gives rep, session, region, unit, p, q and rank.
+    """
+    ids = ["session", "region", "unit"]
+    key = ["rep", *ids]
+    labelled = trials.where(F.col("label").isNotNull())
+    sizes = labelled.groupBy("session").agg(F.count("*").alias("n_trials"))
+    active = unit_trials.where("label IS NOT NULL AND ctx > 0").groupBy(*ids).agg(F.sum("ctx").alias("total"), F.count("*").alias("fired"))
+    floor = attach(active, sizes, ["session"], ["unit"], how="inner").where(
+        (F.col("total") / F.col("n_trials") / duration >= min_rate) & (F.col("fired") / F.col("n_trials") >= min_active)
+    ).select(*ids, "fired")
+    fake = written(permute_labels_in_session(trials, n, seed))
+    k = [F.count_if(F.col("label") == c) for c in CLASSES]
+    copies = fake.groupBy("session", "trial").agg(F.collect_list(F.struct("rep", "label")).alias("copies"))
+    seen = attach(unit_trials.where("ctx > 0").drop("label"), copies, ["session", "trial"], ["unit"], how="inner")
+    seen = seen.select(*ids, F.col("ctx").alias("v"), F.inline("copies"))
+    seen = written(seen.groupBy(*key, "v").agg(*[c.alias(f"c_{i}") for i, c in enumerate(k)]))
+    classes = fake.groupBy("rep", "session").agg(*[c.alias(f"n_{i}") for i, c in enumerate(k)])
+    classes = classes.groupBy("session").agg(F.collect_list(F.struct("rep", *[f"n_{i}" for i in stats.K])).alias("sizes"))
+    base = attach(units.select(*ids), classes, ["session"], ["unit"], how="inner").select(*ids, F.inline("sizes"))
+    fired = seen.groupBy(*key).agg(*[F.sum(f"c_{i}").alias(f"x_{i}") for i in stats.K])
+    zeros = base.join(fired, key, "left").select(
         *key, F.lit(0).cast("long").alias("v"),
         *[(F.col(f"n_{i}") - F.coalesce(F.col(f"x_{i}"), F.lit(0))).alias(f"c_{i}") for i in stats.K],
     )
-    tests = stats.kruskal(seen.unionByName(zeros), key)
-    return tests.groupBy("rep").agg(F.count_if(F.col("p") < alpha).alias("n_below"), F.count("*").alias("n_units"))
+    tests = stats.kruskal(seen.unionByName(zeros), key).select(*key, "p")
+    q = stats.bh_fdr(tests, ["rep", "session"])
+    kept = q.where(F.col("q") < fdr_q).join(floor.select(*ids), ids, "left_semi")
+    first = Window.partitionBy("rep", "session", "region").orderBy(F.round("q", 9), "unit")
+    return kept.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top_k).select(*key, "p", "q", "rank")
+
+
+def pooled_rates(binned: DataFrame, units: DataFrame, n_ctx: int) -> DataFrame:
+    """Mean context count per bin and unit of each region and labelled trial: features that all datasets share.
+
+    Gives session, trial, region and x; a region without spikes in a trial has no row."""
+    size = units.groupBy("session", "region").agg(F.count("*").alias("n_units"))
+    rows = binned.where((F.col("win") == "ctx") & F.col("label").isNotNull()).groupBy("session", "trial", "region").agg(F.sum("n").alias("n"))
+    return attach(rows, size, ["session", "region"], ["trial"], how="inner").select(
+        "session", "trial", "region", (F.col("n") / (F.col("n_units") * n_ctx)).alias("x"))
+
+
+def fitted_transfer(pooled: DataFrame, trials: DataFrame, dataset: str = "dataset", **options) -> tuple[DataFrame, DataFrame, M.LinearModel]:
+    """Fit each dataset's trials on their pooled rates, all directions as one fit.
+
+    The dataset trained on takes the place of the session, a region that of the unit, and (session, trial) that of the
+    trial. Gives the features, the trials with `split` (train or test), both keyed that way, and the model.
+    """
+    both = written(dataset_transfer(trials.where(F.col("label").isNotNull()), dataset))
+    key = F.struct("session", "trial").alias("trial")
+    keyed = both.select(F.col("train_on").alias("session"), key, "label", "split")
+    x = pooled.join(both.select("session", "trial", "train_on"), ["session", "trial"])
+    x = written(x.select(F.col("train_on").alias("session"), "region", F.lit(0).cast("long").alias("unit"), key, "x"))
+    return x, keyed, M.fit_linear(x, keyed.where("split = 'train'").drop("split"), **options)
+
+
+def occluded_forecast(
+    binned: DataFrame, sets: DataFrame, trials: DataFrame, train, *, n_ctx: int, late_bins: int, n_tgt: int, weight: float = 1.0,
+) -> DataFrame:
+    """Poisson log loss of a region's target counts, forecast with only the units of one set in sight.
+
+    `sets` is (set, session, region, unit). The forecast of a bin is the region's mean count in that bin over the
+    training trials (`train`), times a gain: the late context count of the set's units in this trial over its
+    training mean, both raised by `weight` so that a silent set gives the mean. Other units are occluded. Per set and region
+    the mean over all held-back trials and bins, silent ones included: the sum over bins of mu needs no cells.
+    """
+    ids = ["session", "region"]
+    tr = trials.where(F.col("label").isNotNull()).select("session", "trial", F.expr(train).alias("training"))
+    n_train = tr.groupBy("session").agg(F.count_if("training").alias("n_train"))
+    cells = binned.where(F.col("label").isNotNull()).join(tr, ["session", "trial"])
+    target = written(cells.where("win = 'tgt'").groupBy(*ids, "trial", "training", "bin").agg(F.sum("n").alias("y")))
+    base = attach(target.where("training").groupBy(*ids, "bin").agg(F.sum("y").alias("s")), n_train, ["session"], ["bin"], how="inner")
+    base = written(base.select(*ids, "bin", (F.col("s") / F.col("n_train")).alias("mu")))
+    late = cells.where((F.col("win") == "ctx") & (F.col("bin") >= n_ctx - late_bins))
+    late = late.join(sets, [*ids, "unit"]).groupBy("set", *ids, "trial").agg(F.sum("n").alias("late"))
+    grid = attach(tr, sets.groupBy("session").agg(F.collect_set(F.struct("set", "region")).alias("pairs")), ["session"], ["trial"], how="inner")
+    grid = grid.select("session", "trial", "training", F.inline("pairs")).join(late, ["set", *ids, "trial"], "left")
+    grid = written(grid.withColumn("late", F.coalesce("late", F.lit(0))))
+    means = grid.where("training").groupBy("set", *ids).agg(F.avg("late").alias("mean"))
+    gains = attach(grid.where("NOT training"), means, ["set", *ids], ["trial"], how="inner").select(
+        "set", *ids, "trial", ((F.col("late") + weight) / (F.col("mean") + weight)).alias("gain"))
+    gains = written(gains)
+    rate = base.groupBy(*ids).agg(F.sum("mu").alias("total"))
+    expected = attach(gains, rate, ids, ["trial"]).groupBy("set", "region").agg(
+        F.count("*").alias("n_trials"), F.sum(F.col("gain") * F.coalesce("total", F.lit(0.0))).alias("expected"))
+    seen = target.where("NOT training").join(base, [*ids, "bin"], "left").join(gains, [*ids, "trial"])
+    hits = seen.groupBy("set", "region").agg(
+        F.sum("y").alias("spikes"), F.sum(F.col("y") * F.ln(F.greatest(F.coalesce("mu", F.lit(0.0)) * F.col("gain"), F.lit(1e-3)))).alias("log"))
+    done = expected.join(hits, ["set", "region"], "left")
+    nll = (F.col("expected") - F.coalesce("log", F.lit(0.0))) / (F.col("n_trials") * n_tgt)
+    return done.select("set", "region", "n_trials", F.coalesce("spikes", F.lit(0)).alias("spikes"), nll.alias("nll"))
 
 
 def time_shuffle(cells: DataFrame, n_bins: int, seed: int) -> DataFrame:
@@ -134,7 +218,7 @@ def time_shuffle(cells: DataFrame, n_bins: int, seed: int) -> DataFrame:
     order = F.array_sort(
         F.transform(
             F.sequence(F.lit(0), F.lit(n_bins - 1)),
-            lambda b: F.struct(F.xxhash64(F.lit(seed), *ids, b).alias("h"), b.alias("b")),
+            lambda b: F.struct(draw(seed, *ids, b).alias("h"), b.alias("b")),
         )
     )
     moved = F.transform(order, lambda s: s["b"])

@@ -26,4 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     """Write a table as Parquet and read it back: later steps prune columns and push filters."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    settled = df.sparkSession.read.schema(df.schema).parquet(path)
+    settled.settled_at = path
+    return settled
+
+
+def forgotten(*tables: DataFrame) -> None:
+    """Delete tables that `written` has made and nothing reads any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, UNIT
-from .lineage import written
+from .lineage import forgotten, written
 from .skew import attach
 from .stats import add
 
@@ -140,6 +140,7 @@ def fit_linear(
     beta = scale.withColumns(state)
     # intercepts are one more row per session with x = 1, m = 0, s = 1 and no penalty
     icept = first.select("session").withColumns(state)
+    old: list[DataFrame] = []
     for _ in range(MAX_STEPS):
         grads, per_session = _gradients(rows, trials, _raw(beta, icept), loss)
         beta = attach(beta.join(grads, U, "left"), per_session, ["session"], ["unit"])
@@ -148,6 +149,8 @@ def fit_linear(
         icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"sum_r_{k}") for k in C})
         icept = written(icept.drop(*[f"sum_r_{k}" for k in C]))
         alpha = written(_step_sizes(beta, icept, first))
+        forgotten(*old)
+        old = [beta, icept, alpha]
         if alpha.where("alpha > 0").isEmpty():
             break
         beta = _advance(attach(beta, alpha, ["session"], ["unit"]))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, REGIONS, QcRules
-from .skew import draw, hash_bucket, id_bucket, with_position
+from .skew import attach, draw, hash_bucket, id_bucket, with_position
 
 
 def class_count_columns(label: str = "label") -> list[Column]:
@@ -130,3 +130,17 @@ def top_rows(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
 def top_rows_by(df: DataFrame, keys: list[str], n: int, order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+
+
+def guarded_trials(trials: DataFrame, minimum: int, per_session: int = 1) -> DataFrame:
+    """Trials of the sessions that have `per_session` or more of them; the job fails where fewer than `minimum` are left.
+
+    The guard is a part of the plan: a branch over the counts alone, which gives no row and raises an error instead.
+    """
+    counts = trials.groupBy("session").agg(F.count("*").alias("_n")).where(F.col("_n") >= per_session)
+    kept = attach(trials, counts, ["session"], ["trial"], how="inner").drop("_n").select(*trials.columns)
+    left = F.coalesce(F.sum("_n"), F.lit(0))
+    error = F.concat(F.lit("too few trials: "), left.cast("string"), F.lit(f" of at least {minimum}"))
+    guard = counts.agg(F.when(left < minimum, F.raise_error(error).cast("boolean")).otherwise(F.lit(False)).alias("_row")).where("_row")
+    empty = guard.select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in trials.schema.fields])
+    return kept.unionByName(empty)

@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 from ..functions import signal as S
 from ..operators import analyses as A
 from ..operators import evaluation as E
+from ..operators import models as M
 from ..operators import raster as R
+from ..operators import selection as sel
+from ..operators import summary as SM
 from ..operators.lineage import cut
 from . import binding as B
 from .queries_eval import PRED, WEIGHTS, labelled, metrics_sql, permuted_sql, predictions, weights
 from .queries_raster import U, UK, base, counts, unit_trials
 from .queries_selection import COMPOSITE, composite
 from .queries_signal import X, traces
-from .registry import BASE, draw_sql, query, r
+from .queries_stats import P_SQL
+from .registry import BASE, draw_sql, kruskal_sql, query, r
 
 
 @query("laterality_by_weight", BASE + f"""
@@ -91,15 +95,142 @@ def session_bootstrap(spark, sf):
     return A.session_bootstrap(predictions(spark, sf), 200, seed=0)
 
 
-@query("selection_null")
+SELECTION_NULL = BASE + f"""
+, lab_s AS (SELECT session, trial, label, count(*) OVER (PARTITION BY session) AS nt FROM lab),
+pa AS (SELECT session, trial, row_number() OVER (PARTITION BY session ORDER BY {draw_sql(2, 'session', 'trial')}, session, trial) AS pos FROM lab),
+pb AS (
+  SELECT rep, session, label, row_number() OVER (PARTITION BY session, rep ORDER BY {draw_sql(2, 'rep', 'session', 'trial')}, session, trial) AS pos
+  FROM lab CROSS JOIN (SELECT unnest(range(10)) AS rep)),
+fake AS (SELECT rep, session, trial, label FROM pa JOIN pb USING (session, pos)),
+rows_v AS (
+  SELECT f.rep, ut.session, ut.region, ut.unit, f.label, ut.ctx AS v FROM ut JOIN fake f ON f.session = ut.session AND f.trial = ut.trial)
+""" + kruskal_sql("rows_v", "rep, session, region, unit") + f"""
+, pp AS (SELECT rep, session, region, unit, {P_SQL} AS p FROM kw),
+ro AS (
+  SELECT *, row_number() OVER (PARTITION BY rep, session ORDER BY p) AS rn, count(*) OVER (PARTITION BY rep, session) AS m
+  FROM pp WHERE p IS NOT NULL),
+qs AS (
+  SELECT *, least(1, min(p * m / rn) OVER (PARTITION BY rep, session ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM ro),
+floors AS (
+  SELECT session, region, unit FROM ut GROUP BY ALL
+  HAVING sum(ctx) / count(*) / 43200.0 >= 1e-5 AND count(*) FILTER (ctx > 0) / count(*) >= 0.2),
+placed AS (
+  SELECT qs.*, row_number() OVER (PARTITION BY rep, session, region ORDER BY round(q, 9), unit) AS rank
+  FROM qs SEMI JOIN floors USING (session, region, unit) WHERE q < 0.9)
+SELECT rep, session, region, unit, {r('p', 'p')}, {r('q', 'q')}, rank FROM placed WHERE rank <= 4"""
+
+
+@query("selection_null", SELECTION_NULL)
 def selection_null(spark, sf):
-    """Units below nominal significance under within-session label permutation."""
+    """Units that the selection keeps under ten within-session label permutations."""
     binned, tr, un = counts(spark, sf)
     ut = cut(R.unit_trial_counts(binned, B.N_CTX, B.LATE))
-    return A.selection_null(ut, un, tr, 10, seed=2, alpha=0.05)
+    return A.selection_null(
+        ut, un, tr, 10, seed=2, duration=B.GO, min_rate=1e-5, min_active=0.2, fdr_q=0.9, top_k=4)
 
 
-@query("time_shuffle_null")
+TRANSFER = BASE + """
+, d AS (SELECT session, trial, label, CASE WHEN session % 2 = 0 THEN 'A' ELSE 'B' END AS dataset FROM lab)
+"""
+
+
+def transfer(spark, sf):
+    binned, tr, un = counts(spark, sf)
+    tr = labelled(spark, sf).withColumn("dataset", F.when(F.col("session") % 2 == 0, "A").otherwise("B"))
+    return A.fitted_transfer(A.pooled_rates(binned, un, B.N_CTX), tr)
+
+
+@query("pooled_rates", BASE + f"""
+, n AS (SELECT session, region, count(*) AS k FROM units GROUP BY session, region)
+SELECT ut.session, ut.trial, ut.region, {r('sum(ctx) / (any_value(k) * 24.0)', 'x')}
+FROM ut JOIN n ON n.session = ut.session AND n.region = ut.region GROUP BY ut.session, ut.trial, ut.region HAVING sum(ctx) > 0""")
+def pooled_rates(spark, sf):
+    """Features that two datasets without common units share."""
+    binned, _, un = counts(spark, sf)
+    return A.pooled_rates(binned, un, B.N_CTX)
+
+
+@query("transfer_optimality", TRANSFER + "SELECT dataset AS train_on, TRUE AS optimal FROM d GROUP BY dataset")
+def transfer_optimality(spark, sf):
+    """Whether the gradient of each direction's model, computed anew, is within the tolerance."""
+    features, keyed, model = transfer(spark, sf)
+    gap = M.optimality(features, keyed.where("split = 'train'").drop("split"), model)
+    return gap.select(F.col("session").alias("train_on"), (F.col("gap") <= M.TOLERANCE * 1.001).alias("optimal"))
+
+
+@query("fitted_transfer")
+def fitted_transfer(spark, sf):
+    """Class metrics of models fitted on one dataset, on their own trials and on those of the other dataset."""
+    features, keyed, model = transfer(spark, sf)
+    done = M.predict(features, keyed.select("session", "trial", "label"), model)
+    done = done.join(keyed.select("session", "trial", "split"), ["session", "trial"])
+    return E.metrics(done.withColumnRenamed("session", "train_on"), ["train_on", "split"])
+
+
+@query("selected_vs_random_nll", BASE + f"""
+, best AS (
+  SELECT session, region, unit, row_number() OVER (PARTITION BY session, region ORDER BY t DESC, unit) AS p
+  FROM (SELECT session, region, unit, sum(ctx) AS t FROM ut GROUP BY ALL)),
+drawn AS (
+  SELECT session, region, unit, row_number() OVER (PARTITION BY session, region ORDER BY {draw_sql(9, 'session', 'region', 'unit')}, unit) AS p FROM units),
+picked AS (
+  SELECT 'selected' AS set, session, region, unit FROM best WHERE p <= 5
+  UNION ALL SELECT 'random', d.session, d.region, d.unit FROM drawn d
+  JOIN (SELECT session, region, count(*) AS k FROM best WHERE p <= 5 GROUP BY session, region) n ON n.session = d.session AND n.region = d.region WHERE d.p <= n.k),
+late_s AS (
+  SELECT s.set, ut.session, ut.region, ut.trial, sum(ut.late) AS late FROM ut JOIN picked s ON s.session = ut.session AND s.unit = ut.unit GROUP BY ALL),
+gains AS (
+  SELECT l.set, l.session, l.region, l.trial, (l.late + 1.0) / (m.mean + 1.0) AS gain FROM late_s l
+  JOIN (SELECT set, session, region, avg(late) AS mean FROM late_s WHERE trial % 4 <> 0 GROUP BY ALL) m
+  ON m.set = l.set AND m.session = l.session AND m.region = l.region WHERE l.trial % 4 = 0),
+y AS (
+  SELECT ut.session, ut.region, ut.trial, g.bin, coalesce(sum(c.n), 0) AS y
+  FROM (SELECT DISTINCT session, region, trial FROM ut) ut CROSS JOIN (SELECT unnest(range(12)) AS bin) g
+  LEFT JOIN cells c ON c.session = ut.session AND c.region = ut.region AND c.trial = ut.trial AND c.bin = g.bin AND c.win = 'tgt' GROUP BY ALL),
+base AS (SELECT session, region, bin, avg(y) AS mu FROM y WHERE trial % 4 <> 0 GROUP BY ALL)
+SELECT g.set, g.region, count(*) // 12 AS n_trials, CAST(sum(y.y) AS BIGINT) AS spikes,
+       {r('avg(b.mu * g.gain - y.y * ln(greatest(b.mu * g.gain, 1e-3)))', 'nll')}
+FROM gains g JOIN y ON y.session = g.session AND y.region = g.region AND y.trial = g.trial
+JOIN base b ON b.session = y.session AND b.region = y.region AND b.bin = y.bin GROUP BY g.set, g.region""")
+def selected_vs_random_nll(spark, sf):
+    """Forecast loss with only the most active units of each region in sight, and with as many random ones."""
+    binned, tr, un = counts(spark, sf)
+    binned = cut(binned)
+    totals = R.unit_trial_counts(binned, B.N_CTX, B.LATE).where("label IS NOT NULL").groupBy(*U).agg(F.sum("ctx").alias("t"))
+    totals = un.join(totals, U, "left").fillna(0, ["t"])
+    chosen = cut(sel.top_k(totals, 5, ["session", "region"], [F.col("t").desc(), F.col("unit")]).select(*U))
+    random = A.size_matched_random(un, chosen, seed=9).select(*U)
+    sets = cut(chosen.withColumn("set", F.lit("selected")).unionByName(random.withColumn("set", F.lit("random"))))
+    return A.occluded_forecast(binned, sets, tr, "trial % 4 <> 0", n_ctx=B.N_CTX, late_bins=B.LATE, n_tgt=B.N_TGT)
+
+
+MOVED = f"""
+, orders AS (
+  SELECT session, region, unit, trial, b, row_number() OVER (
+    PARTITION BY session, region, unit, trial ORDER BY {draw_sql(4, 'session', 'region', 'unit', 'trial', 'b')}, b) - 1 AS place
+  FROM (SELECT DISTINCT session, region, unit, trial FROM cells WHERE win = 'tgt' AND label IS NOT NULL) CROSS JOIN (SELECT unnest(range(12)) AS b)),
+moved AS (
+  SELECT c.session, c.region, c.unit, c.trial, o.place AS bin, c.n FROM cells c
+  JOIN orders o ON o.session = c.session AND o.unit = c.unit AND o.trial = c.trial AND o.b = c.bin WHERE c.win = 'tgt' AND c.label IS NOT NULL)
+"""
+
+
+@query("time_shuffle", BASE + MOVED + f"SELECT {UK}, trial, bin, CAST(n AS BIGINT) AS n FROM moved")
+def time_shuffle(spark, sf):
+    """Every target count in its drawn bin."""
+    cells = counts(spark, sf)[0].where("win = 'tgt' AND label IS NOT NULL")
+    return A.time_shuffle(cells, B.N_TGT, seed=4).select(*U, "trial", "bin", "n")
+
+
+@query("time_shuffle_null", BASE + MOVED + f"""
+, nul AS (
+  SELECT c.session, c.unit, c.bin, sum(c.n) / any_value(s.n_trials) AS mu FROM cells c JOIN sizes s ON s.session = c.session
+  WHERE c.win = 'tgt' AND c.label IS NOT NULL GROUP BY c.session, c.unit, c.bin),
+two AS (
+  SELECT 'observed' AS kind, session, region, unit, bin, n FROM cells WHERE win = 'tgt' AND label IS NOT NULL
+  UNION ALL SELECT 'shuffled', session, region, unit, bin, n FROM moved)
+SELECT kind, region, CAST(sum(n) AS BIGINT) AS spikes, {r('sum(-n * ln(coalesce(mu, 0) + 1e-8))', 'neg_log_lik')}
+FROM two LEFT JOIN nul ON nul.session = two.session AND nul.unit = two.unit AND nul.bin = two.bin GROUP BY kind, region""")
 def time_shuffle_null(spark, sf):
     """Log-likelihood of the target under its own mean trace, before and after moving bins."""
     binned, tr, un = counts(spark, sf)
@@ -115,6 +246,13 @@ def time_shuffle_null(spark, sf):
     )
 
 
+@query("min_trials_guard", BASE + """
+SELECT l.session, l.trial, l.label FROM lab l SEMI JOIN (SELECT session FROM lab GROUP BY session HAVING count(*) >= 2) USING (session)""")
+def min_trials_guard(spark, sf):
+    """Labelled trials of sessions that have enough of them; the job fails if fewer than four are left."""
+    return SM.guarded_trials(labelled(spark, sf), minimum=4, per_session=2)
+
+
 @query("time_shuffle_totals", BASE + f"""
 SELECT {UK}, trial, CAST(sum(n) AS BIGINT) AS n, count(*) AS bins FROM cells WHERE win = 'tgt' AND label IS NOT NULL GROUP BY ALL""")
 def time_shuffle_totals(spark, sf):
