@@ -22,7 +22,8 @@ def con():
 
 @pytest.mark.parametrize(
     "name",
-    ["bin_a", "kruskal", "spearman_coupling", "bh_fdr", "dprime", "qc_trial_chain", "topk_region", "cwt_band", "deviance_explained", "metrics"],
+    ["bin_a", "kruskal", "spearman_coupling", "bh_fdr", "dprime", "qc_trial_chain", "topk_region", "cwt_band", "deviance_explained", "metrics",
+     "selection_null", "selected_vs_random_nll", "time_shuffle", "min_trials_guard", "transfer_optimality"],
 )
 def test_matches_sql(spark, con, name):
     df = entry_point.queries()[name](spark, SF)

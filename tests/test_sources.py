@@ -148,3 +148,63 @@ def test_units_are_numbered_without_a_shuffle(spark, tmp_path):
 def test_report_limit_is_enforced(spark):
     with pytest.raises(Exception, match="3 rows at most"):
         sinks.payload(spark.createDataFrame([(5,)], "n long"), spark.range(4), most=3).collect()
+
+
+def put(path, text="x"):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+def test_discovery_with_all_fallbacks(spark, tmp_path):
+    """Rasters before the session folder, class folders before any depth, checks, relabelling and both-side trials."""
+    d, e = tmp_path / "Data", tmp_path / "Data2"
+    for x in ("Session1/Rasters/Left/trial_1.npz", "Session1/Left/trial_9.npz", "Session1/Rasters/x/Right/trial_8.npz",
+              "session2/Right/trial_2.npz", "session3/deep/ignore/more/trial_3.npz", "other/Left/trial_4.npz"):
+        put(d / x)
+    a, b = e / "sub-7" / "sub-7_ses-1_behavior+x" / "NPZ", e / "sub-8" / "ses-2" / "NPZ"
+    for x in ("Left/trial1.npz", "Left/trial2.npz", "Left/trial3.npz", "Left/trial4.npz", "Left/trial5.npz", "Left/trial6.npz"):
+        put(a / x)
+    put(b / "in" / "right" / "trial1.npz")
+    put(e / "sub-9" / "plain" / "NPZ" / "Left" / "trial1.npz")
+    s = "sub-7_ses-1_behavior+x"
+    put(e / "combined_audited_master_log.csv", "session_dir,trial,outcome,excluded,left_lick_times,right_lick_times,early_lick\n"
+        f'{s},1,hit,False,1.2,,no early\n{s},2,hit,False,,"1.3, 1.4",no early\n{s},3,ignore,False,,,no early\n'
+        f"{s},4,hit,True,1.2,,no early\n{s},5,hit,False,1.2,1.3,no early\n")
+    got = catalog.discover_trials(spark, [str(tmp_path / "none"), str(d)], [str(e)])
+    rows = {(r["dataset"], r["session"], r["subject"], r["trial"], r["label"], r["label_source"]) for r in got.collect()}
+    assert rows == {
+        ("Data", "Session1", "Session1", 1, "Left", "folder"), ("Data", "session2", "session2", 2, "Right", "folder"),
+        ("Data", "session3", "session3", 3, "Ignore", "folder"),
+        ("Data2", s, "sub-7", 1, "Left", "csv+folder"), ("Data2", s, "sub-7", 2, "Right", "csv+folder"),
+        ("Data2", s, "sub-7", 3, "Ignore", "csv+folder"), ("Data2", s, "sub-7", 6, "Left", "folder"), ("Data2", "ses-2", "sub-8", 1, "Right", "folder"),
+    }
+    bare = tmp_path / "bare"
+    put(bare / "Left" / "trial_1.npz")
+    put(tmp_path / "odd" / "m1" / "NPZ" / "Left" / "trial_2.npz")
+    got = catalog.discover_trials(spark, [str(bare)], [str(tmp_path / "odd")]).collect()
+    assert {(r["dataset"], r["session"], r["trial"], r["label"]) for r in got} == {("Data", "bare", 1, "Left"), ("Data2", "m1", 2, "Left")}
+    assert catalog.discover_trials(spark, [str(tmp_path / "none")], []).collect() == []
+
+
+def test_one_scan_of_all_logs(spark, tmp_path):
+    """A session's audited log beats its raw one, that the combined log; the plan does not grow with the files."""
+    put(tmp_path / "s1" / "behavioral_master_log.csv", "trial,outcome\n1,raw\n")
+    put(tmp_path / "s1" / "behavioral_master_log_audited.csv", "outcome,trial,note\naudited,1,\"a, b\"\n")
+    put(tmp_path / "s2" / "behavioral_master_log.csv", "trial,outcome\n1,raw\n2,\n")
+    put(tmp_path / "combined_audited_master_log.csv", "session_dir,trial,outcome\ns1,1,combined\ns2,1,combined\ns3,1,combined\n")
+    got = catalog.best_logs(spark, str(tmp_path))
+    rows = sorted((r["session_dir"], r["trial"], r["outcome"], r["note"]) for r in got.collect() if r["outcome"])
+    assert rows == [("s1", 1, "audited", "a, b"), ("s2", 1, "raw", None), ("s3", 1, "combined", None)]
+    paths = [str(tmp_path / "s1" / "behavioral_master_log.csv"), str(tmp_path / "s2" / "behavioral_master_log.csv")]
+    plans = [catalog.read_log(spark, x)._jdf.queryExecution().executedPlan().toString() for x in (paths[:1], paths)]
+    assert [p.count("Scan") for p in plans] == [1, 1]
+
+
+def test_too_few_trials_fail_the_job(spark):
+    from trialframe.operators.summary import guarded_trials
+
+    rows = spark.createDataFrame([(1, 1, "Left"), (1, 2, "Right"), (1, 3, None), (2, 1, "Left")], "session long, trial long, label string")
+    assert {(r["session"], r["trial"]) for r in guarded_trials(rows, 3, 2).collect()} == {(1, 1), (1, 2), (1, 3)}
+    for few, least in ((rows, 4), (rows.where("session = 9"), 1)):
+        with pytest.raises(Exception, match="too few trials"):
+            guarded_trials(few, least, 2).collect()
