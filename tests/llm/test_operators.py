@@ -197,7 +197,7 @@ def test_simhash_odd(odd, empty):
     assert simhash.classes(empty).collect() == [] and simhash.deduplicated(empty).collect() == []
 
 
-def test_near_copies_are_exact(spark, odd, empty):
+def test_near_copies_are_exact(spark, odd, empty, monkeypatch):
     rng = random.Random(12)
     texts = []
     for _ in range(25):
@@ -217,6 +217,10 @@ def test_near_copies_are_exact(spark, odd, empty):
                 root = {k: a if r == b else r for k, r in root.items()}
     df = spark.createDataFrame(rows_of(list(texts.items())), DOCS)
     assert {r.id: r.component for r in near_copies.classes(df).collect()} == root
+    monkeypatch.setattr(near_copies, "PART", 3)
+    for rounds in (0, 1):  # all or most links by the comparison inside tasks
+        monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+        assert {r.id: r.component for r in near_copies.classes(df).collect()} == root
     stage = dict(corpus_pipeline.STAGES)["near duplicates"]
     assert {r.doc_id for r in stage(spark, df, "").collect()} == set(root.values())
     assert {r.doc_id for r in simhash.deduplicated(df).collect()} != set(root.values())
