@@ -108,29 +108,44 @@ def test_quality_wrapped_prose(spark):
 
 
 def deleted(texts, least):
-    """Lines in a run of worded lines with `least` words or more whose equal stands earlier."""
-    docs = {i: [(k, x, len(words(x))) for k, x in enumerate(t.split("\n")) if words(x)] for i, t in texts.items()}
+    """Texts without the pieces in a run of worded pieces with `least` words or more whose equal stands earlier."""
+    cut = {i: re.findall(line_dedup.PIECE, t) for i, t in texts.items()}
+    assert all("".join(cut[i]) == t for i, t in texts.items())
+    docs = {i: [(k, x.strip(line_dedup.BLANKS), len(words(x))) for k, x in enumerate(c) if words(x)] for i, c in cut.items()}
     seen, out = {}, {}
     for i in sorted(docs):
         for a in range(len(docs[i])):
+            total = 0
             for b in range(a, len(docs[i])):
-                run = docs[i][a : b + 1]
-                if sum(x[2] for x in run) >= least:
-                    key = tuple(x[1] for x in run)
+                total += docs[i][b][2]
+                if total >= least:
+                    key = tuple(x[1] for x in docs[i][a : b + 1])
                     if seen.setdefault(key, (i, a)) != (i, a):
-                        out.setdefault(i, set()).update(range(run[0][0], run[-1][0] + 1))
-    return {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in out.get(i, ())) for i, t in texts.items()}
+                        out.setdefault(i, set()).update(range(docs[i][a][0], docs[i][b][0] + 1))
+    return {i: "".join(x for k, x in enumerate(c) if k not in out.get(i, ())) for i, c in cut.items()}
 
 
-def test_line_dedup_is_exact(spark):
+@pytest.mark.parametrize("ends", [["\n"], ["\n", ". ", ", ", ".", "! \n", "\n\n", ".) "]])
+def test_line_dedup_is_exact(spark, ends):
     rng = random.Random(3)
     pool = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 4))) for _ in range(7)]
-    texts = {i: "\n".join(rng.choice(pool) for _ in range(rng.randint(1, 14))) for i in range(60)}
+    texts = {i: "".join(rng.choice(pool) + rng.choice(ends) for _ in range(rng.randint(1, 14))) for i in range(60)}
     df = spark.createDataFrame(rows_of(list(texts.items())), DOCS)
     got = {r.doc.doc_id: r.clean_text for r in line_dedup.deduplicated(df, min_words=6).collect()}
     assert got == deleted(texts, 6)
 
 
+def test_line_dedup_inside_lines(spark):
+    rng = random.Random(5)
+    passage = " ".join(prose(rng, 12) for _ in range(5))
+    own = [" ".join(prose(rng, 9) for _ in range(8)) for _ in range(4)]
+    texts = [(0, passage), (1, f"{own[0]} {passage} {own[1]}"), (2, own[2]), (3, f"{own[3]} {passage}"), (4, f"{passage} {prose(rng, 9)}")]
+    got = {r.doc.doc_id: (r.clean_text, r.n_removed) for r in line_dedup.deduplicated(spark.createDataFrame(rows_of(texts), DOCS)).collect()}
+    assert got[0] == (passage, 0) and got[1] == (f"{own[0]} {own[1]}", 5) and got[2] == (own[2], 0)
+    assert got[3] == (own[3] + " ", 5) and got[4][1] == 5
+    assert {i: t for i, (t, _) in got.items()} == deleted(dict(texts), line_dedup.MIN_WORDS)
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.deduplicated(odd).collect()
     assert len(got) == odd.count()
@@ -232,11 +247,12 @@ def test_near_copies_are_exact(spark, odd, empty, monkeypatch):
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 
-def copies(rate, doc_id, seed=source_mixing.SEED):
+def copies(rate, doc_id, text, seed=source_mixing.SEED):
     steps = max(math.ceil(rate / source_mixing.STEP), 1)
+    own = hashlib.md5(text.encode()).hexdigest()
     n = 0
     for j in range(1, steps + 1):
-        u = int(hashlib.md5(f"{seed}:{doc_id}:{j}".encode()).hexdigest()[:12], 16) / 2**48
+        u = int(hashlib.md5(f"{seed}:{doc_id}:{own}:{j}".encode()).hexdigest()[:12], 16) / 2**48
         p = total = math.exp(-rate / steps)
         k = 0
         while total <= u:
@@ -256,19 +272,28 @@ def test_mixing_counts(spark, broadcast, monkeypatch):
     got = Counter(r.doc_id for r in source_mixing.replicated(df, weights=weights).collect())
     n = Counter(r[3] for r in rows)
     rate = {s: weights.get(s, 0.0) * 3000 / n[s] for s in n}
-    assert got == Counter({r[0]: c for r in rows if (c := copies(rate[r[3]], r[0]))})
+    assert got == Counter({r[0]: c for r in rows if (c := copies(rate[r[3]], r[0], r[1]))})
     share = sum(c for i, c in got.items() if i % 10) / sum(got.values())
     assert abs(share - 0.2) < 0.03 and abs(sum(got.values()) - 3000) < 300
 
 
 def test_mixing_large_mean_and_odd(spark, odd, empty):
     df = spark.createDataFrame(rows_of([(1, "a")]), DOCS)
-    assert source_mixing.replicated(df, epochs=500.0).count() == copies(500.0, 1)
+    assert source_mixing.replicated(df, epochs=500.0).count() == copies(500.0, 1, "a")
     out = source_mixing.replicated(odd, epochs=3.0)
     assert out.columns == odd.columns and out.count() > 0
     assert source_mixing.replicated(empty).collect() == []
 
 
+@pytest.mark.parametrize("seed", [17, 20, 23])
+def test_mixing_without_ids(spark, seed):
+    df = spark.createDataFrame([(None, f"t{i}", "en", "s", 2, "x", 1, 2, 3, "t", 4) for i in range(4000)], DOCS)
+    rows = source_mixing.mixed(df, seed=seed).select("doc.text", "copy", F.spark_partition_id().alias("p")).collect()
+    assert abs(len(rows) - 4000) < 300 and len({(r.text, r.copy) for r in rows}) == len(rows)
+    assert Counter(r.copy for r in rows)[0] == len({r.text for r in rows}) < 2800
+    assert max(Counter(r.p for r in rows).values()) < 2 * len(rows) / len({r.p for r in rows})
+
+
 def test_mixing_is_shuffled(spark):
     df = spark.createDataFrame(rows_of([(i, "a") for i in range(400)]), DOCS)
     ids = [r.doc.doc_id for r in source_mixing.mixed(df).collect()]
@@ -505,5 +530,5 @@ def test_pipeline_run(spark):
 
 
 def test_registered():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries.QUERIES) == list(range(1, 14))
     assert set(queries.ORACLE) <= set(queries.QUERIES)

@@ -1,23 +1,28 @@
-"""Line deduplication by winnowing: later copies of long passages go, whole lines at a time.
-
-A document is its sequence of lines that hold a word. A passage is a run of such lines with at least
-`min_words` words; it is a copy if the same run, line by line, stands earlier in the corpus (a smaller
-document key, or an earlier line of the same document; null ids come first). Lines in a copy are deleted with
-the blank lines between them; the first occurrence stays whole.
-
-Windows: from each line the fewest following lines that reach `min_words`. The smallest line hash of a window
-is its fingerprint, so every shared passage shares a fingerprint: any window inside it has the same minimum in
-both places. Positions are joined by fingerprint, and a match is extended both ways around it: forward to the
-end of the window that starts at a line, backward to the start of the shortest window that ends at it, as long
-as the lines agree (the content hash of the window). A line of a copied run lies in a copied window of one of
+"""Line deduplication by winnowing: later copies of long passages go, also where they stand inside a line.
+
+A text is its sequence of pieces: a piece ends behind a run of marks or line ends and the blanks that follow, so
+both places of a passage are cut alike, and the pieces joined are the text. Pieces are equal if they are without
+the white space around them. A passage is a run of worded pieces with at least `min_words` words; it is a copy if
+the same run stands earlier in the corpus (a smaller document key, or an earlier piece of the same document; null
+ids come first). Pieces in a copy are deleted with the wordless ones between them; the first occurrence stays
+whole. Of a passage that begins or ends inside a piece only the whole pieces count, which is why `min_words` is 40
+where passages of 50 words are meant. What stands before and behind a deleted run inside a line is joined.
+
+Winnowing: a window is the fewest pieces from one on that reach `min_words`. Its fingerprint is one of its first
+`WIDE` pieces, the least by (more words first, hash), so every shared window shares its fingerprint and long pieces,
+which rarely agree by chance, stand for it; neighbouring windows mostly choose the same. Positions are joined by
+fingerprint, and only documents with a fingerprint that stands elsewhere go on. There a match is extended both ways
+around a position: forward to the end of the window that starts at a piece, backward to the start of the shortest
+window that ends at it, as long as the pieces agree. A piece of a copied run lies in a copied window of one of
 the two kinds, so their union is exactly the set above.
 
 Every occurrence is compared with the first one of its window only, never pair by pair. Aggregates are
 combined before the shuffle; the lookups join tables read from storage, so AQE can split a window that a third
-of the rows hold. The lines of one document are ordered in one task, as a document is one row.
+of the rows hold. The pieces of one document are ordered in one task, as a document is one row. Windows are equal
+if two hashes of their pieces (96 bits) and their numbers of words and pieces are.
 
 Defined cases: rows that repeat both id and text are the same document and get the same result; a null or
-empty text stays as it is; an empty table gives an empty result.
+empty text stays as it is; a text without marks and line ends is one piece; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,28 +30,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.lineage import written
+from ..operators.lineage import forgotten, written
 from .words import WORD, computed, packed, unpacked
 
-MIN_WORDS = 50
+#: Words of a copy in whole pieces.
+MIN_WORDS = 40
+#: A fingerprint is chosen among so many pieces of a window, or fewer where fewer reach `min_words`.
+WIDE = 6
+MARKS = r".!?,;:…।؟。！？，、；："
+PIECE = rf"""[^\n{MARKS}]*[\n{MARKS}]+[\x20\x09-\x0D)"'”’»\]]*|[^\n{MARKS}]+"""
+BLANKS = " \t\n\x0b\x0c\r"
 
 
 def _key(doc_id: Column, text: Column) -> Column:
     return F.struct(doc_id.cast("long").alias("id"), F.xxhash64(text).alias("h"))
 
 
-def _windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """Forward and backward windows of every document: key, first and last line, content hash, fingerprint."""
-    line = F.transform(F.split(F.col(text), "\n"), lambda x, i: F.struct(
-        i.alias("at"), F.xxhash64(x).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("words"),
+def pieces(text: Column) -> Column:
+    """The pieces of a text; joined they are the text."""
+    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+
+
+def _pieces(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
+    """Every text that can hold a window: key, and its worded pieces with place, hash and words."""
+    piece = F.transform(pieces(F.col(text)), lambda x, i: F.struct(
+        F.regexp_count(x, F.lit(WORD)).alias("words"), F.xxhash64(F.trim(x, F.lit(BLANKS))).alias("h"), i.alias("at"),
     ))
-    rows = (
-        docs.filter(F.col(text).isNotNull())
-        .select(_key(F.col(doc_id), F.col(text)).alias("key"), line.alias("lines"))
-        .filter(F.aggregate("lines", F.lit(0), lambda a, x: a + x["words"]) >= min_words)
-        .groupBy("key").agg(F.first("lines").alias("lines"))
-        .select("key", F.inline(F.filter("lines", lambda x: x["words"] > 0)))
-    )
+    rows = packed(docs.filter(F.col(text).isNotNull()), key=_key(F.col(doc_id), F.col(text)), all=piece)
+    rows = computed(rows, "key", pieces=F.filter("all", lambda x: x["words"] > 0))
+    return rows.filter(F.aggregate("pieces", F.lit(0), lambda a, x: a + x["words"]) >= min_words)
+
+
+def _fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
+    """The chosen piece of every window: key, hash `h`, and a hash `place` of key and position."""
+    none = F.struct(F.lit(0).alias("sum"), F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("at")).alias("best"))
+
+    def chosen(i: Column) -> Column:
+        return F.aggregate(
+            F.slice("pieces", i + 1, F.lit(WIDE)), none,
+            lambda a, x: F.when(a["sum"] >= min_words, a).otherwise(F.struct(
+                (a["sum"] + x["words"]).alias("sum"), F.greatest(a["best"], x).alias("best"))),
+            lambda a: a["best"],
+        )
+
+    best = F.array_distinct(F.transform("pieces", lambda x, i: chosen(i)))
+    return rows.select("key", F.explode(best).alias("x")).select("key", F.col("x.h").alias("h"), F.xxhash64("key", "x.at").alias("place"))
+
+
+def _windows(rows: DataFrame, min_words: int) -> DataFrame:
+    """Forward and backward windows of every document: key, first and last piece, content."""
+    rows = rows.select("key", F.inline("pieces"))
     doc = Window.partitionBy("key")
     before = doc.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("begin", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("long"))
@@ -57,54 +90,62 @@ def _windows(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFra
     def window(frame, way: str) -> list[Column]:
         return [
             F.sum("words").over(frame).alias(f"{way}_words"), F.min("at").over(frame).alias(f"{way}_from"),
-            F.max("at").over(frame).alias(f"{way}_to"), F.collect_list("h").over(frame).alias(f"{way}_lines"),
-            F.min("h").over(frame).alias(f"{way}_print"),
+            F.max("at").over(frame).alias(f"{way}_to"), F.collect_list("h").over(frame).alias(f"{way}_all"),
         ]
 
     both = rows.select("key", *window(ahead, "a"), *window(behind, "b"))
     packs = F.array(*[
         F.struct(
-            F.col(f"{w}_words").alias("words"), F.col(f"{w}_from").alias("from"), F.col(f"{w}_to").alias("to"),
-            F.xxhash64(F.col(f"{w}_lines"), F.size(f"{w}_lines")).alias("content"), F.col(f"{w}_print").alias("print"),
+            F.col(f"{w}_words").cast("int").alias("words"), F.col(f"{w}_from").alias("from"), F.col(f"{w}_to").alias("to"),
+            F.xxhash64(F.col(f"{w}_all"), F.size(f"{w}_all")).alias("content"), F.hash(f"{w}_all").alias("more"),
         ) for w in "ab"
     ])
-    return both.select("key", F.inline(packs)).filter(F.col("words") >= min_words).drop("words")
+    return both.select("key", F.inline(F.array_distinct(packs))).filter(F.col("words") >= min_words)
 
 
 def copied_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Disjoint runs of lines to delete: key, `from`, `to` (line numbers from 0, both included)."""
-    windows = written(_windows(docs, doc_id, text, min_words))
+    """Disjoint runs of pieces to delete: key, `from`, `to` (numbers of pieces from 0, both included)."""
+    rows = written(_pieces(docs, doc_id, text, min_words))
+    prints = written(_fingerprints(rows, min_words))
+    known = prints.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("h")
+    matched = written(prints.join(known, "h").select("key").distinct())
+    # Rows that repeat a document are one here.
+    windows = written(_windows(rows.join(matched, "key").dropDuplicates(["key"]), min_words))
+    forgotten(rows, prints, matched)
     own = F.struct("key", "from")
-    places = windows.groupBy("print", "content").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    same = ["content", "more", "words"]
+    places = windows.groupBy(*same).agg(F.min(own).alias("first"), F.max(own).alias("last"))
     shared = written(places.filter("last > first").drop("last"))
-    later = windows.join(shared, ["print", "content"]).filter(own > F.col("first")).select("key", "from", "to")
+    later = windows.join(shared, same).filter(own > F.col("first")).select("key", "from", "to")
     doc = Window.partitionBy("key").orderBy("from", "to")
     reach = F.max("to").over(doc.rowsBetween(Window.unboundedPreceding, -1))
     marked = later.withColumn("new", F.when(F.col("from") <= reach, 0).otherwise(1))
     marked = marked.withColumn("run", F.sum("new").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    return marked.groupBy("key", "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run")
+    runs = written(marked.groupBy("key", "run").agg(F.min("from").alias("from"), F.max("to").alias("to")).drop("run"))
+    forgotten(windows, shared)
+    return runs
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """Every row as `doc`, with `clean_text` (without copied runs), `n_lines` and `n_removed`."""
+    """Every row as `doc`, with `clean_text` (without copied runs), `n_pieces` and `n_removed`."""
     runs = copied_runs(docs, doc_id, text, min_words)
     run = F.struct(F.col("from").alias("a"), F.col("to").alias("b"))
     gone = written(runs.groupBy("key").agg(F.array_sort(F.collect_list(run)).alias("gone")))
     # The runs grow with the corpus: the same join at every size, not a broadcast while they are few.
     df = packed(docs, key=_key(F.col(doc_id), F.col(text)), body=F.col(text)).join(gone.hint("merge"), "key", "left")
-    df = df.withColumn("lines", F.split("body", "\n"))
+    df = computed(df, "doc", "body", "gone", parts=pieces(F.col("body")))
     edges = F.concat(
         F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.col("gone"),
-        F.array(F.struct(F.size("lines").alias("a"), F.size("lines").alias("b"))),
+        F.array(F.struct(F.size("parts").alias("a"), F.size("parts").alias("b"))),
     )
     df = df.withColumn("edges", edges)
     start = lambda i: F.get(F.col("edges"), i)["b"] + 2  # noqa: E731  position from 1 behind a deleted run
-    stays = F.transform(F.slice("edges", F.lit(2), F.size("edges") - 1), lambda e, i: F.slice("lines", start(i), e["a"] + 1 - start(i)))
+    stays = F.transform(F.slice("edges", F.lit(2), F.size("edges") - 1), lambda e, i: F.slice("parts", start(i), e["a"] + 1 - start(i)))
     removed = F.aggregate("gone", F.lit(0).cast("long"), lambda s, g: s + g["b"] - g["a"] + 1)
-    stayed = F.array_join(F.flatten(stays), "\n")
+    stayed = F.array_join(F.flatten(stays), "")
     return computed(
         df, "doc", clean_text=F.when(F.col("gone").isNull(), F.col("body")).otherwise(stayed),
-        n_lines=F.coalesce(F.size("lines"), F.lit(0)).cast("long"), n_removed=F.coalesce(removed, F.lit(0).cast("long")),
+        n_pieces=F.coalesce(F.size("parts"), F.lit(0)).cast("long"), n_removed=F.coalesce(removed, F.lit(0).cast("long")),
     )
 
 

@@ -32,38 +32,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 LINE_DEDUP = r"""
-WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
-lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS line FROM split),
+WITH parted AS (SELECT doc_id, regexp_extract_all(text, 'PIECE') AS parts FROM documents),
+pieces AS (
+  SELECT doc_id, generate_subscripts(parts, 1) - 1 AS pos, unnest(parts) AS piece FROM parted),
 worded AS (
-  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM lines),
+  SELECT *, len(regexp_extract_all(piece, '[^\x20\x09-\x0D]+')) AS n FROM pieces),
 placed AS (
-  SELECT doc_id, pos, line, n, sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS b,
+  SELECT doc_id, pos, regexp_replace(piece, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS piece, n,
+         sum(n) OVER (PARTITION BY doc_id ORDER BY pos) - n AS b,
          sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS e FROM worded WHERE n > 0),
 runs AS (
-  SELECT doc_id, sum(n) OVER w AS total, min(pos) OVER w AS a, max(pos) OVER w AS z, list(line) OVER w AS body
-  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY b RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  SELECT doc_id, sum(n) OVER w AS total, min(pos) OVER w AS a, max(pos) OVER w AS z, list(piece) OVER w AS body
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY b RANGE BETWEEN CURRENT ROW AND 39 FOLLOWING)
   UNION ALL
-  SELECT doc_id, sum(n) OVER w, min(pos) OVER w, max(pos) OVER w, list(line) OVER w
-  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)),
+  SELECT doc_id, sum(n) OVER w, min(pos) OVER w, max(pos) OVER w, list(piece) OVER w
+  FROM placed WINDOW w AS (PARTITION BY doc_id ORDER BY e RANGE BETWEEN 39 PRECEDING AND CURRENT ROW)),
 firsts AS (
-  SELECT body, min((doc_id, a)) AS first FROM runs WHERE total >= 50 GROUP BY body),
+  SELECT body, min((doc_id, a)) AS first FROM runs WHERE total >= 40 GROUP BY body),
 later AS (
-  SELECT DISTINCT doc_id, a, z FROM runs JOIN firsts USING (body) WHERE total >= 50 AND (doc_id, a) > first),
+  SELECT DISTINCT doc_id, a, z FROM runs JOIN firsts USING (body) WHERE total >= 40 AND (doc_id, a) > first),
 gone AS (SELECT DISTINCT doc_id, unnest(range(a, z + 1)) AS pos FROM later),
 flagged AS (
-  SELECT l.doc_id, l.pos, l.line, g.pos IS NOT NULL AS removed
-  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos)
-SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT removed), '') AS text,
-       count(*) AS n_lines, count(*) FILTER (removed) AS n_removed
-FROM flagged GROUP BY doc_id"""
+  SELECT l.doc_id, l.pos, l.piece, g.pos IS NOT NULL AS removed
+  FROM pieces l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos),
+cleaned AS (
+  SELECT doc_id, string_agg(piece, '' ORDER BY pos) FILTER (NOT removed) AS text,
+         count(*) AS n_pieces, count(*) FILTER (removed) AS n_removed
+  FROM flagged GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(c.text, '') END AS text,
+       coalesce(n_pieces, 0) AS n_pieces, coalesce(n_removed, 0) AS n_removed
+FROM documents d LEFT JOIN cleaned c ON d.doc_id = c.doc_id""".replace("PIECE", line_dedup.PIECE.replace("'", "''"))
 
 
 @query("op4_line_dedup", LINE_DEDUP)
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without later copies of passages of 50 words or more."""
+    """Documents without later copies of passages, whole pieces of lines at a time."""
     df = line_dedup.deduplicated(table(spark, sf_dir, "documents"))
-    return df.select("doc.doc_id", F.col("clean_text").alias("text"), "n_lines", "n_removed")
+    return df.select("doc.doc_id", F.col("clean_text").alias("text"), "n_pieces", "n_removed")
 
 
 CHAT = r"""
@@ -175,20 +180,21 @@ dist(source, steps, mean, k, p, total) AS (
   UNION ALL
   SELECT source, steps, mean, k + 1, p * mean / (k + 1), total + p * mean / (k + 1) FROM dist
   WHERE k + 1 <= floor(mean + 12 * sqrt(mean) + 24)),
+marked AS (
+  SELECT row_number() OVER () AS r, doc_id, source, text,
+         concat_ws(':', coalesce(doc_id::VARCHAR, 'null'), coalesce(md5(text), 'null')) AS mark FROM documents),
 draws AS (
-  SELECT doc_id, d.source, unnest(range(1, steps + 1)) AS j
-  FROM documents d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source),
+  SELECT r, mark, d.source, unnest(range(1, steps + 1)) AS j
+  FROM marked d JOIN steps s ON d.source IS NOT DISTINCT FROM s.source),
 numbers AS (
-  SELECT doc_id, source, j,
-         ('0x' || substr(md5(concat_ws(':', '17', coalesce(doc_id::VARCHAR, 'null'), j::VARCHAR)), 1, 12))::BIGINT
+  SELECT r, source, ('0x' || substr(md5(concat_ws(':', '17', mark, j::VARCHAR)), 1, 12))::BIGINT
          / 281474976710656.0 AS u FROM draws),
 copies AS (
-  SELECT doc_id, n.source, count(*) AS n FROM numbers n JOIN dist d
-  ON n.source IS NOT DISTINCT FROM d.source AND d.total <= n.u GROUP BY doc_id, n.source),
-out AS (SELECT doc_id, source, unnest(range(n)) AS copy FROM copies)
-SELECT o.doc_id, o.source, o.copy, d.text,
-       substr(md5(concat_ws(':', 'place17', coalesce(o.doc_id::VARCHAR, 'null'), o.copy::VARCHAR)), 1, 16) AS place
-FROM out o JOIN documents d ON o.doc_id = d.doc_id"""
+  SELECT r, count(*) AS n FROM numbers n JOIN dist d
+  ON n.source IS NOT DISTINCT FROM d.source AND d.total <= n.u GROUP BY r),
+out AS (SELECT r, unnest(range(n)) AS copy FROM copies)
+SELECT doc_id, source, copy, text, substr(md5(concat_ws(':', 'place17', mark, copy::VARCHAR)), 1, 16) AS place
+FROM out JOIN marked USING (r)"""
 
 
 @query("op3_source_mixing", MIXING)

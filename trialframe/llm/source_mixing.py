@@ -2,18 +2,19 @@
 
 A source of n documents with target weight w (weights sum to one) is to fill the share w of `epochs` times the
 corpus, so each of its documents is repeated at the mean rate w * epochs * N / n. The number of copies of a
-document is the inverse of the Poisson distribution of that mean at a number in [0, 1) hashed from the seed and
-the document's id: rows decide for themselves, so a repeated task gives the same copies and nothing is
+document is the inverse of the Poisson distribution of that mean at a number in [0, 1) hashed from the seed, the
+document's id and its text: rows decide for themselves, so a repeated task gives the same copies and nothing is
 gathered but the row count of each source. Means above `STEP` are sums of equal smaller ones, each with its own
 number, as the first term of the distribution would vanish. Copies are shuffled globally: dealt out by a hash of
-seed, id and copy number, and sorted by it inside each partition.
+seed, id, text and copy number, and sorted by it inside each partition.
 
 Without given weights the sources are tempered: a weight in proportion to the source's documents to the power
 `alpha` (1 keeps the mixture, 0 makes all sources equal).
 
-Defined cases: a null source is a source of its own; a source that given weights don't name has weight zero; the
-text plays no part, so null and empty texts are drawn like others; rows that repeat an id get equal counts; a
-null id is hashed as the text `null`; an empty table gives an empty result.
+Defined cases: a null source is a source of its own; a source that given weights don't name has weight zero; null
+and empty texts are drawn like others; a null id or text is hashed as `null`, so rows without an id, or with the same
+one, are told apart by their texts; rows that repeat both get equal counts and places; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -67,33 +68,34 @@ def distribution(mean: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), last), start, more, lambda acc: acc["all"])
 
 
-def counted(docs: DataFrame, rate: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED) -> DataFrame:
-    """Every row packed as `doc`, with `copies`."""
+def counted(docs: DataFrame, rate: DataFrame, doc_id: str = "doc_id", source: str = "source", seed: int = SEED, text: str = "text") -> DataFrame:
+    """Every row packed as `doc`, with `id` and `mark` (a hash of the text) and `copies`."""
     steps = F.greatest(F.ceil(F.col("rate") / STEP), F.lit(1)).cast("int")
     table = rate.select("source", "rate", steps.alias("steps"))
     table = table.withColumn("cdf", distribution(F.col("rate") / F.col("steps"))).drop("rate")
     table = written(table)
-    df = packed(docs, id=F.col(doc_id), name=F.col(source))
+    df = packed(docs, id=F.col(doc_id), mark=F.md5(F.col(text)), name=F.col(source))
     if table.count() <= BROADCAST:
         joined = df.join(F.broadcast(table), F.col("name").eqNullSafe(F.col("source")))
     else:
         parts = table.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-        salted = df.withColumn("own", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+        salted = df.withColumn("own", F.pmod(F.xxhash64("id", "mark"), F.lit(PARTS)).cast("int"))
         joined = salted.join(parts, F.col("name").eqNullSafe(F.col("source")) & (F.col("own") == F.col("part")))
-    draw = lambda j: uniform(F.lit(seed), F.col("id"), j)
+    draw = lambda j: uniform(F.lit(seed), F.col("id"), F.col("mark"), j)
     # The copies of one step are the probabilities at or below its number; the array is sorted.
     one = lambda u: F.size(F.filter("cdf", lambda c: c <= u))
     draws = F.transform(F.sequence(F.lit(1), F.col("steps")), draw)
     copies = F.aggregate(draws, F.lit(0).cast("long"), lambda a, u: a + one(u))
-    return joined.select("doc", "id", copies.alias("copies"))
+    return joined.select("doc", "id", "mark", copies.alias("copies"))
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, doc_id: str = "doc_id", source: str = "source",
-          alpha: float = ALPHA, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
+          alpha: float = ALPHA, epochs: float = EPOCHS, seed: int = SEED, text: str = "text") -> DataFrame:
     """The copies, shuffled globally: `doc` (the row), `copy` (from 0) and `place` (the hash they are sorted by)."""
-    df = counted(docs, rates(docs, weights, source, alpha, epochs), doc_id, source, seed).filter("copies > 0")
-    df = df.select("doc", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
-    place = F.substring(F.md5(F.concat_ws(":", F.lit(f"place{seed}"), F.coalesce(F.col("id").cast("string"), F.lit("null")), "copy")), 1, 16)
+    df = counted(docs, rates(docs, weights, source, alpha, epochs), doc_id, source, seed, text).filter("copies > 0")
+    df = df.select("doc", "id", "mark", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"))
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ("id", "mark")]
+    place = F.substring(F.md5(F.concat_ws(":", F.lit(f"place{seed}"), *known, "copy")), 1, 16)
     df = df.select("doc", "copy", place.alias("place"))
     return df.repartition("place").sortWithinPartitions("place")
 
