@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -403,6 +404,67 @@ def test_html_formulas_and_drawings(html, text):
     assert html_text.visible_text(html) == text
 
 
+@pytest.mark.parametrize(("html", "text"), [
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C</table>", "A | B\n  | C"),
+    ("<table><tr><td rowspan=0>A<td>B<tr><td>C<tbody><tr><td>D<td>E</table>", "A | B\n  | C\nD | E"),
+    ("<table><tr><td rowspan=2>A<br>a<td>B<tr><td>C</table>", "A | B\na | C"),
+    ("<table><tr><td rowspan=2>1<br>2<br>3<td>B<tr><td>C</table>", "1 | B\n2 | C\n3"),
+    ("<table><tr><td>x<td rowspan=2>y<tr><td colspan=2>w</table>", "x | y\n  |   | w"),
+    ("<table><tr><td colspan=2>wide head<tr><td>a<td>b<td>c</table>", "wide head\na | b     | c"),
+    ("<table><tr><td>a|<td>||<td> <tr><td>b</table>", "a| | ||\nb"), ("<table><tr><td><td>b</table>", " | b"),
+    ("<table><tr><td>\u4e2d\u6587<td>x<tr><td>abcd<td>y</table>", "\u4e2d\u6587 | x\nabcd | y"),
+    ("<table><tr><td>e\u0301<td>x<tr><td>a<td>y</table>", "e\u0301 | x\na | y"),
+    ("<table><tr><td><table><tr><td>p<td>q<tr><td>rr</table><td>z</table>", "p  | q | z\nrr"),
+    ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<br>d</div>e", "b\ne"),
+    ("<p style='visibility:hidden;visibility:visible'>a", "a"), ("<p style='content-visibility:hidden'>a", "a"),
+    ("<p style='display:none;display:block'>a", "a"), ("<p style='display:block;DISPLAY:None'>a</p>b", "b"),
+    ("<ol><li value=5>a<li>b</ol>", "5. a\n6. b"), ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+    ("<ol start=7 reversed><li>a<li>b</ol>", "7. a\n6. b"), ("<ol><li value=x>a<li>b</ol>", "1. a\n2. b"),
+    ("<select><option>a<option selected>b<option>c</select>", "b"), ("<select><option>a<option>b</select>", "a"),
+])
+def test_html_spans_visibility_and_numbers(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_html_grid_matches_a_plain_one():
+    """Every cell of random tables stands at the place that a plain grid of taken slots gives it."""
+    rng = random.Random(5)
+    for _ in range(200):
+        rows = [[(f"w{rng.randrange(10 ** rng.randint(1, 8))}x{k}y{c}", rng.randint(1, 3), rng.randint(1, 4)) for c in range(rng.randint(1, 4))]
+                for k in range(rng.randint(1, 6))]
+        html = "<table>" + "".join("<tr>" + "".join(f"<td colspan={w} rowspan={h}>{t}" for t, w, h in row) for row in rows) + "</table>"
+        taken, column = set(), {}
+        for k, row in enumerate(rows):
+            at = 0
+            for t, w, h in row:
+                while any((k, at + x) in taken for x in range(w)):
+                    at += 1
+                column[t] = at
+                taken |= {(k + y, at + x) for x in range(w) for y in range(h)}
+                at += w
+        lines = html_text.visible_text(html).split("\n")
+        assert [[x.strip() for x in line.split("|") if x.strip()] for line in lines] == [[t for t, _, _ in row] for row in rows]
+        places = {}
+        for line, row in zip(lines, rows, strict=True):
+            for t, _, _ in row:
+                places.setdefault(column[t], set()).add(line.index(t))
+        assert all(len(x) == 1 for x in places.values())
+        assert sorted(places) == [c for c, _ in sorted(places.items(), key=lambda x: min(x[1]))]
+
+
+@pytest.mark.parametrize("html", [
+    "<a " * 300_000, "<a " * 300_000 + '="' + ">" + '"', '<a b="' * 150_000, '<a b="' * 150_001 + ">", '<a b=">"' * 120_000, "</x" * 300_000,
+    "<!x" * 300_000, "<select>" + "<option>o" * 100_000, "<ul><li>a" * 100_000, "<table><tr><td>" * 30_000 + "x" * 500_000,
+    "<table>" + "<tr><td rowspan=65534>a" * 40_000, "<table><tr><td>" + "x" * 500_000 + "<tr><td>a<td>b" * 30_000,
+    "<table>" + "<tr>" * 500 + "<td colspan=1000 rowspan=9>a" * 30_000, "<x" + "y" * 1_000_000, "a " + "<a href='" * 100_000,
+])
+def test_html_megabytes(html):
+    """Time and output stay in proportion to the page."""
+    start = time.process_time()
+    assert len(html_text.visible_text(html)) <= 20 * len(html) + (1 << 17)
+    assert time.process_time() - start < 20
+
+
 def test_html_pages(spark):
     rows = [(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (2, None, None, None), (3, "u", "<div>" * 20000 + "x", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

@@ -4,17 +4,20 @@ Tree: tags of broken pages are completed as browsers do in the common cases (a b
 list item, table row or cell ends the one before, end tags close what is open inside them but never leave a
 table cell, void elements hold nothing). Scripts, styles and other raw elements are read up to their end tag.
 
-Visibility: the head, scripts, styles, templates, `hidden`, `display:none`, `visibility:hidden`, `<noscript>`,
-media fallbacks, closed `<details>` (but their summary), closed dialogs and the unchosen options of a menu
+Visibility: the head, scripts, styles, templates, `hidden`, `display:none`, `<noscript>`, media fallbacks,
+what inherits `visibility:hidden` (an element inside may be visible again), closed `<details>` (but their summary), closed dialogs and the unchosen options of a menu
 do not show. Formulas (`<math>`) show without their annotations; of drawings (`<svg>`) the texts show, without
 title, desc, metadata and what is only defined (defs, symbol, mask and the like).
 
 Layout: white space collapses but in `<pre>`; blocks start lines, paragraphs, headings, lists and tables are
-set off by a blank line; list items carry a bullet or their number and are indented by depth; the cells of a
-table are padded to the width of their column, spanned columns included.
+set off by a blank line; list items carry a bullet or their number (`start`, `value`, `reversed`) and are indented by depth; the
+cells of a table stand in a grid with its row and column spans and are padded to the width of their column, wide
+characters counted twice. A cell that would overlap one from above moves right. A table whose padding would outgrow
+its text many times is written without padding, so the output stays in proportion to the page.
 
 Pages are independent rows, parsed in Arrow batches without recursion, so depth and length of a page are not
-limited. Defined cases: a null or empty page has the empty text; a page without tags is its own text; rows that
+limited, and neither are its open quotes and brackets: a tag that no `>` outside quotes ends, ends at the next `>`,
+and quotes count no more in the rest of that page. Defined cases: a null or empty page has the empty text; a page without tags is its own text; rows that
 repeat give repeated rows.
 """
 
@@ -25,6 +28,7 @@ from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
+from unicodedata import combining, east_asian_width
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -73,12 +77,14 @@ TABLE_PARTS = frozenset("table thead tbody tfoot tr td th caption".split())
 
 #: A quoted value, whatever its length; one whose closing quote is missing ends with its tag.
 _VALUE = r"""=\s*+(?:"[^"]*+"|'[^']*+')"""
-_TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>=]++|{_VALUE}|=)*+)>""",
-    re.S,
-)
+_START = re.compile(r"<[a-zA-Z!?]|</[a-zA-Z]")
+_HEAD = r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>|</([a-zA-Z][^\s/>]*+)[^>]*+>|<([a-zA-Z][^\s/>]*+)"
+_TOKEN = re.compile(rf"{_HEAD}((?:[^>=]++|{_VALUE}|=)*+)>", re.S)
+_PLAIN = re.compile(rf"{_HEAD}([^>]*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]*))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_STYLE = re.compile(r"(?<![-\w])(display|visibility)\s*:\s*([a-z-]+)", re.I)
+#: Tables inside tables that are laid out as such, and lists inside lists that are indented; deeper ones are plain blocks.
+DEPTH = 32
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _BLANKS = " \t\n\r\f"
 
@@ -128,9 +134,13 @@ def tree(html: str) -> Node:
                 close(places["head"][0])
             open_[-1].children.append(unescape(s) if "&" in s else s)
 
-    at, lowered = 0, None
+    at, lowered, token = 0, None, _TOKEN
     while True:
-        m = _TOKEN.search(html, at)
+        start = _START.search(html, at)
+        m = token.match(html, start.start()) if start else None
+        if start and not m and token is _TOKEN:
+            token = _PLAIN
+            m = token.match(html, start.start())
         text(html[at : m.start()] if m else html[at:])
         if not m:
             return root
@@ -175,17 +185,22 @@ def tree(html: str) -> Node:
         open_.append(node)
 
 
-def _hidden(node: Node, parent: Node) -> bool:
-    a = node.attributes
-    if node.tag in UNSEEN or "hidden" in a or ("style" in a and _HIDING.search(a["style"])):
-        return True
-    if node.tag == "dialog" and "open" not in a:
-        return True
-    if node.tag == "option" and "selected" not in a:
-        first = next((x for x in parent.children if isinstance(x, Node) and x.tag == "option"), None)
-        chosen = any(isinstance(x, Node) and "selected" in x.attributes for x in parent.children)
-        return chosen or node is not first
-    return False
+def _styles(node: Node) -> dict[str, str]:
+    """Display and visibility of an element's own style; the last one counts."""
+    source = node.attributes.get("style")
+    return {k.lower(): v.lower() for k, v in _STYLE.findall(source)} if source else {}
+
+
+def _chosen(menu: Node) -> set[int]:
+    """The options of a menu that show: the selected ones, or the first."""
+    options = [x for x in menu.children if isinstance(x, Node) and x.tag == "option"]
+    return {id(x) for x in options if "selected" in x.attributes} or {id(x) for x in options[:1]}
+
+
+def _gone(node: Node, display: str | None) -> bool:
+    """Whether an element takes no place at all."""
+    return node.tag in UNSEEN or "hidden" in node.attributes or display == "none" or (
+        node.tag == "dialog" and "open" not in node.attributes)
 
 
 class Canvas:
@@ -249,30 +264,111 @@ class Canvas:
         return "\n".join(self.lines).replace("\xa0", " ")
 
 
+def _width(s: str) -> int:
+    """Columns that a text takes on a page of fixed pitch."""
+    return len(s) if s.isascii() else sum(0 if combining(c) else 1 + (east_asian_width(c) in "WF") for c in s)
+
+
+def _whole(source: str | None, default: int) -> int:
+    return int(source) if source and re.fullmatch(r"-?\d{1,9}", source) else default
+
+
+class Cell:
+    __slots__ = ("columns", "down", "end", "lines", "row", "start")
+
+    def __init__(self, text: str, columns: int, down: int):
+        self.lines, self.columns, self.down = text.split("\n"), columns, down
+
+
 class Table:
-    """Rows of rendered cells (text, spanned columns)."""
+    """Rows of rendered cells."""
+
+    #: Padding allowed for each character of a table, places looked at for each cell, and what any table may have.
+    PADDING, PLACES, FREE = 16, 64, 1 << 16
 
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[Cell]] = []
+        self.groups: list[int] = []  # rows at which a group begins; no cell reaches beyond its group
+
+    def _placed(self) -> bool:
+        """Give every cell its columns; false if that takes too many steps."""
+        held: list[Cell] = []  # from rows above, by column
+        ends = sorted({*self.groups, len(self.rows)})
+        left = self.FREE + self.PLACES * sum(map(len, self.rows))
+        for k, row in enumerate(self.rows):
+            limit = ends[bisect_right(ends, k)]
+            held = [c for c in held if c.row + c.down > k]
+            left -= len(held)
+            if left < 0:
+                return False
+            at, h = 0, 0
+            for cell in row:
+                while h < len(held) and held[h].start < at + cell.columns:
+                    at, h = max(at, held[h].end), h + 1
+                cell.row, cell.start, cell.end = k, at, at + cell.columns
+                cell.down = min(cell.down or limit - k, limit - k)  # zero reaches to the end of the group
+                at = cell.end
+            held = sorted([*held, *[c for c in row if c.down > 1]], key=lambda c: c.start)
+        return True
 
     def lines(self) -> list[str]:
-        width: dict[int, int] = {}
-        for row in self.rows:
-            at = 0
-            for cell, span in row:
-                if span == 1:
-                    width[at] = max(width.get(at, 0), max(map(len, cell.split("\n"))))
-                at += span
+        cells = [c for row in self.rows for c in row]
+        own = sum(len(x) for c in cells for x in c.lines)
+        if not self._placed():
+            return self._plain()
+        # Only columns in which a cell starts are told apart.
+        edges = sorted({c.start for c in cells})
+        for c in cells:
+            c.start, c.end = bisect_right(edges, c.start) - 1, bisect_right(edges, c.end - 1)
+        if sum(c.end - c.start for c in cells) > self.FREE + self.PLACES * len(cells):
+            return self._plain()
+        width = [0] * len(edges)
+        for c in sorted(cells, key=lambda c: c.end - c.start):
+            room = sum(width[c.start : c.end]) + 3 * (c.end - c.start - 1)
+            width[c.end - 1] += max(max(map(_width, c.lines)) - room, 0)
+        height = [max((len(c.lines) if c.down == 1 else 1 for c in row), default=0) for row in self.rows]
+        for c in cells:
+            if c.down > 1:
+                last = c.row + c.down - 1
+                height[last] += max(len(c.lines) - sum(height[c.row : last + 1]), 0)
+        if sum(height) * (sum(width) + 3 * len(width)) > self.FREE + self.PADDING * own:
+            return self._plain()
+        top = [0]
+        for x in height:
+            top.append(top[-1] + x)
+        grid: list[list[tuple[int, str]]] = [[] for _ in range(top[-1])]
+        for c in cells:
+            for k, x in enumerate(c.lines):
+                if x:
+                    grid[top[c.row] + k].append((c.start, x))
+        left = [0]  # where each column begins
+        for x in width:
+            left.append(left[-1] + x + 3)
+        starts: list[list[int]] = [[] for _ in self.rows]
+        for c in cells:
+            for k in range(c.row, c.row + c.down):
+                starts[k].append(c.start)
+        out = []
+        for k, bounds in enumerate(map(sorted, starts)):
+            for parts in grid[top[k] : top[k + 1]]:
+                text, at, texts = [], 0, dict(parts)
+                last = max(texts, default=-1)
+                for column in [b for b in bounds if b <= last]:
+                    if column:
+                        text.append(" " * (left[column] - 3 - at) + " | ")
+                        at = left[column]
+                    x = texts.get(column, "")
+                    text.append(x)
+                    at += _width(x)
+                out.append("".join(text))
+        return [x for x in out if x]
+
+    def _plain(self) -> list[str]:
+        """The lines of the cells of each row, without padding."""
         out = []
         for row in self.rows:
-            parts = [(cell.split("\n"), span) for cell, span in row]
-            for k in range(max((len(p) for p, _ in parts), default=0)):
-                at, line = 0, []
-                for p, span in parts:
-                    room = sum(width.get(c, 0) for c in range(at, at + span)) + 3 * (span - 1)
-                    line.append((p[k] if k < len(p) else "").ljust(room))
-                    at += span
-                out.append(" | ".join(line).rstrip(" |") if any(line) else "")
+            for k in range(max((len(c.lines) for c in row), default=0)):
+                out.append(" | ".join(c.lines[k] for c in row if k < len(c.lines) and c.lines[k]))
         return [x for x in out if x]
 
 
@@ -280,44 +376,61 @@ def render(root: Node) -> str:
     """The visible text of a tree."""
     canvas = Canvas()
     canvases: list[Canvas] = []
-    tables: list[Table] = []
-    lists: list[list] = []  # [ordered, next number]
+    tables: list[Table | None] = []
+    lists: list[list] = []  # [ordered, next number, step, indent outside]
+    menus: dict[int, set[int]] = {}
+    shows = [True]  # the inherited visibility of the open elements
     kept = 0
     foreign: list[bool] = []  # of the open formulas, drawings and their texts: whether strings show
     todo: list[tuple] = [("open", root, root)]
     while todo:
         step = todo.pop()
         if isinstance(step, str):
-            if not foreign or foreign[-1]:
+            if shows[-1] and (not foreign or foreign[-1]):
                 canvas.write(step, kept > 0)
             continue
         kind, node, parent = step
         tag = node.tag
         if kind == "open":
-            if _hidden(node, parent) or (foreign and tag in UNDRAWN):
+            style = _styles(node)
+            if _gone(node, style.get("display")) or (foreign and tag in UNDRAWN):
                 continue
+            if tag == "option":
+                if id(parent) not in menus:
+                    menus[id(parent)] = _chosen(parent)
+                if id(node) not in menus[id(parent)]:
+                    continue
             if tag == "br":
-                canvas.end_line()
+                if shows[-1]:
+                    canvas.end_line()
                 continue
+            seen = style.get("visibility", "inherit")
+            shows.append(seen in ("visible", "initial") or (seen not in ("hidden", "collapse") and shows[-1]))
             if tag in FOREIGN or (foreign and tag in DRAWN_TEXT):
                 foreign.append(tag != "svg")
                 canvas.blank = canvas.blank or tag in DRAWN_TEXT  # labels stand apart
             if tag in BLOCK:
                 canvas.block(2 if tag in SPACED and not (tag in ("ul", "ol", "menu") and lists) else 1)
             if tag in ("ul", "ol", "menu"):
-                start = node.attributes.get("start", "1")
-                lists.append([tag == "ol", int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1])
-                canvas.indent += "  "
+                back = tag == "ol" and "reversed" in node.attributes
+                items = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) if back else 1
+                lists.append([tag == "ol", _whole(node.attributes.get("start"), items), -1 if back else 1, canvas.indent])
+                canvas.indent = (canvas.indent + "  ")[: 2 * DEPTH]
             elif tag == "li":
-                level = lists[-1] if lists else [False, 1]
+                level = lists[-1] if lists else [False, 1, 1]
+                level[1] = _whole(node.attributes.get("value"), level[1])
                 canvas.marker = canvas.indent[2:] + (f"{level[1]}. " if level[0] else "- ")
-                level[1] += 1
+                level[1] += level[2]
             elif tag in ("pre", "textarea"):
                 kept += 1
             elif tag == "table":
-                tables.append(Table())
-            elif tag == "tr" and tables:
+                tables.append(Table() if len(tables) < DEPTH else None)
+            elif tag in ("thead", "tbody", "tfoot") and tables and tables[-1]:
+                tables[-1].groups.append(len(tables[-1].rows))
+            elif tag == "tr" and tables and tables[-1]:
                 tables[-1].rows.append([])
+            elif tag in ("td", "th") and tables and not tables[-1]:
+                canvas.blank = True
             elif tag in ("td", "th") and tables:
                 canvases.append(canvas)
                 canvas = Canvas()
@@ -326,24 +439,25 @@ def render(root: Node) -> str:
             shown = [x for x in node.children if not closed or (isinstance(x, Node) and x.tag == "summary")]
             todo += [x if isinstance(x, str) else ("open", x, node) for x in reversed(shown)]
             continue
-        if tag in ("td", "th") and tables:
-            span = node.attributes.get("colspan", "1")
-            span = min(max(int(span), 1), 1000) if re.fullmatch(r"\d{1,4}", span) else 1
+        shows.pop()
+        if tag in ("td", "th") and tables and tables[-1]:
+            columns = min(max(_whole(node.attributes.get("colspan"), 1), 1), 1000)
+            down = min(max(_whole(node.attributes.get("rowspan"), 1), 0), 65534)
             if not tables[-1].rows:
                 tables[-1].rows.append([])
-            tables[-1].rows[-1].append((canvas.text(), span))
+            tables[-1].rows[-1].append(Cell(canvas.text(), columns, down))
             canvas = canvases.pop()
         elif tag in FOREIGN or (foreign and tag in DRAWN_TEXT):
             foreign.pop()
             canvas.blank = canvas.blank or tag in DRAWN_TEXT
         elif tag == "table":
             canvas.block(2)
-            for line in tables.pop().lines():
+            table = tables.pop()
+            for line in table.lines() if table else ():
                 canvas.write(line, True)
                 canvas.block(0)
         elif tag in ("ul", "ol", "menu"):
-            lists.pop()
-            canvas.indent = canvas.indent[2:]
+            canvas.indent = lists.pop()[3]
         elif tag in ("pre", "textarea"):
             kept -= 1
         elif tag == "li":
