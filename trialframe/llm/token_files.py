@@ -18,7 +18,8 @@ speculative task leaves one whole file with the same bytes. Folders are any that
 
 Encoding: a piece of the tokenizer always begins at a blank before a character that is not white space, at white space
 or a mark behind a letter, and behind a single line end; texts are cut there, and a unit that a task has met is not
-encoded again. The cache has a fixed size.
+encoded again; new words are encoded as the lines of one text, since a line end is a piece of its own. The cache has
+two halves of fixed size, the units met lately and those before.
 
 Defined cases: a null text is empty and has the end id alone; rows with a null key are stored before all others and
 found by a null key; rows that repeat a key are all found by it, in the order of the texts' hashes; a key that is not there gives no
@@ -33,6 +34,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -52,7 +54,7 @@ GAP = 1 << 16
 READ = 1 << 23
 #: Bits of a level for each open key.
 ROOM = 2
-#: Units whose ids a task remembers.
+#: Units whose ids a worker remembers, and as many again that it met before those.
 CACHE = 1 << 19
 MAGIC = b"MPHINDEX1"
 #: A word with the blank before it, if a mark, white space or the end follows; else all up to where a piece must begin.
@@ -96,18 +98,45 @@ class Units:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}  # the cache before it was full; what is met again moves on
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
+
+    def _raw(self, ids: list[int]) -> bytes:
+        return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes] | None:
+        """The raw ids of words encoded as the lines of one text; none if the line ends are not pieces of their own."""
+        ids = self.tokenizer.encode_batch_fast(["\n".join([*words, ""])], add_special_tokens=False)[0].ids
+        ends = np.flatnonzero(np.array(ids) == self.line).tolist()
+        if len(ends) != len(words):
+            return None
+        raw, size = self._raw(ids), self.kind.itemsize
+        return [raw[(a + 1) * size : b * size] for a, b in zip([-1, *ends], ends, strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The raw ids of each text."""
         split = list(map(_UNIT.findall, texts))
-        new = list(set().union(*split).difference(self.cache))
+        seen = set().union(*split)
+        new = seen.difference(self.cache)
         if len(self.cache) + len(new) > CACHE:
-            self.cache.clear()
-            new = list(set().union(*split))
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
+            self.older, self.cache, new = self.cache, {}, seen
+        met = new.intersection(self.older)
+        self.cache.update((x, self.older[x]) for x in met)
+        new = new.difference(met)
+        words = [x for x in new if x.isalpha() or x[1:].isalpha() and x[0] == " "]
+        rest = list(new.difference(words))
+        for k in range(0, len(words), 4096):
+            part = words[k : k + 4096]
+            coded = self._words(part)
+            if coded is None:
+                rest += part
+            else:
+                self.cache.update(zip(part, coded, strict=True))
+        for k in range(0, len(rest), 4096):
+            part = rest[k : k + 4096]
             for unit, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[unit] = np.array(x.ids, self.kind).tobytes()
+                self.cache[unit] = self._raw(x.ids)
         return [b"".join(map(self.cache.__getitem__, units)) for units in split]
 
 
