@@ -18,8 +18,8 @@ speculative task leaves one whole file with the same bytes. Folders are any that
 
 Encoding: a piece of the tokenizer always begins at a blank before a character that is not white space, at white space
 or a mark behind a letter, and behind a single line end; texts are cut there, and a unit that a task has met is not
-encoded again; new words are encoded as the lines of one text, since a line end is a piece of its own. The cache has
-two halves of fixed size, the units met lately and those before.
+encoded again; new words, each one piece, go to the library's model without its cutting of texts. The cache has two
+halves of fixed size, the units met lately and those before.
 
 Defined cases: a null text is empty and has the end id alone; rows with a null key are stored before all others and
 found by a null key; rows that repeat a key are all found by it, in the order of the texts' hashes; a key that is not there gives no
@@ -37,6 +37,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +55,19 @@ GAP = 1 << 16
 READ = 1 << 23
 #: Bits of a level for each open key.
 ROOM = 2
+#: Texts encoded at once; their units should fit a processor's cache.
+BLOCK = 64
 #: Units whose ids a worker remembers, and as many again that it met before those.
 CACHE = 1 << 19
 MAGIC = b"MPHINDEX1"
 #: A word with the blank before it, if a mark, white space or the end follows; else all up to where a piece must begin.
 _UNIT = re.compile(r""" ?[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[ \n.,;:!?()'"-]|\Z)|.+?(?= \S|(?<=\S\n)(?=\S)|\Z)""", re.S)
 
+_WORD = re.compile(r" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Fixed values of byte-level vocabularies: printable bytes stand for themselves, the others for the code points from 256 on.
+_PRINTED = frozenset((*range(33, 127), *range(161, 173), *range(174, 256)))
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+
 
 def _at(folder: str) -> tuple[pafs.FileSystem, str]:
     if "://" in folder or folder.startswith("file:"):
@@ -99,45 +107,41 @@ class Units:
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.cache: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}  # the cache before it was full; what is met again moves on
-        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else -1
+        parts = json.loads(self.tokenizer.to_str())
+        cut = parts["pre_tokenizer"] or {}
+        plain = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        self.whole_words = bool(plain and parts["normalizer"] is None)  # a word is one piece, and goes to the model as it is
 
     def _raw(self, ids: list[int]) -> bytes:
         return array("H" if self.kind.itemsize == 2 else "I", ids).tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes] | None:
-        """The raw ids of words encoded as the lines of one text; none if the line ends are not pieces of their own."""
-        ids = self.tokenizer.encode_batch_fast(["\n".join([*words, ""])], add_special_tokens=False)[0].ids
-        ends = np.flatnonzero(np.array(ids) == self.line).tolist()
-        if len(ends) != len(words):
-            return None
-        raw, size = self._raw(ids), self.kind.itemsize
-        return [raw[(a + 1) * size : b * size] for a, b in zip([-1, *ends], ends, strict=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The raw ids of each text."""
-        split = list(map(_UNIT.findall, texts))
-        seen = set().union(*split)
-        new = seen.difference(self.cache)
-        if len(self.cache) + len(new) > CACHE:
-            self.older, self.cache, new = self.cache, {}, seen
-        met = new.intersection(self.older)
-        self.cache.update((x, self.older[x]) for x in met)
-        new = new.difference(met)
-        words = [x for x in new if x.isalpha() or x[1:].isalpha() and x[0] == " "]
+    def _coded(self, new: set[str]) -> dict[str, bytes]:
+        words = [x for x in new if _WORD.fullmatch(x)] if self.whole_words else []
+        tokens, blank = self.tokenizer.model.tokenize, chr(_SHOWN[32])
+        shown = (x.replace(" ", blank) if x.isascii() else x.encode().decode("latin-1").translate(_SHOWN) for x in words)
+        coded = {x: self._raw([y.id for y in tokens(y)]) for x, y in zip(words, shown, strict=True)}
         rest = list(new.difference(words))
-        for k in range(0, len(words), 4096):
-            part = words[k : k + 4096]
-            coded = self._words(part)
-            if coded is None:
-                rest += part
-            else:
-                self.cache.update(zip(part, coded, strict=True))
         for k in range(0, len(rest), 4096):
             part = rest[k : k + 4096]
             for unit, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[unit] = self._raw(x.ids)
-        return [b"".join(map(self.cache.__getitem__, units)) for units in split]
+                coded[unit] = self._raw(x.ids)
+        return coded
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The raw ids of each text."""
+        split = list(map(_UNIT.findall, texts))
+        flat = list(chain.from_iterable(split))
+        found = list(map(self.cache.get, flat))
+        new = {unit for unit, ids in zip(flat, found, strict=True) if ids is None}
+        if new:
+            if len(self.cache) + len(new) > CACHE:
+                self.older, self.cache = self.cache, {}
+            coded = {x: self.older[x] for x in new if x in self.older}
+            coded |= self._coded(new.difference(coded))
+            self.cache |= coded
+            found = [coded[unit] if ids is None else ids for unit, ids in zip(flat, found, strict=True)]
+        parts = iter(found)
+        return [b"".join(islice(parts, len(units))) for units in split]
 
 
 @lru_cache(maxsize=2)
@@ -182,8 +186,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, key: str = "doc_id", tex
             for batch in batches:
                 if batch.num_rows:
                     shard = batch.column(0)[0].as_py()
-                for k in range(0, batch.num_rows, 512):
-                    part = batch.slice(k, 512)
+                for k in range(0, batch.num_rows, BLOCK):
+                    part = batch.slice(k, BLOCK)
                     coded = encoder.encode(part.column(2).to_pylist())
                     for name, x in zip(part.column(1).to_pylist(), coded, strict=True):
                         if not runs or runs[-1][0] != name:
