@@ -112,6 +112,29 @@ def test_linear_fit_reaches_the_optimum(spark):
     assert models.optimality(feats, train, loose, c=c).first()["gap"] > 10 * models.TOLERANCE
 
 
+def test_sessions_fitted_in_tasks_and_by_joins_agree_in_few_jobs(spark):
+    rng = np.random.default_rng(8)
+    names, rows, labels = ["Ignore", "Left", "Right"], [], []
+    for s, (units, trials) in {"a": (5, 40), "b": (3, 18), "c": (2, 12)}.items():
+        y = rng.integers(0, 3 if s == "a" else 2, trials)
+        labels += [(s, int(i), names[y[i]]) for i in range(trials)]
+        rows += [(s, f"r{u % 2}", u, i, float(n)) for u in range(units) for i in range(trials) if (n := rng.poisson(0.6 + (y[i] == u)))]
+    train = spark.createDataFrame(labels + [("empty", 0, "Left"), ("empty", 1, "Right")], "session string, trial long, label string")
+    # a unit with spikes in other trials alone, and a session without training trials
+    feats = spark.createDataFrame(rows + [("b", "r0", 9, 900, 1.0), ("other", "r0", 1, 1, 2.0)], "session string, region string, unit long, trial long, x double")
+    for loss in ("logistic", "squared_hinge"):
+        spark.sparkContext.setJobGroup(f"fit-{loss}", "a fit")
+        quick = models.fit_linear(feats, train, loss=loss)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"fit-{loss}")) <= 25
+    mixed = models.fit_linear(feats, train, cells=100)  # the first session alone is large
+    quick = models.fit_linear(feats, train)
+    for part in ("coef", "offset"):
+        one, two = ({tuple(r[:-3]): r[-3:] for r in getattr(m, part).collect()} for m in (quick, mixed))
+        assert one.keys() == two.keys() and len(one) == (11 if part == "coef" else 4)
+        assert all(one[k] == pytest.approx(two[k], abs=1e-6) for k in one)
+
+
 def test_a_set_without_units_is_fitted_by_its_intercepts(spark):
     train = spark.createDataFrame([("s", i, c) for i, c in enumerate(["Left", "Left", "Right"])], "session string, trial long, label string")
     feats = spark.createDataFrame([("s", "r", 1, 0, 2.0), ("s", "r", 1, 1, 1.0)], "session string, region string, unit long, trial long, x double")

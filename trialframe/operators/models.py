@@ -1,9 +1,10 @@
 """Linear class baselines, one fit per session, all sessions in one set of Spark jobs.
 
-Features stay a sparse table (session, region, unit, trial, x) and coefficients a table keyed by unit, so
-neither a session nor the model passes through one task or the driver. Each step is a join of features
-with coefficients summed per trial, and a join of features with residuals summed per unit. Standardising
-is folded into the sums (x' = (x - m) / s), so zero counts never become rows.
+Features stay a sparse table (session, region, unit, trial, x) and coefficients a table keyed by unit, so the
+model never passes through the driver. A session of up to `CELLS` cells (units x training trials) and feature rows is
+fitted inside a task, all such sessions in one job; a larger one never passes through one task: each step is a join of
+features with coefficients summed per trial, and a join of features with residuals summed per unit. Standardising
+is folded into these sums (x' = (x - m) / s), so zero counts never become rows. Both ways take the same steps.
 
 Objective per session: C * sum_i w_i loss_i + |beta|^2 / 2, balanced weights, intercept not penalised.
 Steps follow the Barzilai-Borwein rule per session; the penalty bounds the step by 1. A session is done, and
@@ -16,7 +17,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from ..schema import CLASSES, UNIT
@@ -31,6 +36,8 @@ C = range(len(CLASSES))
 TOLERANCE = 1e-4
 #: A fit that takes more steps than this has failed.
 MAX_STEPS = 2000
+#: Cells and feature rows of a session that is fitted inside one task: 8 MB as a matrix, some 40 MB as rows.
+CELLS = 1 << 20
 
 
 @dataclass
@@ -117,8 +124,110 @@ def _unit_gradient(k: int, c: float, b: Column) -> Column:
 
 def fit_linear(
     features: DataFrame, train: DataFrame, *, c: float = 0.5, tolerance: float = TOLERANCE, loss: str = "logistic",
+    cells: int = CELLS,
 ) -> LinearModel:
-    """Fit every session on its training trials (session, trial, label); one without units has intercepts alone.
+    """Fit every session on its training trials (session, trial, label); one without units has intercepts alone."""
+    features = features.select(*U, "trial", "x").dropna(subset=U)
+    trials = written(_weights(train.select(*TRIAL, "label").dropna(subset=["session"])))
+    per_session = trials.groupBy("session").agg(F.count("*").alias("_n"))
+    per_unit = features.groupBy(*U).agg(F.count("*").alias("_r")).groupBy("session").agg(
+        F.count("*").alias("_d"), F.sum("_r").alias("_r")
+    )
+    large = per_unit.join(per_session, "session").where(F.greatest("_r", F.col("_d") * F.col("_n"), "_n") > cells)
+    large = written(large.select("session"))
+    if large.isEmpty():
+        return _fit_in_tasks(features, trials, c, tolerance, loss)
+    parts = [
+        _fit_in_tasks(features.join(large, "session", "left_anti"), trials.join(large, "session", "left_anti"), c, tolerance, loss),
+        _fit_by_joins(
+            features.join(large, "session", "left_semi"), train.join(large, "session", "left_semi"),
+            c=c, tolerance=tolerance, loss=loss,
+        ),
+    ]
+    return LinearModel(parts[0].coef.unionByName(parts[1].coef), parts[0].offset.unionByName(parts[1].offset))
+
+
+def _fit_in_tasks(features: DataFrame, trials: DataFrame, c: float, tolerance: float, loss: str) -> LinearModel:
+    """The sessions of `features` and of `trials` (from `_weights`), each fitted by one call inside a task."""
+    kinds = {f.name: f.dataType for f in features.schema.fields}
+    numbers = [f"{v}_{k}" for v in ("w", "o") for k in C]
+    schema = T.StructType([T.StructField(u, kinds[u]) for u in U] + [T.StructField(v, T.DoubleType()) for v in numbers])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y, w, has, unit = _matrix(left, right)
+        beta, offset = _fit_session(x, y, w, has, c, tolerance, loss) if len(y) else (np.zeros((0, 3)), None)
+        # the units with their coefficients, then one row without a unit for the offsets
+        rows = left.select(U).take(pa.array(unit[: len(beta)], pa.int64()))
+        nan = lambda n: pa.nulls(n, pa.float64())
+        ends = right.select(["session"]).slice(0, 1)
+        columns = [pa.concat_arrays([*rows["session"].chunks, *ends["session"].chunks])]
+        columns += [pa.concat_arrays([*rows[u].chunks, pa.nulls(len(ends), rows[u].type)]) for u in U[1:]]
+        columns += [pa.concat_arrays([pa.array(beta[:, k]), nan(len(ends))]) for k in C]
+        columns += [pa.concat_arrays([nan(len(beta)), pa.array(offset[k : k + 1] if len(ends) else [], pa.float64())]) for k in C]
+        return pa.Table.from_arrays(columns, names=[*U, *numbers])
+
+    fits = features.groupBy("session").cogroup(trials.groupBy("session")).applyInArrow(run, schema)
+    fits = written(fits)
+    coef = fits.where("unit IS NOT NULL").select(*U, *[f"w_{k}" for k in C])
+    return LinearModel(coef, fits.where("unit IS NULL").select("session", *[f"o_{k}" for k in C]))
+
+
+def _matrix(left: pa.Table, right: pa.Table) -> tuple[np.ndarray, ...]:
+    """x (trial x unit), y, w and the classes present of a session, and the row of `left` that names each unit."""
+    code = np.zeros(len(left), np.int64)
+    for u in U[1:]:
+        place = left[u].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        code = code * (place.max(initial=0) + 1) + place
+    _, unit, column = np.unique(code, return_index=True, return_inverse=True)
+    row = _places(left["trial"], right["trial"])
+    seen = row >= 0
+    x = np.zeros((len(right), len(unit)))
+    np.add.at(x, (row[seen], column[seen]), left["x"].to_numpy()[seen])
+    has = np.array([pc.any(right[f"has_{k}"]).as_py() or False for k in C])
+    return x, right["y"].to_numpy().astype(np.int64), right["w"].to_numpy(), has, unit
+
+
+def _places(asked: pa.ChunkedArray, known: pa.ChunkedArray) -> np.ndarray:
+    """Where each asked value stands among the known ones, -1 where it does not; structs by their fields."""
+    if pa.types.is_struct(known.type):
+        at = {tuple(v.values()): i for i, v in enumerate(known.to_pylist())}
+        return np.array([at.get(tuple(v.values()), -1) for v in asked.to_pylist()], np.int64)
+    return pc.fill_null(pc.index_in(asked, value_set=known.combine_chunks()), -1).to_numpy().astype(np.int64)
+
+
+def _fit_session(
+    x: np.ndarray, y: np.ndarray, w: np.ndarray, has: np.ndarray, c: float, tolerance: float, loss: str,
+) -> tuple[np.ndarray, np.ndarray]:
+    """Coefficients [unit, class] on raw features and offsets of one session, by the steps of `_fit_by_joins`."""
+    mean, sd = x.mean(axis=0), x.std(axis=0)
+    sd = np.where(sd < 1e-12, 1.0, sd)
+    z = np.hstack([(x - mean) / sd, np.ones((len(y), 1))])  # the intercept is a last column without penalty
+    own = y[:, None] == np.arange(len(CLASSES))
+    penalty = np.ones((z.shape[1], 1))
+    penalty[-1] = 0.0
+    first = 1.0 / (1.0 + c * (0.5 if loss == "logistic" else 2.0) * w.sum() * z.shape[1])
+    beta, old, old_gradient = (np.zeros((z.shape[1], len(CLASSES))) for _ in range(3))
+    for _ in range(MAX_STEPS):
+        score = z @ beta
+        if loss == "logistic":
+            e = np.where(has, np.exp(np.where(has, score, -np.inf) - score[:, has].max(axis=1, keepdims=True)), 0.0)
+            residual = e / e.sum(axis=1, keepdims=True) - own
+        else:
+            sign = np.where(own, 1.0, -1.0)
+            residual = -2.0 * sign * np.maximum(1.0 - sign * score, 0.0)
+        gradient = c * (z.T @ (w[:, None] * np.where(has, residual, 0.0))) + penalty * beta
+        if np.abs(gradient).max() <= tolerance * c * w.sum():
+            raw = beta[:-1] / sd[:, None]
+            return raw, beta[-1] - mean @ raw
+        step, change = beta - old, gradient - old_gradient
+        sy = (step * change).sum()
+        size = min(max((step * step).sum() / sy if sy > 0 else first, first), 1.0)
+        old, old_gradient, beta = beta, gradient, beta - size * gradient
+    raise RuntimeError(f"no fit within {MAX_STEPS} steps")
+
+
+def _fit_by_joins(features: DataFrame, train: DataFrame, *, c: float, tolerance: float, loss: str) -> LinearModel:
+    """The same for sessions of any size, all of them step by step together.
 
     The state is written after each step: a step reads it several times, so an open lineage (and the size
     estimate a checkpoint carries along) would double
