@@ -2,10 +2,11 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from trialframe.functions import epochs, parsing, pvalues, rules
+from trialframe.functions import epochs, parsing, pvalues, rules, signal
 from trialframe.operators import evaluation, raster, selection, stats, summary
 from trialframe.schema import QcRules, Windows
 
@@ -210,3 +211,20 @@ def test_id_buckets_keep_the_order_and_stay_small(spark):
     assert buckets.agg(F.max("count")).first()[0] <= 1 << 16 and buckets.count() >= 4
     wrong = with_position(df, ["session"], ["trial"], id_bucket(F.col("trial"))).where("pos != trial - 1000000000 + 1")
     assert wrong.count() == 0
+
+
+def test_signals_go_through_products_in_bounded_pieces(spark):
+    """Mixed lengths, NULL, empty and NULL points; no product sees more than a piece of a batch."""
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 50 == 0 else [] if i % 51 == 0 else rng.normal(size=64 if i % 3 else 10).tolist()) for i in range(3000)]
+    rows.append((3000, [1.0, None, 2.0]))
+    df = spark.createDataFrame(rows, "id long, x array<double>").coalesce(1)
+    seen = signal._array_udf(lambda x: np.stack([x.sum(axis=1), np.full(len(x), float(x.size))], axis=1), "array<double>")
+    got = {r["id"]: r["y"] for r in df.select("id", seen(F.col("x")).alias("y")).collect()}
+    assert len(got) == 3001 and got[3000][0] is None
+    for i, x in rows[:-1]:
+        assert got[i] is None if not x else got[i] == [pytest.approx(sum(x)), got[i][1]]
+    assert max(y[1] for y in got.values() if y) <= signal.PIECE
+    maps = {r["id"]: r["m"] for r in df.where("id < 60").select("id", signal.wavelet_magnitude(F.col("x"), 0.01, 4).alias("m")).collect()}
+    for i, x in rows[:60]:
+        assert maps[i] is None if not x else np.allclose(maps[i], signal._wavelet_mag(np.array([x]), 0.01, 4)[0])

@@ -10,12 +10,19 @@ from collections.abc import Iterator
 from typing import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import kernels as K
 
+#: Values of signals that go through one product.
+PIECE = 1 << 15
+KINDS = {
+    "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<array<double>>": pa.list_(pa.list_(pa.float64())),
+}
+
 
 def rate(counts: Column, bin_s: float) -> Column:
     return F.transform(counts, lambda x: x.cast("double") / F.lit(bin_s))
@@ -96,24 +103,45 @@ def shift_times(values: Column, anchor: Column) -> Column:
     return F.transform(values, lambda t: t - anchor)
 
 
-def _by_length(series: pd.Series, fn: Callable[[np.ndarray], np.ndarray]) -> pd.Series:
-    """Run fn on the stacked signals of each length in the batch; NULL and empty signals give NULL."""
-    out = np.empty(len(series), dtype=object)
-    lengths = series.map(lambda a: -1 if a is None or len(a) == 0 else len(a)).to_numpy()
+def _by_length(signals: pa.Array, fn: Callable[[np.ndarray], np.ndarray]) -> pa.Array:
+    """Run fn on the stacked signals of each length; NULL and empty signals give NULL."""
+    lengths = pc.fill_null(pc.list_value_length(signals), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = signals.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False)
+    starts = np.cumsum(lengths) - lengths
+    rows, parts = [], []
     for n in np.unique(lengths[lengths > 0]):
         at = np.flatnonzero(lengths == n)
-        block = fn(np.stack([np.asarray(a, float) for a in series.iloc[at]]))
-        for i, row in zip(at, block):
-            out[i] = row.tolist()
-    return pd.Series(out, index=series.index)
+        rows.append(at)
+        parts.append(_nested(fn(values[starts[at][:, None] + np.arange(n)])))
+    absent = np.flatnonzero(lengths == 0)
+    if len(absent):
+        rows.append(absent)
+        parts.append(pa.nulls(len(absent), parts[0].type if parts else pa.null()))
+    if len(parts) == 1:
+        return parts[0]
+    return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(rows), kind="stable")))
+
+
+def _nested(block: np.ndarray) -> pa.Array:
+    """A block as an array of its rows, whose inner dimensions are lists; NaN is NULL."""
+    out = pa.array(block.ravel(), from_pandas=True)
+    for k in range(block.ndim - 1, 0, -1):
+        outer = int(np.prod(block.shape[:k]))
+        out = pa.ListArray.from_arrays(pa.array(np.arange(outer + 1) * block.shape[k], pa.int32()), out)
+    return out
 
 
 def _array_udf(fn: Callable[[np.ndarray], np.ndarray], returns: str):
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """A batch is taken in pieces of `PIECE` values, so that a worker's memory does not follow the size of a batch."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = KINDS[returns]
         for batch in batches:
-            yield _by_length(batch, fn)
+            step = max(1, PIECE // (pc.max(pc.list_value_length(batch)).as_py() or 1))
+            for k in range(0, len(batch), step):
+                yield _by_length(batch.slice(k, step), fn).cast(kind)
 
-    return F.pandas_udf(run, returns)
+    return F.arrow_udf(run, returns)
 
 
 def band_power_cwt(counts: Column, bin_s: float, bands: dict, sigma_bins: float = 2.0, n_freqs: int = 6) -> Column:
@@ -191,12 +219,7 @@ def wavelet_band_energy(counts: Column, bin_s: float, lo: float, hi: float, n_fr
     """Mean wavelet magnitude over [lo, hi] Hz and all bins."""
     use = band_rows(n_freq, lo, hi)
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out = _by_length(batch, lambda x: _wavelet_mag(x, bin_s, n_freq)[:, use].mean(axis=(1, 2))[:, None])
-            yield out.map(lambda v: None if v is None else v[0]).astype(float)
-
-    return F.pandas_udf(run, "double")(counts)
+    return _array_udf(lambda x: _wavelet_mag(x, bin_s, n_freq)[:, use].mean(axis=(1, 2)), "double")(counts)
 
 
 def band_rows(n_freq: int, lo: float, hi: float) -> list[int]:
