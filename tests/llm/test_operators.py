@@ -245,6 +245,30 @@ def test_near_copies_are_exact(spark, odd, empty, monkeypatch):
     assert near_copies.deduplicated(empty).collect() == []
 
 
+def test_near_copies_take_the_links_of_the_fingerprints(spark):
+    rng = random.Random(3)
+    texts = []
+    for _ in range(40):
+        w = [f"w{rng.randint(0, 999)}" for _ in range(400)]
+        texts.append(" ".join(w))
+        for k in rng.sample(range(400), rng.choice([1, 1, 30])):
+            w[k] = "edited"
+        texts.append(" ".join(w))
+    texts.append("z " * 300 + texts[0])
+    df = spark.createDataFrame(rows_of(list(enumerate(texts))), DOCS)
+    signed = near_copies._signed(df, "doc_id", "text").collect()
+    assert all(r.fp % 2**64 == simhash.fingerprint(texts[r.id], near_copies.SHINGLE) for r in signed)
+    want = set()
+    for a in signed:
+        for b in signed:
+            x, y = set(near_copies.shingles(texts[a.id])), set(near_copies.shingles(texts[b.id]))
+            if a.h < b.h and ((a.fp ^ b.fp) % 2**64).bit_count() <= simhash.RADIUS and len(x & y) >= 0.8 * len(x | y):
+                want.add((a.h, b.h))
+    nodes = spark.createDataFrame([(r.h, r.fp) for r in signed], "node long, fp long")
+    pairs, found = near_copies._by_fingerprint(df, "text", nodes)
+    assert want and {tuple(r) for r in found.collect()} == want <= {tuple(r) for r in pairs.collect()}
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------
 
 

@@ -1,11 +1,15 @@
-"""Near-duplicate classes by the Jaccard similarity of word shingles, held exactly: MinHash only proposes.
+"""Near-duplicate classes: SimHash fingerprints in BK-trees propose, the Jaccard similarity of word shingles decides.
 
 A text is the set of its shingles of `SHINGLE` words (A-Z lowered), by XXH64. Two texts are linked if the sets
 have a Jaccard similarity of at least `SIMILAR` percent; classes are the connected components of the links.
 
-1.  Every text gets BANDS keys, each over ROWS minima of its set. Texts of similarity 0.8 miss each other in all
+1.  Every text gets a fingerprint over its shingles. The BK-trees of `simhash.links` find the texts within
+    `simhash.RADIUS` bits, the sets verify these pairs, and the verified links are the first classes.
+    A fingerprint of 64 bits cannot reach all of 0.8: such texts differ in about 10 bits (18 to miss one in 500), and at
+    that radius a band has 3 bits and a search compares nearly all pairs. So the further links need keys:
+    every text also gets BANDS keys, each over ROWS minima of its set. Texts of similarity 0.8 miss each other in all
     keys with a probability of 8e-6, more similar ones with less; of similarity 0.4 they meet in one case of 25. Texts of
-    equal sets are one node from then on.
+    equal sets are one node from the start.
 2.  In the bucket of a key every node is paired with one leader, unless the sizes of the sets rule the similarity out;
     the pairs are verified on the sets, and the verified links merged into classes. As long as a bucket holds several
     classes, this is repeated with other leaders, so a large group of near copies costs a few pairs per node.
@@ -51,8 +55,8 @@ _B = _rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text."""
+def hashes(text: str | None) -> np.ndarray:
+    """The shingle hashes of a text, repeats included."""
     found = lower_words(text)
     if not found:
         return np.zeros(0, np.uint64)
@@ -61,7 +65,17 @@ def shingles(text: str | None) -> np.ndarray:
     starts = np.concatenate([[0], ends[:-1] + 1])[: max(len(found) - SHINGLE + 1, 1)].tolist()
     stops = ends[min(SHINGLE, len(found)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64))
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)], np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct shingle hashes of a text."""
+    return np.unique(hashes(text))
+
+
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of shingle hashes, unsigned."""
+    return simhash.majority(found[k : k + simhash.PIECE] for k in range(0, len(found), simhash.PIECE))
 
 
 def keys(found: np.ndarray) -> np.ndarray:
@@ -78,19 +92,21 @@ def keys(found: np.ndarray) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """`id`, `h` (hash of the text), `s` and `size` (hash and size of the set) and `keys` of every row."""
+    """`id`, `h` (hash of the text), `s` and `size` (hash and size of the set), `fp` and `keys` of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(x.as_py()) for x in batch.column(2)]
+            every = [hashes(x.as_py()) for x in batch.column(2)]
+            fp = np.array([fingerprint(x) for x in every], np.uint64).view(np.int64)
+            sets = [np.unique(x) for x in every]
             s = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], np.uint64).view(np.int64)
             flat = np.concatenate([keys(x) for x in sets]) if sets else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(flat))
             size = pa.array([len(x) for x in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), size, lists], names=["id", "h", "s", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), size, pa.array(fp), lists], names=["id", "h", "s", "size", "fp", "keys"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "id bigint, h bigint, s bigint, size bigint, keys array<bigint>")
+    return rows.mapInArrow(run, "id bigint, h bigint, s bigint, size bigint, fp bigint, keys array<bigint>")
 
 
 def _sets(docs: DataFrame, text: str, nodes: DataFrame) -> DataFrame:
@@ -177,9 +193,19 @@ def _rest(docs: DataFrame, text: str, rows: DataFrame, several: DataFrame) -> Da
     return found
 
 
-def _roots(docs: DataFrame, text: str, buckets: DataFrame) -> DataFrame | None:
-    """(`node`, `root`) of all linked nodes, from `buckets` (key, node, size)."""
-    roots = tested = None
+def _by_fingerprint(docs: DataFrame, text: str, nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs that the trees over the fingerprints of `nodes` (node, fp) propose, and those that the sets verify."""
+    least = written(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    same = nodes.join(least, "fp").filter("node != first").select(*_ordered(F.col("node"), F.col("first")))
+    near = simhash.links(least.select("fp", F.col("first").alias("node"))).select(*_ordered(F.col("a"), F.col("b")))
+    pairs = written(same.unionAll(near).distinct())
+    forgotten(least)
+    return pairs, None if pairs.isEmpty() else _similar(docs, text, pairs)
+
+
+def _roots(docs: DataFrame, text: str, buckets: DataFrame, tested: DataFrame, found: DataFrame | None) -> DataFrame | None:
+    """(`node`, `root`) of all linked nodes: by the links `found` among the pairs `tested`, then from `buckets` (key, node, size)."""
+    roots = None if found is None or found.isEmpty() else written(components(found))
     for turn in range(ROUNDS + 1):
         rows = buckets.withColumn("root", F.col("node"))
         if roots is not None:
@@ -198,10 +224,8 @@ def _roots(docs: DataFrame, text: str, buckets: DataFrame) -> DataFrame | None:
             near = rows.join(several, "key").filter(F.col("root") != F.col("leader.root"))
             near = near.filter(F.least("size", "leader.size") * 100 >= F.greatest("size", "leader.size") * SIMILAR)
             pairs = near.select(*_ordered(F.col("node"), F.col("leader.node"))).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = written(pairs)
-            tested = pairs if tested is None else tested.unionAll(pairs)
+            pairs = written(pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = tested.unionAll(pairs)
             found = None if pairs.isEmpty() else _similar(docs, text, pairs)
         forgotten(rows, several)
         if found is None or found.isEmpty():
@@ -224,13 +248,14 @@ def classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     """`id`, `h` and `component` (smallest id of the class) for every row."""
     signed = written(_signed(docs, doc_id, text))
     # The keys of equal sets are equal, so any row can give them.
-    nodes = written(signed.groupBy("s").agg(F.min("h").alias("node"), F.min("id").alias("least"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    nodes = written(signed.groupBy("s").agg(F.min("h").alias("node"), F.min("id").alias("least"), F.first("size").alias("size"),
+        F.min_by("fp", "h").alias("fp"), F.first("keys").alias("keys")))
     rows = written(signed.select("id", "h", "s"))
     forgotten(signed)
     placed = nodes.select("node", "size", F.explode("keys").alias("key"))
     shared = written(placed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
     buckets = written(placed.join(shared, "key"))
-    roots = _roots(docs, text, buckets)
+    roots = _roots(docs, text, buckets, *_by_fingerprint(docs, text, nodes.select("node", "fp")))
     known = nodes.select("s", "node", "least").withColumn("root", F.col("node"))
     if roots is not None:
         known = nodes.select("s", "node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -23,7 +23,7 @@ id share its class if their texts do; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +56,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
     stops = ends[min(shingle, len(found)) - 1 :].tolist()
-    counts = np.zeros((8, 256), np.int64)
-    offset = (np.arange(8) * 256)[None, :]
     digest = xxhash.xxh64_intdigest
-    for k in range(0, n, PIECE):
-        h = np.array([digest(joined[a:b], 42) for a, b in zip(starts[k : k + PIECE], stops[k : k + PIECE], strict=True)], np.uint64)
+    pieces = (zip(starts[k : k + PIECE], stops[k : k + PIECE], strict=True) for k in range(0, n, PIECE))
+    return majority(np.array([digest(joined[a:b], 42) for a, b in piece], np.uint64) for piece in pieces)
+
+
+def majority(pieces: Iterable[np.ndarray]) -> int:
+    """The bits that more than half of the hashes have, unsigned; the hashes come in pieces."""
+    counts, n = np.zeros((8, 256), np.int64), 0
+    offset = (np.arange(8) * 256)[None, :]
+    for h in pieces:
         counts += np.bincount((h.view(np.uint8).reshape(-1, 8) + offset).ravel(), minlength=2048).reshape(8, 256)
+        n += len(h)
     ones = (counts @ _BITS).ravel()  # bit k of the little-endian hash
     return sum(1 << k for k in np.flatnonzero(2 * ones > n).tolist())
 
