@@ -132,14 +132,16 @@ class Units:
         split = list(map(_UNIT.findall, texts))
         flat = list(chain.from_iterable(split))
         found = list(map(self.cache.get, flat))
-        new = {unit for unit, ids in zip(flat, found, strict=True) if ids is None}
-        if new:
+        at = [k for k, ids in enumerate(found) if ids is None]
+        if at:
+            new = set(map(flat.__getitem__, at))
             if len(self.cache) + len(new) > CACHE:
                 self.older, self.cache = self.cache, {}
             coded = {x: self.older[x] for x in new if x in self.older}
             coded |= self._coded(new.difference(coded))
             self.cache |= coded
-            found = [coded[unit] if ids is None else ids for unit, ids in zip(flat, found, strict=True)]
+            for k in at:
+                found[k] = coded[flat[k]]
         parts = iter(found)
         return [b"".join(islice(parts, len(units))) for units in split]
 
