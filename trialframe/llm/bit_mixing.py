@@ -287,8 +287,11 @@ class Decisions:
         self.hashes = _contexts(spelled, token, starts, topic) if len(spelled) else [np.zeros(0, np.uint64)] * CONTEXTS
 
     def slots(self, k: int) -> np.ndarray:
-        h = (self.hashes[k][self.byte] + self.node) * _K[0]
-        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        h = self.hashes[k][self.byte]
+        h += self.node
+        h *= _K[0]
+        h >>= np.uint64(64 - SLOT_BITS)
+        return h.view(np.int64)
 
 
 #: Counts are told apart exactly up to 5, then by these bounds.
