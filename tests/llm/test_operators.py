@@ -147,6 +147,20 @@ def test_line_dedup_inside_lines(spark):
     assert {i: t for i, (t, _) in got.items()} == deleted(dict(texts), line_dedup.MIN_WORDS)
 
 
+def test_line_dedup_cuts_as_its_pattern_says(spark):
+    """The pattern for Java cuts every text as PIECE does, and words are counted as WORD says."""
+    rng = random.Random(8)
+    signs = "ab é日\n\t\r.,!?;:…।؟。！？，、；：()\"'”’»]\u00a0\u0100😀-/9<>@\x00\x0b"
+    texts = ["".join(rng.choices(signs, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["aé日" * 100_000, "日a" * 200_000 + ".", ".…" * 200_000, ". " + "”)" * 200_000, "a" * 1_000_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").coalesce(1).cache()
+    found = df.select("i", line_dedup.pieces(F.col("t")).alias("p")).collect()
+    assert all(r.p == re.findall(line_dedup.PIECE, texts[r.i]) for r in found)
+    counted = df.select("i", F.transform(line_dedup.pieces(F.col("t")), lambda x: F.trim(x, F.lit(line_dedup.BLANKS))).alias("p"), (~F.col("t").rlike(r"[\x09\x0B-\x0D]")).alias("plain"))
+    counted = counted.select("p", F.transform("p", lambda x: line_dedup._n_words(x, F.col("plain"))).alias("n"))
+    assert all(r.n == [len(words(x)) for x in r.p] for r in counted.filter("i < 3000").collect())
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.deduplicated(odd).collect()
     assert len(got) == odd.count()

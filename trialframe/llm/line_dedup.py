@@ -39,6 +39,11 @@ MIN_WORDS = 40
 WIDE = 6
 MARKS = r".!?,;:…।؟。！？，、；："
 PIECE = rf"""[^\n{MARKS}]*[\n{MARKS}]+[\x20\x09-\x0D)"'”’»\]]*|[^\n{MARKS}]+"""
+#: The same pieces for Java, which tests a class with wide characters one by one for every character of a text: those below
+#: 256 have classes of their own, and nothing is tried twice.
+_BODY = r"(?:[\x00-\x09\x0B-\x20\x22-\x2B\x2D\x2F-\x39\x3C-\x3E\x40-\xFF]++|[^\x00-\xFF…।؟。！？，、；：]++)"
+_ENDS = r"""(?:[\n.!?,;:]++|[…।؟。！？，、；：]++)++(?:[\x20\x09-\x0D)"'»\]]++|[”’]++)*+"""
+CUT = rf"{_BODY}++(?:{_ENDS})?+|{_ENDS}"
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -48,32 +53,43 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 def pieces(text: Column) -> Column:
     """The pieces of a text; joined they are the text."""
-    return F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(CUT), F.lit(0))
+
+
+def _n_words(piece: Column, plain: Column) -> Column:
+    """Words of a piece without the white space around it; in a `plain` text these stand between single blanks mostly."""
+    single = plain & ~F.contains(piece, F.lit("  ")) & ~F.contains(piece, F.lit("\n"))
+    blanks = F.octet_length(piece) - F.octet_length(F.replace(piece, F.lit(" ")))
+    return F.when(piece == "", 0).when(single, blanks + 1).otherwise(F.regexp_count(piece, F.lit(WORD)))
 
 
 def _pieces(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
     """Every text that can hold a window: key, and its worded pieces with place, hash and words."""
-    piece = F.transform(pieces(F.col(text)), lambda x, i: F.struct(
-        F.regexp_count(x, F.lit(WORD)).alias("words"), F.xxhash64(F.trim(x, F.lit(BLANKS))).alias("h"), i.alias("at"),
+    plain = ~F.rlike(F.col(text), F.lit(r"[\x09\x0B-\x0D]"))
+    stripped = F.transform(pieces(F.col(text)), lambda x: F.trim(x, F.lit(BLANKS)))
+    rows = packed(docs.filter(F.col(text).isNotNull()), key=_key(F.col(doc_id), F.col(text)), plain=plain, stripped=stripped)
+    piece = F.transform("stripped", lambda x, i: F.struct(
+        _n_words(x, F.col("plain")).alias("words"), F.xxhash64(x).alias("h"), i.alias("at"),
     ))
-    rows = packed(docs.filter(F.col(text).isNotNull()), key=_key(F.col(doc_id), F.col(text)), all=piece)
+    rows = computed(rows, "key", all=piece)
     rows = computed(rows, "key", pieces=F.filter("all", lambda x: x["words"] > 0))
     return rows.filter(F.aggregate("pieces", F.lit(0), lambda a, x: a + x["words"]) >= min_words)
 
 
 def _fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
     """The chosen piece of every window: key, hash `h`, and a hash `place` of key and position."""
-    none = F.struct(F.lit(0).alias("sum"), F.struct(F.lit(0).alias("words"), F.lit(0).cast("long").alias("h"), F.lit(0).alias("at")).alias("best"))
+    # more words first, then the hash, as one number: arrays of numbers are searched without comparing structs
+    rank = lambda x: F.shiftleft(F.least(x["words"], F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x["h"], 8))
+    rows = computed(rows, "key", "pieces", ranks=F.transform("pieces", rank), sizes=F.transform("pieces", lambda x: F.least(x["words"], F.lit(min_words))))
 
     def chosen(i: Column) -> Column:
-        return F.aggregate(
-            F.slice("pieces", i + 1, F.lit(WIDE)), none,
-            lambda a, x: F.when(a["sum"] >= min_words, a).otherwise(F.struct(
-                (a["sum"] + x["words"]).alias("sum"), F.greatest(a["best"], x).alias("best"))),
-            lambda a: a["best"],
-        )
-
-    best = F.array_distinct(F.transform("pieces", lambda x, i: chosen(i)))
+        # words times 16 and pieces, until the words suffice
+        seen = F.aggregate(F.slice("sizes", i + 1, F.lit(WIDE)), F.lit(0), lambda a, x: F.when(a >= 16 * min_words, a).otherwise(a + x * 16 + 1))
+        window = F.slice("ranks", i + 1, seen % 16)
+        return i + F.array_position(window, F.array_max(window)) - 1
+
+    best = F.array_distinct(F.transform("ranks", lambda x, i: chosen(i)))
+    best = F.transform(best, lambda i: F.get("pieces", i.cast("int")))
     return rows.select("key", F.explode(best).alias("x")).select("key", F.col("x.h").alias("h"), F.xxhash64("key", "x.at").alias("place"))
 
 
