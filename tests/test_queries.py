@@ -157,3 +157,14 @@ def test_a_fit_is_not_kept_for_changed_files(spark, tmp_path, monkeypatch):
     assert queries_eval.fitted(spark, str(tmp_path)) is first and len(fits) == 1
     events.where("user_id > 3").write.mode("overwrite").parquet(str(tmp_path / "events.parquet"))
     assert queries_eval.fitted(spark, str(tmp_path))[-1] == 2
+
+
+def test_a_written_table_leaves_no_shuffle(spark):
+    from trialframe.operators import lineage
+
+    before = spark.conf.get(lineage.CLEANED)
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    held = lambda: tracker.shuffleStatuses().size()
+    n = held()
+    done = lineage.written(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count())
+    assert held() <= n and done.count() == 7 and spark.conf.get(lineage.CLEANED) == before

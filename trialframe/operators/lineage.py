@@ -7,6 +7,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Shuffle files go when the query that made them ends, not when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def folder(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where none is set, one in the session's warehouse."""
     sc = spark.sparkContext
@@ -23,9 +27,17 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write a table as Parquet and read it back: later steps prune columns and push filters."""
+    """Write a table as Parquet and read it back: later steps prune columns and push filters.
+
+    Nothing reads the shuffles of the write again, so their files go with it."""
     path = f"{folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANED)
+    conf.set(CLEANED, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANED, before)
     settled = df.sparkSession.read.schema(df.schema).parquet(path)
     settled.settled_at = path
     return settled
