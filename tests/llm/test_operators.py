@@ -161,6 +161,18 @@ def test_line_dedup_cuts_as_its_pattern_says(spark):
     assert all(r.n == [len(words(x)) for x in r.p] for r in counted.filter("i < 3000").collect())
 
 
+def test_line_dedup_takes_on_only_documents_with_a_copied_window(spark):
+    """A long piece that stands in many documents is no fingerprint by itself; each copied window is one."""
+    common = "a b c d e f g h i. "
+    texts = {i: f"x{i} y. {common}z{i} w{i}. " for i in range(5)} | {7: "k l m n o. p q r. s t", 8: "u v. k l m n o. p q r. s t"}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    rows = line_dedup._pieces(docs, "doc_id", "text", 10).select("key.id", "prints", "n_pieces").collect()
+    prints = {r.id: set(r.prints) for r in rows}
+    assert [(a, b) for a in prints for b in prints if a < b and prints[a] & prints[b]] == [(7, 8)]
+    assert {r.id: len(r.prints) for r in rows} == {0: 2, 1: 2, 2: 2, 3: 2, 4: 2, 7: 1, 8: 2}
+    assert {r.n_pieces for r in rows} == {3, 4}
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.deduplicated(odd).collect()
     assert len(got) == odd.count()

@@ -8,18 +8,17 @@ ids come first). Pieces in a copy are deleted with the wordless ones between the
 whole. Of a passage that begins or ends inside a piece only the whole pieces count, which is why `min_words` is 40
 where passages of 50 words are meant. What stands before and behind a deleted run inside a line is joined.
 
-Winnowing: a window is the fewest pieces from one on that reach `min_words`. Its fingerprint is one of its first
-`WIDE` pieces, the least by (more words first, hash), so every shared window shares its fingerprint and long pieces,
-which rarely agree by chance, stand for it; neighbouring windows mostly choose the same. Positions are joined by
-fingerprint, and only documents with a fingerprint that stands elsewhere go on. There a match is extended both ways
-around a position: forward to the end of the window that starts at a piece, backward to the start of the shortest
-window that ends at it, as long as the pieces agree. A piece of a copied run lies in a copied window of one of
-the two kinds, so their union is exactly the set above.
+Winnowing: a window is the fewest pieces from one on that reach `min_words`, and its fingerprint a hash of them all, so
+a fingerprint that stands elsewhere nearly always means a copy. Places are joined by fingerprint, and only documents
+with a shared one go on. There a match is extended both ways around a piece: forward to the end of the window that
+starts at it, backward to the start of the shortest window that ends at it, as long as the pieces agree. A piece of a
+copied run lies in a copied window of one of the two kinds, so their union is exactly the set above; and a copied
+window that ends at a piece holds one that starts at its first piece, so the fingerprints lose none.
 
 Every occurrence is compared with the first one of its window only, never pair by pair. Aggregates are
 combined before the shuffle; the lookups join tables read from storage, so AQE can split a window that a third
-of the rows hold. The pieces of one document are ordered in one task, as a document is one row. Windows are equal
-if two hashes of their pieces (96 bits) and their numbers of words and pieces are.
+of the rows hold. Windows of a document are looked up in arrays, as a document is one row: the piece that holds the
+n-th word ends the window that starts n - 1 words before. Windows are equal if two hashes of their pieces (96 bits) are.
 
 Defined cases: rows that repeat both id and text are the same document and get the same result; a null or
 empty text stays as it is; a text without marks and line ends is one piece; an empty table gives an empty result.
@@ -35,8 +34,6 @@ from .words import WORD, computed, packed, unpacked
 
 #: Words of a copy in whole pieces.
 MIN_WORDS = 40
-#: A fingerprint is chosen among so many pieces of a window, or fewer where fewer reach `min_words`.
-WIDE = 6
 MARKS = r".!?,;:…।؟。！？，、；："
 PIECE = rf"""[^\n{MARKS}]*[\n{MARKS}]+[\x20\x09-\x0D)"'”’»\]]*|[^\n{MARKS}]+"""
 #: The same pieces for Java, which tests a class with wide characters one by one for every character of a text: those below
@@ -64,7 +61,7 @@ def _n_words(piece: Column, plain: Column) -> Column:
 
 
 def _pieces(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """Every text that can hold a window: key, and its worded pieces with place, hash and words."""
+    """Every text that is not null: key, number of pieces, the worded ones with place, hash and words, and fingerprints."""
     plain = ~F.rlike(F.col(text), F.lit(r"[\x09\x0B-\x0D]"))
     stripped = F.transform(pieces(F.col(text)), lambda x: F.trim(x, F.lit(BLANKS)))
     rows = packed(docs.filter(F.col(text).isNotNull()), key=_key(F.col(doc_id), F.col(text)), plain=plain, stripped=stripped)
@@ -72,64 +69,58 @@ def _pieces(docs: DataFrame, doc_id: str, text: str, min_words: int) -> DataFram
         _n_words(x, F.col("plain")).alias("words"), F.xxhash64(x).alias("h"), i.alias("at"),
     ))
     rows = computed(rows, "key", all=piece)
-    rows = computed(rows, "key", pieces=F.filter("all", lambda x: x["words"] > 0))
-    return rows.filter(F.aggregate("pieces", F.lit(0), lambda a, x: a + x["words"]) >= min_words)
+    rows = computed(rows, "key", n_pieces=F.size("all"), pieces=F.filter("all", lambda x: x["words"] > 0))
+    ahead = lambda b, i: F.xxhash64(F.slice("h", i + 1, F.get("of", b + (min_words - 1)) - i + 1))
+    prints = F.transform("begins", lambda b, i: F.when(b + min_words <= F.size("of"), ahead(b, i)))
+    return _by_word(rows, "n_pieces", "pieces").select("key", "n_pieces", "pieces", F.array_compact(prints).alias("prints"))
 
 
-def _fingerprints(rows: DataFrame, min_words: int) -> DataFrame:
-    """The chosen piece of every window: key, hash `h`, and a hash `place` of key and position."""
-    # more words first, then the hash, as one number: arrays of numbers are searched without comparing structs
-    rank = lambda x: F.shiftleft(F.least(x["words"], F.lit(127)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(x["h"], 8))
-    rows = computed(rows, "key", "pieces", ranks=F.transform("pieces", rank), sizes=F.transform("pieces", lambda x: F.least(x["words"], F.lit(min_words))))
-
-    def chosen(i: Column) -> Column:
-        # words times 16 and pieces, until the words suffice
-        seen = F.aggregate(F.slice("sizes", i + 1, F.lit(WIDE)), F.lit(0), lambda a, x: F.when(a >= 16 * min_words, a).otherwise(a + x * 16 + 1))
-        window = F.slice("ranks", i + 1, seen % 16)
-        return i + F.array_position(window, F.array_max(window)) - 1
-
-    best = F.array_distinct(F.transform("ranks", lambda x, i: chosen(i)))
-    best = F.transform(best, lambda i: F.get("pieces", i.cast("int")))
-    return rows.select("key", F.explode(best).alias("x")).select("key", F.col("x.h").alias("h"), F.xxhash64("key", "x.at").alias("place"))
+def _by_word(rows: DataFrame, *keep: str) -> DataFrame:
+    """Beside `pieces` their hashes `h`, the number of the piece `of` every word, and the first word of every piece, `begins`."""
+    of = F.flatten(F.transform("pieces.words", lambda n, i: F.array_repeat(i, n)))
+    first = F.flatten(F.transform("pieces.words", lambda n: F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), n - 1))))
+    begins = F.array_compact(F.transform(first, lambda x, i: F.when(x, i)))
+    return computed(rows, "key", *keep, h=F.col("pieces.h"), of=of, begins=begins)
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
     """Forward and backward windows of every document: key, first and last piece, content."""
-    rows = rows.select("key", F.inline("pieces"))
-    doc = Window.partitionBy("key")
-    before = doc.orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("begin", F.coalesce(F.sum("words").over(before), F.lit(0)).cast("long"))
-    rows = rows.withColumn("end", F.col("begin") + F.col("words"))
-    ahead = doc.orderBy("begin").rangeBetween(0, min_words - 1)
-    behind = doc.orderBy("end").rangeBetween(-(min_words - 1), 0)
-
-    def window(frame, way: str) -> list[Column]:
-        return [
-            F.sum("words").over(frame).alias(f"{way}_words"), F.min("at").over(frame).alias(f"{way}_from"),
-            F.max("at").over(frame).alias(f"{way}_to"), F.collect_list("h").over(frame).alias(f"{way}_all"),
-        ]
-
-    both = rows.select("key", *window(ahead, "a"), *window(behind, "b"))
-    packs = F.array(*[
-        F.struct(
-            F.col(f"{w}_words").cast("int").alias("words"), F.col(f"{w}_from").alias("from"), F.col(f"{w}_to").alias("to"),
-            F.xxhash64(F.col(f"{w}_all"), F.size(f"{w}_all")).alias("content"), F.hash(f"{w}_all").alias("more"),
-        ) for w in "ab"
-    ])
-    return both.select("key", F.inline(F.array_distinct(packs))).filter(F.col("words") >= min_words)
+    rows = _by_word(rows, "pieces")
+    pair = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))  # noqa: E731  of numbers among worded pieces
+    ahead = F.transform("begins", lambda b, i: pair(i, F.get("of", b + (min_words - 1))))
+    behind = F.transform("begins", lambda b, i: pair(F.get("of", b + F.get("pieces", i)["words"] - min_words), i))
+    rows = computed(rows, "key", "pieces", "h", pairs=F.array_distinct(F.array_compact(F.concat(ahead, behind))))
+    begin, end = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+
+    def window(x: Column) -> Column:
+        own = F.slice("h", begin(x) + 1, end(x) - begin(x) + 1)
+        return F.struct(
+            F.get("pieces", begin(x))["at"].alias("from"), F.get("pieces", end(x))["at"].alias("to"),
+            F.xxhash64(own, F.size(own)).alias("content"), F.hash(own).alias("more"),
+        )
+
+    return rows.select("key", F.inline(F.transform("pairs", window)))
 
 
 def copied_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Disjoint runs of pieces to delete: key, `from`, `to` (numbers of pieces from 0, both included)."""
     rows = written(_pieces(docs, doc_id, text, min_words))
-    prints = written(_fingerprints(rows, min_words))
-    known = prints.groupBy("h").agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("h")
-    matched = written(prints.join(known, "h").select("key").distinct())
+    runs = _runs(rows, min_words)
+    forgotten(rows)
+    return runs
+
+
+def _runs(rows: DataFrame, min_words: int) -> DataFrame:
+    """The same from the table of `_pieces`."""
+    prints = rows.select("key", F.posexplode("prints").alias("i", "h"))
+    places = prints.select("h", F.xxhash64("key", "i").alias("place")).groupBy("h")
+    known = written(places.agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("h"))
+    matched = written(prints.select("key", "h").join(known, "h").select("key").distinct())
     # Rows that repeat a document are one here.
-    windows = written(_windows(rows.join(matched, "key").dropDuplicates(["key"]), min_words))
-    forgotten(rows, prints, matched)
+    windows = written(_windows(rows.select("key", "pieces").join(matched, "key").dropDuplicates(["key"]), min_words))
+    forgotten(known, matched)
     own = F.struct("key", "from")
-    same = ["content", "more", "words"]
+    same = ["content", "more"]
     places = windows.groupBy(*same).agg(F.min(own).alias("first"), F.max(own).alias("last"))
     shared = written(places.filter("last > first").drop("last"))
     later = windows.join(shared, same).filter(own > F.col("first")).select("key", "from", "to")
@@ -144,12 +135,17 @@ def copied_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every row as `doc`, with `clean_text` (without copied runs), `n_pieces` and `n_removed`."""
-    runs = copied_runs(docs, doc_id, text, min_words)
+    rows = written(_pieces(docs, doc_id, text, min_words))
+    runs = _runs(rows, min_words)
     run = F.struct(F.col("from").alias("a"), F.col("to").alias("b"))
-    gone = written(runs.groupBy("key").agg(F.array_sort(F.collect_list(run)).alias("gone")))
-    # The runs grow with the corpus: the same join at every size, not a broadcast while they are few.
+    known = rows.select("key", "n_pieces", F.lit(None).alias("run")).unionAll(runs.select("key", F.lit(None), run))
+    known = known.groupBy("key").agg(F.max("n_pieces").alias("n_pieces"), F.collect_list("run").alias("gone"))
+    gone = written(known.select("key", "n_pieces", F.when(F.size("gone") > 0, F.array_sort("gone")).alias("gone")))
+    forgotten(rows, runs)
+    # The table grows with the corpus: the same join at every size, not a broadcast while it is small.
     df = packed(docs, key=_key(F.col(doc_id), F.col(text)), body=F.col(text)).join(gone.hint("merge"), "key", "left")
-    df = computed(df, "doc", "body", "gone", parts=pieces(F.col("body")))
+    # Texts that stay whole are not cut again.
+    df = computed(df, "doc", "body", "n_pieces", "gone", parts=F.when(F.col("gone").isNotNull(), pieces(F.col("body"))))
     edges = F.concat(
         F.array(F.struct(F.lit(-1).alias("a"), F.lit(-1).alias("b"))), F.col("gone"),
         F.array(F.struct(F.size("parts").alias("a"), F.size("parts").alias("b"))),
@@ -161,7 +157,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     stayed = F.array_join(F.flatten(stays), "")
     return computed(
         df, "doc", clean_text=F.when(F.col("gone").isNull(), F.col("body")).otherwise(stayed),
-        n_pieces=F.coalesce(F.size("parts"), F.lit(0)).cast("long"), n_removed=F.coalesce(removed, F.lit(0).cast("long")),
+        n_pieces=F.coalesce("n_pieces", F.lit(0)).cast("long"), n_removed=F.coalesce(removed, F.lit(0).cast("long")),
     )
 
 
