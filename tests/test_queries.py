@@ -159,6 +159,19 @@ def test_a_fit_is_not_kept_for_changed_files(spark, tmp_path, monkeypatch):
     assert queries_eval.fitted(spark, str(tmp_path))[-1] == 2
 
 
+@pytest.mark.parametrize("name", ["neuron_set_ablation", "selected_vs_random"])
+def test_queries_that_fit_sets_do_not_fit_all_units_beside(spark, monkeypatch, name):
+    from trialframe.plans import queries_eval
+
+    fits = []
+    fit = models.fit_linear
+    monkeypatch.setattr(models, "fit_linear", lambda *a, **k: fits.append(1) or fit(*a, **k))
+    for shared in ("_FITTED", "_PREPARED"):
+        monkeypatch.setattr(queries_eval, shared, {}, raising=False)
+    assert entry_point.queries()[name](spark, SF).count() > 0
+    assert len(fits) == 1
+
+
 def test_a_written_table_leaves_no_shuffle(spark):
     from trialframe.operators import lineage
 

@@ -210,24 +210,33 @@ def feature_scale(spark, sf):
     return M.feature_scale(features, labelled(spark, sf).where(TRAIN_RULE))
 
 
+_PREPARED: dict = {}
 _FITTED: dict = {}
 
 
-def fitted(spark, sf, loss: str = "logistic"):
-    """(binned, features, train, test, model) of the per-session baseline on all units.
+def prepared(spark, sf):
+    """(binned, features, train, test) of the per-session baselines, and the key of the session and the event files.
 
-    One model serves every evaluation of a session and a state of the event files (names, times and lengths).
+    The tables serve every fit of a session and a state of the event files (names, times and lengths).
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/events.parquet")
     state = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length")))
-    key = (spark.sparkContext.applicationId, *state.first(), loss)
-    if key not in _FITTED:
+    key = (spark.sparkContext.applicationId, *state.first())
+    if key not in _PREPARED:
         binned = written(counts(spark, sf)[0])
         features = cut(M.mean_rate_features(binned, B.N_CTX))
         tr = cut(labelled(spark, sf))
-        train, test = tr.where(TRAIN_RULE), tr.where(f"NOT ({TRAIN_RULE})")
-        _FITTED[key] = (binned, features, train, test, M.fit_linear(features, train, loss=loss))
-    return _FITTED[key]
+        _PREPARED[key] = (binned, features, tr.where(TRAIN_RULE), tr.where(f"NOT ({TRAIN_RULE})"))
+    return _PREPARED[key], key
+
+
+def fitted(spark, sf, loss: str = "logistic"):
+    """(binned, features, train, test, model) of the per-session baseline on all units, the model fitted once as well."""
+    tables, key = prepared(spark, sf)
+    if (*key, loss) not in _FITTED:
+        _, features, train, _ = tables
+        _FITTED[(*key, loss)] = (*tables, M.fit_linear(features, train, loss=loss))
+    return _FITTED[(*key, loss)]
 
 
 FITTED_SESSIONS = BASE + f"SELECT session, TRUE AS optimal FROM lab WHERE {TRAIN_RULE} GROUP BY session"
@@ -303,7 +312,7 @@ def sets_by_mode(spark, sf, k: int = 5):
 @query("neuron_set_ablation")
 def neuron_set_ablation(spark, sf):
     """The baseline fitted anew on the units of each input set, and on all units."""
-    _, features, train, test, _ = fitted(spark, sf)
+    (_, features, train, test), _ = prepared(spark, sf)
     every = features.select(*U).distinct().withColumn("set", F.lit("all"))
     sets = cut(sets_by_mode(spark, sf).select("set", *U).unionByName(every))
     names = ["criteria", "rate", "random", "all"]
@@ -321,7 +330,7 @@ def selected_vs_random(spark, sf):
     """Baselines fitted on the selected units and on as many random ones per region."""
     from ..operators import analyses as A
 
-    _, features, train, test, _ = fitted(spark, sf)
+    (_, features, train, test), _ = prepared(spark, sf)
     chosen = cut(sets_by_mode(spark, sf).where("set = 'criteria'").select(*U))
     matched = A.size_matched_random(B.units(B.spikes(spark, sf)), chosen, seed=9)
     sets = chosen.withColumn("set", F.lit("selected")).unionByName(matched.withColumn("set", F.lit("random")))
