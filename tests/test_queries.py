@@ -159,6 +159,32 @@ def test_a_fit_is_not_kept_for_changed_files(spark, tmp_path, monkeypatch):
     assert queries_eval.fitted(spark, str(tmp_path))[-1] == 2
 
 
+def test_a_fit_prepares_its_tables_in_few_jobs(spark, monkeypatch):
+    """Events are scanned for the trials and for the bins alone, and the state of their files is listed without a job."""
+    from trialframe.operators import lineage
+    from trialframe.plans import queries_eval
+
+    group = lambda name: spark.sparkContext.setLocalProperty("spark.jobGroup.id", name)
+    jobs = lambda name: len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    monkeypatch.setattr(queries_eval, "_PREPARED", {})
+    scans = []
+    spikes = queries_eval.B.spikes
+    monkeypatch.setattr(queries_eval.B, "spikes", lambda *a: scans.append(1) or spikes(*a))
+    group("state")
+    assert lineage.file_state(spark, f"{SF}/events.parquet")[0] == 1
+    group("prepared")
+    binned, features, train, test = queries_eval.prepared(spark, SF)[0]
+    group(None)
+    assert jobs("state") == 0 and jobs("prepared") <= 10 and len(scans) == 1
+    # the same tables as from the operators without settled trials
+    like = queries_eval.counts(spark, SF)[0]
+    assert rows_of(binned.columns, binned.collect()) == rows_of(like.columns, like.collect())
+    like = queries_eval.M.mean_rate_features(like, queries_eval.B.N_CTX)
+    assert rows_of(features.columns, features.collect()) == rows_of(like.columns, like.collect())
+    like = queries_eval.labelled(spark, SF)
+    assert rows_of(like.columns, train.unionAll(test).collect()) == rows_of(like.columns, like.collect())
+
+
 @pytest.mark.parametrize("name", ["neuron_set_ablation", "selected_vs_random"])
 def test_queries_that_fit_sets_do_not_fit_all_units_beside(spark, monkeypatch, name):
     from trialframe.plans import queries_eval

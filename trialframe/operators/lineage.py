@@ -49,3 +49,15 @@ def forgotten(*tables: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(df.settled_at)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def file_state(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Number of files below a path and a hash of their names, times and lengths: a listing by the driver, without a job."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(sc._jsc.hadoopConfiguration()).listFiles(root, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getModificationTime(), f.getLen()))
+    return len(found), hash(tuple(sorted(found)))

@@ -134,9 +134,10 @@ def fit_linear(
         F.count("*").alias("_d"), F.sum("_r").alias("_r")
     )
     large = per_unit.join(per_session, "session").where(F.greatest("_r", F.col("_d") * F.col("_n"), "_n") > cells)
-    large = written(large.select("session"))
+    large = large.select("session")
     if large.isEmpty():
         return _fit_in_tasks(features, trials, c, tolerance, loss)
+    large = written(large)
     parts = [
         _fit_in_tasks(features.join(large, "session", "left_anti"), trials.join(large, "session", "left_anti"), c, tolerance, loss),
         _fit_by_joins(

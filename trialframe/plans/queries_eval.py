@@ -12,7 +12,7 @@ from ..operators import raster as R
 from ..operators import selection as sel
 from ..operators import stats
 from ..operators import summary as SM
-from ..operators.lineage import cut, written
+from ..operators.lineage import cut, file_state, written
 from ..schema import CLASSES, REGIONS
 from . import binding as B
 from .queries_raster import U, UK, counts, unit_trials
@@ -219,13 +219,15 @@ def prepared(spark, sf):
 
     The tables serve every fit of a session and a state of the event files (names, times and lengths).
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{sf}/events.parquet")
-    state = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length")))
-    key = (spark.sparkContext.applicationId, *state.first())
+    key = (spark.sparkContext.applicationId, *file_state(spark, f"{sf}/events.parquet"))
     if key not in _PREPARED:
-        binned = written(counts(spark, sf)[0])
-        features = cut(M.mean_rate_features(binned, B.N_CTX))
-        tr = cut(labelled(spark, sf))
+        # Trials are settled first: events are read once for them and once for the bins, and a small table of trials is
+        # known to be small before the events are shuffled.
+        sp = B.spikes(spark, sf)
+        trials = written(B.trials(sp))
+        binned = written(B.binned(sp, trials))
+        features = written(M.mean_rate_features(binned, B.N_CTX))
+        tr = trials.where("label IS NOT NULL").select("session", "trial", "label")
         _PREPARED[key] = (binned, features, tr.where(TRAIN_RULE), tr.where(f"NOT ({TRAIN_RULE})"))
     return _PREPARED[key], key
 
