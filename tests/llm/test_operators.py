@@ -173,6 +173,16 @@ def test_line_dedup_takes_on_only_documents_with_a_copied_window(spark):
     assert {r.n_pieces for r in rows} == {3, 4}
 
 
+def test_line_dedup_compares_only_windows_from_shared_places(spark):
+    docs = spark.createDataFrame([(1, "a b. c d. e. f g h. i. j k. l m.")], "doc_id long, text string")
+    rows = line_dedup._pieces(docs, "doc_id", "text", 4).select("key", "pieces")
+    windows = lambda *starts: sorted((r["from"], r["to"]) for r in line_dedup._windows(
+        rows.withColumn("starts", F.array(*[F.lit(x) for x in starts])), 4).collect())
+    assert windows(2) == [(2, 3)]
+    assert windows(1, 3) == [(1, 3), (3, 4), (3, 5)]
+    assert windows(*range(6)) == [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (3, 5), (4, 6), (5, 6)]
+
+
 def test_line_dedup_odd(odd, empty):
     got = line_dedup.deduplicated(odd).collect()
     assert len(got) == odd.count()

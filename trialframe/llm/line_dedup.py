@@ -9,8 +9,8 @@ whole. Of a passage that begins or ends inside a piece only the whole pieces cou
 where passages of 50 words are meant. What stands before and behind a deleted run inside a line is joined.
 
 Winnowing: a window is the fewest pieces from one on that reach `min_words`, and its fingerprint a hash of them all, so
-a fingerprint that stands elsewhere nearly always means a copy. Places are joined by fingerprint, and only documents
-with a shared one go on. There a match is extended both ways around a piece: forward to the end of the window that
+a fingerprint that stands elsewhere nearly always means a copy. Places are joined by fingerprint, and only the
+places of shared ones go on. There a match is extended both ways around a piece: forward to the end of the window that
 starts at it, backward to the start of the shortest window that ends at it, as long as the pieces agree. A piece of a
 copied run lies in a copied window of one of the two kinds, so their union is exactly the set above; and a copied
 window that ends at a piece holds one that starts at its first piece, so the fingerprints lose none.
@@ -84,11 +84,15 @@ def _by_word(rows: DataFrame, *keep: str) -> DataFrame:
 
 
 def _windows(rows: DataFrame, min_words: int) -> DataFrame:
-    """Forward and backward windows of every document: key, first and last piece, content."""
-    rows = _by_word(rows, "pieces")
+    """Forward and backward windows from the pieces numbered in `starts` (ascending): key, first and last piece, content."""
+    rows = _by_word(rows, "pieces", "starts")
+    gap = lambda x, i: x - F.coalesce(F.get("starts", i - 1), F.lit(-1)) - 1
+    begun = F.flatten(F.transform("starts", lambda x, i: F.concat(F.array_repeat(F.lit(False), gap(x, i)), F.array(F.lit(True)))))
+    rows = computed(rows, "key", "pieces", "h", "of", "begins", "starts", begun=begun)
     pair = lambda a, b: F.shiftleft(a.cast("long"), 32).bitwiseOR(b.cast("long"))  # noqa: E731  of numbers among worded pieces
-    ahead = F.transform("begins", lambda b, i: pair(i, F.get("of", b + (min_words - 1))))
-    behind = F.transform("begins", lambda b, i: pair(F.get("of", b + F.get("pieces", i)["words"] - min_words), i))
+    ahead = F.transform("starts", lambda i: pair(i, F.get("of", F.get("begins", i) + (min_words - 1))))
+    first = lambda b, i: F.get("of", b + F.get("pieces", i)["words"] - min_words)
+    behind = F.transform("begins", lambda b, i: F.when(F.get("begun", first(b, i)), pair(first(b, i), i)))
     rows = computed(rows, "key", "pieces", "h", pairs=F.array_distinct(F.array_compact(F.concat(ahead, behind))))
     begin, end = (lambda x: F.shiftright(x, 32).cast("int")), (lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
 
@@ -115,7 +119,8 @@ def _runs(rows: DataFrame, min_words: int) -> DataFrame:
     prints = rows.select("key", F.posexplode("prints").alias("i", "h"))
     places = prints.select("h", F.xxhash64("key", "i").alias("place")).groupBy("h")
     known = written(places.agg(F.min("place").alias("a"), F.max("place").alias("b")).filter("a < b").select("h"))
-    matched = written(prints.select("key", "h").join(known, "h").select("key").distinct())
+    matched = prints.join(known, "h").groupBy("key").agg(F.array_sort(F.collect_set("i")).alias("starts"))
+    matched = written(matched)
     # Rows that repeat a document are one here.
     windows = written(_windows(rows.select("key", "pieces").join(matched, "key").dropDuplicates(["key"]), min_words))
     forgotten(known, matched)
