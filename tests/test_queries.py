@@ -135,6 +135,30 @@ def test_sessions_fitted_in_tasks_and_by_joins_agree_in_few_jobs(spark):
         assert all(one[k] == pytest.approx(two[k], abs=1e-6) for k in one)
 
 
+def test_margin_fits_end_where_plain_steps_run_away(spark):
+    """Small sessions that Barzilai-Borwein steps alone do not fit within 2000 steps."""
+    names, rows, labels = ["Ignore", "Left", "Right"], [], []
+    for seed in (2375, 637):
+        rng = np.random.default_rng(seed)
+        n, d = int(rng.integers(4, 14)), int(rng.integers(1, 7))
+        y = np.arange(n) % 2 + 1
+        y[rng.random(n) < 0.3] = 0
+        x = rng.poisson(rng.gamma(0.4, 2, (n, d))).astype(float)
+        x = x[:, [0] * d] if seed % 2 else x
+        labels += [(seed, i, names[y[i]]) for i in range(n)]
+        rows += [(seed, "r", u, i, float(x[i, u])) for i in range(n) for u in range(d) if x[i, u] > 0]
+    train = spark.createDataFrame(labels, "session long, trial long, label string")
+    feats = spark.createDataFrame(rows, "session long, region string, unit long, trial long, x double")
+    model = models.fit_linear(feats, train, loss="squared_hinge")
+    gaps = models.optimality(feats, train, model, loss="squared_hinge").collect()
+    assert len(gaps) == 2 and all(r["gap"] <= 1.001 * models.TOLERANCE for r in gaps)
+    one = "session = 2375"
+    joined = models.fit_linear(feats.where(one), train.where(one), loss="squared_hinge", cells=0)
+    for part in ("coef", "offset"):
+        here, there = ({tuple(r[:-3]): r[-3:] for r in getattr(m, part).where(one).collect()} for m in (model, joined))
+        assert here.keys() == there.keys() and all(here[k] == pytest.approx(there[k], abs=1e-6) for k in here)
+
+
 def test_a_set_without_units_is_fitted_by_its_intercepts(spark):
     train = spark.createDataFrame([("s", i, c) for i, c in enumerate(["Left", "Left", "Right"])], "session string, trial long, label string")
     feats = spark.createDataFrame([("s", "r", 1, 0, 2.0), ("s", "r", 1, 1, 1.0)], "session string, region string, unit long, trial long, x double")

@@ -7,14 +7,17 @@ features with coefficients summed per trial, and a join of features with residua
 is folded into these sums (x' = (x - m) / s), so zero counts never become rows. Both ways take the same steps.
 
 Objective per session: C * sum_i w_i loss_i + |beta|^2 / 2, balanced weights, intercept not penalised.
-Steps follow the Barzilai-Borwein rule per session; the penalty bounds the step by 1. A session is done, and
-stands still, when no component of its gradient exceeds `TOLERANCE` times C times its summed weights; the fit ends
+Step sizes follow the Barzilai-Borwein rules per session, and per class where the loss treats classes apart (margin).
+These rules alone need not end on a loss that is not quadratic, so a step is taken only where the objective falls below
+the highest of its last `MEMORY` values; else it is tried again, shorter. A class is done, and stands still, when no component
+of its gradient exceeds `TOLERANCE` times C times the summed weights of the session; the fit ends
 when all are done, and raises an error if some never get there. Joins on a trial read both sides from storage or a
 shuffle, so AQE splits a trial that holds a large share of the rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,8 +37,12 @@ TRIAL = ["session", "trial"]
 C = range(len(CLASSES))
 #: Largest gradient component of a finished fit, as a share of C times the summed weights.
 TOLERANCE = 1e-4
-#: A fit that takes more steps than this has failed.
+#: A fit that takes more steps than this, those tried again included, has failed.
 MAX_STEPS = 2000
+#: Values of the objective a step is held against, the share of the linear decrease it has to bring, and the rounding allowed.
+MEMORY, DECREASE, ROUNDING = 10, 1e-4, 1e-12
+#: The short step of the two rules (or the one before, if shorter) is taken where it is below this share of the long one.
+SHORT = 0.8
 #: Cells and feature rows of a session that is fitted inside one task: 8 MB as a matrix, some 40 MB as rows.
 CELLS = 1 << 20
 
@@ -89,30 +96,35 @@ def _weights(train: DataFrame) -> DataFrame:
     )
 
 
-def _residuals(loss: str) -> list[Column]:
-    """Derivative of the loss in each class score, zero for classes the session lacks."""
+def _losses(loss: str) -> tuple[list[Column], list[Column]]:
+    """Parts of the loss by class and its derivative in each class score, zero for classes the session lacks."""
     if loss == "logistic":
         # the largest score is taken out before exp
         top = F.greatest(*[F.when(F.col(f"has_{k}"), F.col(f"z_{k}")) for k in C])
         e = [F.when(F.col(f"has_{k}"), F.exp(F.col(f"z_{k}") - top)).otherwise(0.0) for k in C]
         total = add(e)
-        return [F.when(F.col(f"has_{k}"), e[k] / total - (F.col("y") == k).cast("double")).otherwise(0.0) for k in C]
+        values = [F.when(F.col("y") == k, F.ln(total) + top - F.col(f"z_{k}")).otherwise(0.0) for k in C]
+        return values, [
+            F.when(F.col(f"has_{k}"), e[k] / total - (F.col("y") == k).cast("double")).otherwise(0.0) for k in C
+        ]
     if loss == "squared_hinge":
-        out = []
+        values, out = [], []
         for k in C:
             sign = F.when(F.col("y") == k, 1.0).otherwise(-1.0)
             slack = F.greatest(1.0 - sign * F.col(f"z_{k}"), F.lit(0.0))
+            values.append(F.when(F.col(f"has_{k}"), slack * slack).otherwise(0.0))
             out.append(F.when(F.col(f"has_{k}"), -2.0 * sign * slack).otherwise(0.0))
-        return out
+        return values, out
     raise ValueError(loss)
 
 
 def _gradients(rows: DataFrame, trials: DataFrame, model: LinearModel, loss: str) -> tuple[DataFrame, DataFrame]:
-    """Weighted residuals summed with x per unit (`sum_xr_k`) and alone per session (`sum_r_k`)."""
+    """Weighted residuals summed with x per unit (`sum_xr_k`) and alone per session (`sum_r_k`), there the loss as well (`sum_l_k`)."""
     scored = _trial_scores(rows, trials, model)
-    res = scored.select(*TRIAL, *[(F.col("w") * r).alias(f"r_{k}") for k, r in enumerate(_residuals(loss))])
-    per_session = res.groupBy("session").agg(*[F.sum(f"r_{k}").alias(f"sum_r_{k}") for k in C])
-    per_unit = rows.join(res, TRIAL).groupBy(*U).agg(*[F.sum(F.col("x") * F.col(f"r_{k}")).alias(f"sum_xr_{k}") for k in C])
+    parts = {f"{v}_{k}": F.col("w") * part for v, of in zip("lr", _losses(loss)) for k, part in enumerate(of)}
+    res = scored.select(*TRIAL, *[part.alias(name) for name, part in parts.items()])
+    per_session = res.groupBy("session").agg(*[F.sum(name).alias(f"sum_{name}") for name in parts])
+    per_unit = rows.join(res.drop(*[f"l_{k}" for k in C]), TRIAL).groupBy(*U).agg(*[F.sum(F.col("x") * F.col(f"r_{k}")).alias(f"sum_xr_{k}") for k in C])
     return per_unit, per_session
 
 
@@ -208,25 +220,48 @@ def _fit_session(
     penalty[-1] = 0.0
     first = 1.0 / (1.0 + c * (0.5 if loss == "logistic" else 2.0) * w.sum() * z.shape[1])
     beta, old, old_gradient = (np.zeros((z.shape[1], len(CLASSES))) for _ in range(3))
+    # by class; zero for the size of a class that is done
+    size, short, old_value, slope = np.full(len(CLASSES), first), np.full(len(CLASSES), np.inf), 0.0, 0.0
+    past = np.full((MEMORY, len(CLASSES)), np.inf)
     for _ in range(MAX_STEPS):
         score = z @ beta
         if loss == "logistic":
-            e = np.where(has, np.exp(np.where(has, score, -np.inf) - score[:, has].max(axis=1, keepdims=True)), 0.0)
-            residual = e / e.sum(axis=1, keepdims=True) - own
+            rest = np.where(has, score, -np.inf) - score[:, has].max(axis=1, keepdims=True)
+            e = np.exp(rest)
+            total = e.sum(axis=1, keepdims=True)
+            lost, residual = np.where(own, np.log(total) - rest, 0.0), e / total - own
         else:
             sign = np.where(own, 1.0, -1.0)
-            residual = -2.0 * sign * np.maximum(1.0 - sign * score, 0.0)
+            slack = np.maximum(1.0 - sign * score, 0.0)
+            lost, residual = slack * slack, -2.0 * sign * slack
         gradient = c * (z.T @ (w[:, None] * np.where(has, residual, 0.0))) + penalty * beta
-        if np.abs(gradient).max() <= tolerance * c * w.sum():
+        value = _together(c * (w @ np.where(has, lost, 0.0)) + 0.5 * (penalty * beta * beta).sum(axis=0), loss)
+        size = np.where(_together(np.abs(gradient).max(axis=0), loss, np.max) <= tolerance * c * w.sum(), 0.0, size)
+        if not size.any():
             raw = beta[:-1] / sd[:, None]
             return raw, beta[-1] - mean @ raw
+        good = (size == 0) | (value <= past.max(axis=0) * (1.0 + ROUNDING) - DECREASE * size * slope)
         step, change = beta - old, gradient - old_gradient
-        sy = (step * change).sum()
-        size = min(max((step * step).sum() / sy if sy > 0 else first, first), 1.0)
-        old, old_gradient, beta = beta, gradient, beta - size * gradient
+        ss, sy, yy = (_together((a * b).sum(axis=0), loss) for a, b in ((step, step), (step, change), (change, change)))
+        with np.errstate(all="ignore"):
+            long, now = ss / sy, sy / yy
+            next_size = np.where(sy > 0, np.where(now < SHORT * long, np.minimum(now, short), long), first)
+            again = size * np.clip(np.nan_to_num(size * slope / (2.0 * (value - old_value + size * slope))), 0.1, 0.5)
+        size = np.where(size == 0, 0.0, np.where(good, next_size, again))
+        short = np.where(good & (sy > 0), now, short)
+        past = np.where(good, np.vstack([value, np.where(np.isinf(past[:-1]), value, past[:-1])]), past)
+        old_value = np.where(good, value, old_value)
+        slope = np.where(good, _together((gradient * gradient).sum(axis=0), loss), slope)
+        old, old_gradient = np.where(good, beta, old), np.where(good, gradient, old_gradient)
+        beta = old - size * old_gradient
     raise RuntimeError(f"no fit within {MAX_STEPS} steps")
 
 
+def _together(by_class: np.ndarray, loss: str, of: Callable = np.sum) -> np.ndarray:
+    """One number for all classes where the loss couples them."""
+    return np.full_like(by_class, of(by_class)) if loss == "logistic" else by_class
+
+
 def _fit_by_joins(features: DataFrame, train: DataFrame, *, c: float, tolerance: float, loss: str) -> LinearModel:
     """The same for sessions of any size, all of them step by step together.
 
@@ -250,44 +285,76 @@ def _fit_by_joins(features: DataFrame, train: DataFrame, *, c: float, tolerance:
     beta = scale.withColumns(state)
     # intercepts are one more row per session with x = 1, m = 0, s = 1 and no penalty
     icept = first.select("session").withColumns(state)
+    none = F.array().cast("array<double>")
+    steps = first.withColumns({
+        **{f"size_{k}": F.col("a0") for k in C}, **{f"short_{k}": F.lit(float("inf")) for k in C},
+        **{f"{v}_{k}": F.lit(0.0) for v in ("value", "slope") for k in C}, **{f"past_{k}": none for k in C},
+    })
+    moving = F.greatest(*[F.col(f"size_{k}") for k in C]) > 0
+    sums = [f"sum_{v}_{k}" for v in ("xr", "r", "l") for k in C]
     old: list[DataFrame] = []
     for _ in range(MAX_STEPS):
         grads, per_session = _gradients(rows, trials, _raw(beta, icept), loss)
         beta = attach(beta.join(grads, U, "left"), per_session, ["session"], ["unit"])
-        g = {f"g_{k}": _unit_gradient(k, c, F.col(f"b_{k}")) for k in C}
-        beta = written(beta.withColumns(g).drop(*[f"sum_{p}_{k}" for p in ("xr", "r") for k in C]))
+        beta = beta.withColumns({f"g_{k}": _unit_gradient(k, c, F.col(f"b_{k}")) for k in C})
+        beta = written(beta.withColumns({f"l_{k}": 0.5 * F.col(f"b_{k}") * F.col(f"b_{k}") for k in C}).drop(*sums))
         icept = icept.join(per_session, "session").withColumns({f"g_{k}": c * F.col(f"sum_r_{k}") for k in C})
-        icept = written(icept.drop(*[f"sum_r_{k}" for k in C]))
-        alpha = written(_step_sizes(beta, icept, first))
+        icept = written(icept.withColumns({f"l_{k}": c * F.col(f"sum_l_{k}") for k in C}).drop(*sums))
+        steps = written(_step_sizes(beta, icept, steps, loss))
         forgotten(*old)
-        old = [beta, icept, alpha]
-        if alpha.where("alpha > 0").isEmpty():
+        old = [beta, icept, steps]
+        if steps.where(moving).isEmpty():
             break
-        beta = _advance(attach(beta, alpha, ["session"], ["unit"]))
-        icept = _advance(icept.join(alpha, "session"))
+        sizes = steps.select("session", *[f"{v}_{k}" for v in ("size", "good") for k in C])
+        beta = _advance(attach(beta, sizes, ["session"], ["unit"]))
+        icept = _advance(icept.join(sizes, "session"))
     else:
-        raise RuntimeError(f"no fit within {MAX_STEPS} steps for {alpha.where('alpha > 0').count()} sessions")
+        raise RuntimeError(f"no fit within {MAX_STEPS} steps for {steps.where(moving).count()} sessions")
     model = _raw(beta, icept)
     return LinearModel(written(model.coef), written(model.offset))
 
 
-def _step_sizes(beta: DataFrame, icept: DataFrame, first: DataFrame) -> DataFrame:
-    """The next step of every session; zero for one that is done."""
+def _step_sizes(beta: DataFrame, icept: DataFrame, steps: DataFrame, loss: str) -> DataFrame:
+    """`steps` after one more point: whether it is taken (`good_k`) and the next size by class; zero for one that is done."""
+    names = ("ss", "sy", "yy", "gg", "l")
 
     def products(df: DataFrame) -> DataFrame:
-        ds = [F.col(f"b_{k}") - F.col(f"pb_{k}") for k in C]
-        dg = [F.col(f"g_{k}") - F.col(f"pg_{k}") for k in C]
-        return df.groupBy("session").agg(
-            F.sum(add(s * s for s in ds)).alias("ss"), F.sum(add(s * y for s, y in zip(ds, dg))).alias("sy"),
-            F.max(F.greatest(*[F.abs(F.col(f"g_{k}")) for k in C])).alias("top"),
-        )
+        out = []
+        for k in C:
+            ds, dg, g = F.col(f"b_{k}") - F.col(f"pb_{k}"), F.col(f"g_{k}") - F.col(f"pg_{k}"), F.col(f"g_{k}")
+            out += [F.sum(v).alias(f"{n}_{k}") for n, v in zip(names, (ds * ds, ds * dg, dg * dg, g * g, F.col(f"l_{k}")))]
+            out.append(F.max(F.abs(g)).alias(f"top_{k}"))
+        return df.groupBy("session").agg(*out)
+
+    def together(name: str, k: int) -> Column:
+        by_class = [F.col(f"{name}_{i}") for i in C]
+        if loss != "logistic":
+            return by_class[k]
+        return F.greatest(*by_class) if name == "top" else add(by_class)
 
     both = products(beta).unionByName(products(icept)).groupBy("session").agg(
-        F.sum("ss").alias("ss"), F.sum("sy").alias("sy"), F.max("top").alias("top")
+        *[F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in names for k in C], *[F.max(f"top_{k}").alias(f"top_{k}") for k in C]
     )
-    ratio = F.when(F.col("sy") > 0, F.col("ss") / F.col("sy"))
-    size = F.least(F.greatest(F.coalesce(ratio, F.col("a0")), F.col("a0")), F.lit(1.0))
-    return both.join(first, "session").select("session", F.when(F.col("top") <= F.col("bound"), 0.0).otherwise(size).alias("alpha"))
+    both = both.select("session", *[together(n, k).alias(f"{n}_{k}") for n in (*names, "top") for k in C])
+    out = []
+    for k in C:
+        ss, sy, yy, gg, value, top = (F.col(f"{n}_{k}") for n in (*names, "top"))
+        size, short, old_value, slope, past = (F.col(f"{n}_{k}") for n in ("size", "short", "value", "slope", "past"))
+        done = (size == 0) | (top <= F.col("bound"))
+        highest = F.coalesce(F.array_max(past), F.lit(float("inf")))
+        good = done | (value <= highest * (1.0 + ROUNDING) - DECREASE * size * slope)
+        long, now = F.when(sy > 0, ss / sy), F.when(sy > 0, sy / yy)
+        next_size = F.coalesce(F.when(now < SHORT * long, F.least(now, short)).otherwise(long), F.col("a0"))
+        share = size * slope / (2.0 * (value - old_value + size * slope))
+        again = size * F.least(F.greatest(share, F.lit(0.1)), F.lit(0.5))
+        new = {
+            "good": good, "size": F.when(done, 0.0).when(good, next_size).otherwise(again),
+            "short": F.when(good, F.coalesce(now, short)).otherwise(short), "value": F.when(good, value).otherwise(old_value),
+            "slope": F.when(good, gg).otherwise(slope),
+            "past": F.when(good, F.slice(F.concat(F.array(value), past), 1, MEMORY)).otherwise(past),
+        }
+        out += [v.alias(f"{n}_{k}") for n, v in new.items()]
+    return both.join(steps, "session").select("session", "a0", "bound", *out)
 
 
 def optimality(
@@ -310,13 +377,12 @@ def optimality(
 
 
 def _advance(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {
-            **{f"pb_{k}": F.col(f"b_{k}") for k in C},
-            **{f"pg_{k}": F.col(f"g_{k}") for k in C},
-            **{f"b_{k}": F.col(f"b_{k}") - F.col("alpha") * F.col(f"g_{k}") for k in C},
-        }
-    ).drop("alpha", *[f"g_{k}" for k in C])
+    """The next point to try, from the last one that was taken."""
+    new = {}
+    for k in C:
+        taken = {v: F.when(F.col(f"good_{k}"), F.col(f"{v}_{k}")).otherwise(F.col(f"p{v}_{k}")) for v in ("b", "g")}
+        new |= {f"pb_{k}": taken["b"], f"pg_{k}": taken["g"], f"b_{k}": taken["b"] - F.col(f"size_{k}") * taken["g"]}
+    return df.withColumns(new).drop(*[f"{v}_{k}" for v in ("size", "good", "g", "l") for k in C])
 
 
 def _raw(beta: DataFrame, icept: DataFrame) -> LinearModel:
