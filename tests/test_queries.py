@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from tools.check import TABLES, rows_of
 from trialframe.operators import evaluation, models, stats
+from trialframe.plans.registry import BASE
 
 SF = "/root/testdata/sf0.001"
 
@@ -159,6 +160,23 @@ def test_margin_fits_end_where_plain_steps_run_away(spark):
         assert here.keys() == there.keys() and all(here[k] == pytest.approx(there[k], abs=1e-6) for k in here)
 
 
+def test_margin_queries_over_events_of_many_months(spark, tmp_path):
+    """32 copies of the events, 30 days apart: Barzilai-Borwein steps alone do not fit their session."""
+    days = F.explode(F.sequence(F.lit(0), F.lit(930), F.lit(30)))
+    events = spark.read.parquet(f"{SF}/events.parquet").withColumn("days", days)
+    later = F.col("ts") + F.make_dt_interval(F.col("days"))
+    events.withColumn("ts", later).drop("days").write.parquet(str(tmp_path / "events.parquet"))
+    names = ("margin_optimality", "margin_baseline")
+    whole, predicted = (entry_point.queries()[name](spark, str(tmp_path)) for name in names)
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    cur = c.execute(entry_point.oracle_sql()["margin_optimality"])
+    assert rows_of(whole.columns, [tuple(r) for r in whole.collect()]) == rows_of([d[0] for d in cur.description], cur.fetchall())
+    held = c.execute(BASE + "SELECT count(*) FROM lab WHERE trial % 4 = 0").fetchone()[0]
+    rows = predicted.collect()
+    assert len(rows) == held > 100 and {r["pred"] for r in rows} <= {0, 1, 2}
+
+
 def test_a_set_without_units_is_fitted_by_its_intercepts(spark):
     train = spark.createDataFrame([("s", i, c) for i, c in enumerate(["Left", "Left", "Right"])], "session string, trial long, label string")
     feats = spark.createDataFrame([("s", "r", 1, 0, 2.0), ("s", "r", 1, 1, 1.0)], "session string, region string, unit long, trial long, x double")

@@ -17,7 +17,7 @@ shuffle, so AQE splits a trial that holds a large share of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -208,6 +208,34 @@ def _places(asked: pa.ChunkedArray, known: pa.ChunkedArray) -> np.ndarray:
     return pc.fill_null(pc.index_in(asked, value_set=known.combine_chunks()), -1).to_numpy().astype(np.int64)
 
 
+class _Step:
+    """The size of the next step of a session, or of one of its classes where the loss treats them apart; `_step_sizes` is the same for joins."""
+
+    def __init__(self, first: float, bound: float):
+        self.first, self.bound, self.size, self.short = first, bound, first, float("inf")
+        self.value = self.slope = 0.0
+        self.past: deque[float] = deque(maxlen=MEMORY)
+
+    def judge(self, top: float, value: float, gg: float, ss: float, sy: float, yy: float) -> bool:
+        """Whether a point is taken, from its gradient (`top`, `gg`), value and changes; sets the size, zero when done."""
+        if self.size == 0 or top <= self.bound:
+            self.size = 0.0
+            return True
+        if not value <= max(self.past, default=float("inf")) * (1.0 + ROUNDING) - DECREASE * self.size * self.slope:
+            bend = 2.0 * (value - self.value + self.size * self.slope)
+            self.size *= min(max(0.1, self.size * self.slope / bend if bend > 0 else 0.0), 0.5)
+            return False
+        self.past.append(value)
+        self.value, self.slope = value, gg
+        if sy > 0 and yy > 0:
+            long, now = ss / sy, sy / yy
+            self.size = min(now, self.short) if now < SHORT * long else long
+            self.short = now
+        else:
+            self.size = self.first
+        return True
+
+
 def _fit_session(
     x: np.ndarray, y: np.ndarray, w: np.ndarray, has: np.ndarray, c: float, tolerance: float, loss: str,
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -220,9 +248,8 @@ def _fit_session(
     penalty[-1] = 0.0
     first = 1.0 / (1.0 + c * (0.5 if loss == "logistic" else 2.0) * w.sum() * z.shape[1])
     beta, old, old_gradient = (np.zeros((z.shape[1], len(CLASSES))) for _ in range(3))
-    # by class; zero for the size of a class that is done
-    size, short, old_value, slope = np.full(len(CLASSES), first), np.full(len(CLASSES), np.inf), 0.0, 0.0
-    past = np.full((MEMORY, len(CLASSES)), np.inf)
+    states = [_Step(first, tolerance * c * w.sum()) for _ in (C[:1] if loss == "logistic" else C)]
+    dots = lambda a, b: np.einsum("ij,ij->j", a, b)
     for _ in range(MAX_STEPS):
         score = z @ beta
         if loss == "logistic":
@@ -235,33 +262,24 @@ def _fit_session(
             slack = np.maximum(1.0 - sign * score, 0.0)
             lost, residual = slack * slack, -2.0 * sign * slack
         gradient = c * (z.T @ (w[:, None] * np.where(has, residual, 0.0))) + penalty * beta
-        value = _together(c * (w @ np.where(has, lost, 0.0)) + 0.5 * (penalty * beta * beta).sum(axis=0), loss)
-        size = np.where(_together(np.abs(gradient).max(axis=0), loss, np.max) <= tolerance * c * w.sum(), 0.0, size)
-        if not size.any():
+        value = c * (w @ np.where(has, lost, 0.0)) + 0.5 * dots(penalty * beta, beta)
+        top = np.abs(gradient).max(axis=0)
+        step, change = beta - old, gradient - old_gradient
+        sums = [value, dots(gradient, gradient), dots(step, step), dots(step, change), dots(change, change)]
+        if loss == "logistic":  # all classes are one
+            sums, top = [v.sum(keepdims=True) for v in sums], top.max(keepdims=True)
+        good = [state.judge(*v) for state, *v in zip(states, top.tolist(), *(v.tolist() for v in sums))]
+        if not any(state.size for state in states):
             raw = beta[:-1] / sd[:, None]
             return raw, beta[-1] - mean @ raw
-        good = (size == 0) | (value <= past.max(axis=0) * (1.0 + ROUNDING) - DECREASE * size * slope)
-        step, change = beta - old, gradient - old_gradient
-        ss, sy, yy = (_together((a * b).sum(axis=0), loss) for a, b in ((step, step), (step, change), (change, change)))
-        with np.errstate(all="ignore"):
-            long, now = ss / sy, sy / yy
-            next_size = np.where(sy > 0, np.where(now < SHORT * long, np.minimum(now, short), long), first)
-            again = size * np.clip(np.nan_to_num(size * slope / (2.0 * (value - old_value + size * slope))), 0.1, 0.5)
-        size = np.where(size == 0, 0.0, np.where(good, next_size, again))
-        short = np.where(good & (sy > 0), now, short)
-        past = np.where(good, np.vstack([value, np.where(np.isinf(past[:-1]), value, past[:-1])]), past)
-        old_value = np.where(good, value, old_value)
-        slope = np.where(good, _together((gradient * gradient).sum(axis=0), loss), slope)
-        old, old_gradient = np.where(good, beta, old), np.where(good, gradient, old_gradient)
-        beta = old - size * old_gradient
+        if all(good):
+            old, old_gradient = beta, gradient
+        else:
+            old, old_gradient = np.where(good, beta, old), np.where(good, gradient, old_gradient)
+        beta = old - np.array([state.size for state in states]) * old_gradient
     raise RuntimeError(f"no fit within {MAX_STEPS} steps")
 
 
-def _together(by_class: np.ndarray, loss: str, of: Callable = np.sum) -> np.ndarray:
-    """One number for all classes where the loss couples them."""
-    return np.full_like(by_class, of(by_class)) if loss == "logistic" else by_class
-
-
 def _fit_by_joins(features: DataFrame, train: DataFrame, *, c: float, tolerance: float, loss: str) -> LinearModel:
     """The same for sessions of any size, all of them step by step together.
 
@@ -343,10 +361,10 @@ def _step_sizes(beta: DataFrame, icept: DataFrame, steps: DataFrame, loss: str)
         done = (size == 0) | (top <= F.col("bound"))
         highest = F.coalesce(F.array_max(past), F.lit(float("inf")))
         good = done | (value <= highest * (1.0 + ROUNDING) - DECREASE * size * slope)
-        long, now = F.when(sy > 0, ss / sy), F.when(sy > 0, sy / yy)
+        long, now = (F.when((sy > 0) & (yy > 0), v) for v in (ss / sy, sy / yy))
         next_size = F.coalesce(F.when(now < SHORT * long, F.least(now, short)).otherwise(long), F.col("a0"))
-        share = size * slope / (2.0 * (value - old_value + size * slope))
-        again = size * F.least(F.greatest(share, F.lit(0.1)), F.lit(0.5))
+        bend = 2.0 * (value - old_value + size * slope)
+        again = size * F.least(F.greatest(F.when(bend > 0, size * slope / bend), F.lit(0.1)), F.lit(0.5))
         new = {
             "good": good, "size": F.when(done, 0.0).when(good, next_size).otherwise(again),
             "short": F.when(good, F.coalesce(now, short)).otherwise(short), "value": F.when(good, value).otherwise(old_value),
